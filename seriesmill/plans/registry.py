@@ -1,4 +1,473 @@
-"""Registered queries and their SQL."""
+"""Registered queries and, where SQL can express them, their DuckDB SQL over the same tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import FeatureConfig
+from ..functions import metrics
+from ..functions import transforms as tf
+from ..functions.dates import add_calendar
+from ..operators import diagnostics, features, forecast, panel, segments, windows
+from ..sources.tables import from_star_schema
+
+SERIES, FAMILY, H = ["store_nbr", "family"], ["family"], 28
+
+# --- inputs ---------------------------------------------------------------------------------------------------------
+
+
+def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return from_star_schema(spark, d)
+
+
+def _family_sales(spark, d) -> DataFrame:
+    """Gapless daily sales and promotions by family."""
+    by = _tables(spark, d)["train"].groupBy("date", "family").agg(F.sum("sales").alias("sales"), F.sum("onpromotion").alias("onpromotion"))
+    return panel.complete(by, "family")
+
+
+def _family_panel(spark, d) -> DataFrame:
+    """Gapless family panel with oil and transactions too."""
+    return panel.complete(panel.aggregate(panel.enrich(_tables(spark, d)), "family"), "family")
+
+
+def _sliced(spark, d) -> DataFrame:
+    s = _family_sales(spark, d)
+    return windows.slice_windows(s, windows.cv_windows(s, FAMILY), FAMILY)
+
+
+def _scores(spark, d) -> DataFrame:
+    """Scores by family, window and model; a drift model stands for a learned one, as SQL can follow it."""
+    s = _sliced(spark, d)
+    naive = forecast.seasonal_naive(s, FAMILY).withColumn("model", F.lit("SeasonalNaive"))
+    average = forecast.moving_average(s, FAMILY).select(*naive.columns[:-1]).withColumn("model", F.lit("MovingAverage"))
+    blend = naive.drop("model").join(average.select(*FAMILY, "window", "date", F.col("forecast").alias("f2")), [*FAMILY, "window", "date"])
+    blend = blend.withColumn("forecast", (F.col("forecast") + F.col("f2")) / 2).drop("f2").withColumn("model", F.lit("Blend"))
+    return metrics.metric_table(naive.unionByName(average).unionByName(blend), [*FAMILY, "window", "model"])
+
+
+# --- queries --------------------------------------------------------------------------------------------------------
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+CTE = {
+    "train": "SELECT CAST(l_shipdate AS DATE) AS date, s_nationkey AS store_nbr, p_type AS family, sum(l_quantity) AS sales, CAST(count(*) FILTER (WHERE l_discount >= 0.08) AS DOUBLE) AS onpromotion FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
+    "stores": "SELECT n_nationkey AS store_nbr, n_name AS city, r_name AS state, chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS type, n_regionkey AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "oil": "SELECT CAST(o_orderdate AS DATE) AS date, (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*)) / 100.0::DOUBLE AS dcoilwtico FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1",
+    "holidays": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS type, CASE o_orderkey % 3 WHEN 0 THEN 'National' WHEN 1 THEN 'Regional' ELSE 'Local' END AS locale, CASE o_orderkey % 3 WHEN 0 THEN 'World' WHEN 1 THEN r_name ELSE n_name END AS locale_name, 'event ' || o_orderkey AS description, o_orderstatus = 'P' AS transferred FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 97 = 0",
+    "transactions": "SELECT CAST(l_shipdate AS DATE) AS date, s_nationkey AS store_nbr, count(DISTINCT l_orderkey) AS transactions FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
+    "active": "SELECT h.date, s.store_nbr, h.type AS holiday_type, locale, locale_name, description, transferred FROM holidays h JOIN stores s ON (locale = 'National' OR (locale = 'Regional' AND locale_name = state) OR (locale = 'Local' AND locale_name = city)) WHERE transferred IS DISTINCT FROM true AND h.type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY h.date, s.store_nbr ORDER BY CASE locale WHEN 'National' THEN 0 WHEN 'Regional' THEN 1 ELSE 2 END, h.type, description) = 1",
+    "enriched": "SELECT t.date, t.store_nbr, t.family, CASE WHEN t.sales < 0 THEN 0 ELSE t.sales END AS sales, t.onpromotion, s.city, s.state, s.type, s.cluster, o.dcoilwtico, a.holiday_type, a.locale, a.locale_name, a.description, a.transferred, CAST(a.holiday_type IS NOT NULL AS INTEGER) AS is_localized_holiday, x.transactions FROM train t LEFT JOIN stores s USING (store_nbr) LEFT JOIN oil o USING (date) LEFT JOIN active a ON a.date = t.date AND a.store_nbr = t.store_nbr LEFT JOIN transactions x ON x.date = t.date AND x.store_nbr = t.store_nbr",
+    "by_family": "SELECT date, family, sum(sales) AS sales, sum(onpromotion) AS onpromotion, coalesce(sum(transactions), 0)::BIGINT AS transactions, round(avg(dcoilwtico), 4) AS dcoilwtico FROM enriched GROUP BY 1, 2",
+    "f0": "SELECT date, family, sum(sales) AS sales, sum(onpromotion) AS onpromotion FROM train GROUP BY 1, 2",
+    "fs": "SELECT g.date, g.family, coalesce(f.sales, 0) AS sales, coalesce(f.onpromotion, 0) AS onpromotion FROM (SELECT family, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM f0 GROUP BY family) g LEFT JOIN f0 f USING (date, family)",
+    "fg": "SELECT g.date, g.family, coalesce(f.sales, 0) AS sales, coalesce(f.onpromotion, 0) AS onpromotion, coalesce(f.transactions, 0) AS transactions, dcoilwtico AS o FROM (SELECT family, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM by_family GROUP BY family) g LEFT JOIN by_family f USING (date, family)",
+    "fp": "SELECT date, family, sales, onpromotion, transactions, coalesce(last_value(o IGNORE NULLS) OVER (PARTITION BY family ORDER BY date ROWS UNBOUNDED PRECEDING), first_value(o IGNORE NULLS) OVER (PARTITION BY family ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS dcoilwtico FROM fg",
+    "cv": "SELECT family, w AS window_, CAST(hi - CAST((4 - w) * 14 + 28 AS INTEGER) AS DATE) AS train_end, CAST(hi - CAST((4 - w) * 14 + 27 AS INTEGER) AS DATE) AS val_start, CAST(hi - CAST((4 - w) * 14 AS INTEGER) AS DATE) AS val_end FROM (SELECT family, min(date) AS lo, max(date) AS hi FROM fs GROUP BY family), (SELECT unnest(range(5)) AS w) WHERE hi - lo + 1 > 84",
+    "naive": "SELECT v.family, c.window_, v.date, v.sales AS actual, t.sales AS forecast FROM cv c JOIN fs v ON v.family = c.family AND v.date BETWEEN c.val_start AND c.val_end JOIN fs t ON t.family = c.family AND t.date = c.train_end - 6 + CAST((v.date - c.val_start) % 7 AS INTEGER)",
+    "ma": "SELECT c.family, c.window_, 0 AS step, c.val_start, list(t.sales ORDER BY t.date) AS a FROM cv c JOIN fs t ON t.family = c.family AND t.date > c.train_end - 14 AND t.date <= c.train_end GROUP BY ALL UNION ALL SELECT family, window_, step + 1, val_start, list_append(a[2:], list_reduce(list_prepend(0.0::DOUBLE, a), lambda x, y: x + y) / 14) FROM ma WHERE step < 28",
+    "average": "SELECT ma.family, ma.window_, v.date, v.sales AS actual, ma.a[14] AS forecast FROM ma JOIN fs v ON v.family = ma.family AND v.date = ma.val_start + CAST(ma.step - 1 AS INTEGER) WHERE step > 0",
+    "forecasts": "SELECT *, 'SeasonalNaive' AS model FROM naive UNION ALL SELECT *, 'MovingAverage' FROM average UNION ALL SELECT n.family, n.window_, n.date, n.actual, (n.forecast + a.forecast) / 2, 'Blend' FROM naive n JOIN average a USING (family, window_, date)",
+    "scored": "SELECT *, sign(actual - lag(actual) OVER w) = sign(forecast - lag(forecast) OVER w) AS same, quantile_cont(actual, 0.9) OVER (PARTITION BY family, window_, model) AS bar FROM forecasts WINDOW w AS (PARTITION BY family, window_, model ORDER BY date)",
+}
+_NEEDS = {
+    "active": ["holidays", "stores"], "enriched": ["train", "stores", "oil", "active", "transactions"], "by_family": ["enriched"], "f0": ["train"], "fs": ["f0"], "fg": ["by_family"], "fp": ["fg"], "cv": ["fs"],
+    "naive": ["cv", "fs"], "ma": ["cv", "fs"], "average": ["ma", "fs"], "forecasts": ["naive", "average"], "scored": ["forecasts"],
+}
+
+
+def _with(body: str, *names: str) -> str:
+    order: list[str] = []
+
+    def add(n):
+        for m in _NEEDS.get(n, []):
+            add(m)
+        if n not in order:
+            order.append(n)
+
+    for n in names:
+        add(n)
+    recursive = "RECURSIVE " if "ma" in order else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + "\n" + body
+
+
+
+
+
+
+@query(_with("SELECT c.family, sum(abs(n.actual - n.forecast)) / nullif(sum(abs(n.actual)), 0) * 100 AS wape, count(*) AS n_days FROM naive n JOIN cv c ON n.family = c.family AND n.window_ = c.window_ WHERE n.window_ = 4 GROUP BY c.family", "naive", "cv"))
+def flagship_wape(spark, d):
+    f = forecast.seasonal_naive(_sliced(spark, d), FAMILY).where("window = 4")
+    return f.groupBy("family").agg(metrics.metric_expressions()["WAPE"].alias("wape"), F.count("*").alias("n_days"))
+
+
+@query(_with("SELECT * FROM train", "train"))
+def train_panel(spark, d):
+    return _tables(spark, d)["train"]
+
+
+@query(_with("SELECT * FROM stores", "stores"))
+def stores_dim(spark, d):
+    return _tables(spark, d)["stores"]
+
+
+@query(_with("SELECT * FROM oil", "oil"))
+def oil_daily(spark, d):
+    return _tables(spark, d)["oil"]
+
+
+@query(_with("SELECT * FROM holidays", "holidays"))
+def holidays_dim(spark, d):
+    return _tables(spark, d)["holidays"]
+
+
+@query(_with("SELECT * FROM transactions", "transactions"))
+def transactions_daily(spark, d):
+    return _tables(spark, d)["transactions"]
+
+
+@query(_with("SELECT date, store_nbr, family, CASE WHEN sales - 60 < 0 THEN 0 ELSE sales - 60 END AS sales FROM train", "train"))
+def clip_sales(spark, d):
+    t = _tables(spark, d)["train"]
+    return panel.clip_sales(t.withColumn("sales", F.col("sales") - 60)).select("date", "store_nbr", "family", "sales")
+
+
+@query(_with("SELECT count(*) AS n_rows, count(*) FILTER (WHERE dcoilwtico IS NULL) AS null_dcoilwtico, count(*) FILTER (WHERE transactions IS NULL) AS null_transactions, count(*) FILTER (WHERE dcoilwtico < 0) AS negative_dcoilwtico, count(*) FILTER (WHERE transactions < 0) AS negative_transactions FROM enriched", "enriched"))
+def missing_counts(spark, d):
+    return panel.missing_counts(panel.enrich(_tables(spark, d)), ["dcoilwtico", "transactions"])
+
+
+@query(_with("SELECT * FROM enriched", "enriched"))
+def enriched_sales(spark, d):
+    return panel.enrich(_tables(spark, d))
+
+
+@query(_with("SELECT date, store_nbr, holiday_type, locale, description FROM active", "active"))
+def localized_holidays(spark, d):
+    t = _tables(spark, d)
+    return panel.active_holidays(t["holidays"], t["stores"]).select("date", "store_nbr", "holiday_type", "locale", "description")
+
+
+@query(_with("SELECT * FROM by_family", "by_family"))
+def agg_family(spark, d):
+    return panel.aggregate(panel.enrich(_tables(spark, d)), "family")
+
+
+@query(_with("SELECT date, store_nbr, sum(sales) AS sales, sum(onpromotion) AS onpromotion, coalesce(sum(transactions), 0)::BIGINT AS transactions, round(avg(dcoilwtico), 4) AS dcoilwtico FROM enriched GROUP BY 1, 2", "enriched"))
+def agg_store(spark, d):
+    return panel.aggregate(panel.enrich(_tables(spark, d)), "store")
+
+
+@query(_with("SELECT date, sum(sales) AS sales, sum(onpromotion) AS onpromotion, coalesce(sum(transactions), 0)::BIGINT AS transactions, round(avg(dcoilwtico), 4) AS dcoilwtico FROM enriched GROUP BY 1", "enriched"))
+def agg_total(spark, d):
+    return panel.aggregate(panel.enrich(_tables(spark, d)), "total")
+
+
+@query(_with("SELECT CASE WHEN grouping(store_nbr) = 0 AND grouping(family) = 0 THEN 'store_family' WHEN grouping(family) = 0 THEN 'family' WHEN grouping(store_nbr) = 0 THEN 'store' ELSE 'total' END AS level, date, store_nbr, family, sum(sales) AS sales, sum(onpromotion) AS onpromotion FROM train GROUP BY GROUPING SETS ((date, store_nbr, family), (date, family), (date, store_nbr), (date))", "train"))
+def agg_all_levels(spark, d):
+    return panel.aggregate_all(_tables(spark, d)["train"])
+
+
+@query(_with("""SELECT g.date, g.store_nbr, g.family, coalesce(t.sales, 0) AS sales, coalesce(t.onpromotion, 0) AS onpromotion
+FROM (SELECT store_nbr, family, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM train GROUP BY store_nbr, family) g LEFT JOIN train t USING (date, store_nbr, family)""", "train"))
+def dense_panel(spark, d):
+    return panel.complete(_tables(spark, d)["train"].select("date", *SERIES, "sales", "onpromotion")).select("date", *SERIES, "sales", "onpromotion")
+
+
+@query(_with("SELECT date, family, sales, onpromotion, transactions, dcoilwtico FROM fp", "fp"))
+def oil_filled(spark, d):
+    return _family_panel(spark, d)
+
+
+@query(_with("""SELECT g.date, g.store_nbr, g.family, coalesce(e.sales, 0) AS sales, s.city, s.state, s.type, s.cluster, coalesce(e.is_localized_holiday, 0) AS is_localized_holiday
+FROM (SELECT store_nbr, family, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM enriched GROUP BY store_nbr, family) g LEFT JOIN enriched e USING (date, store_nbr, family) LEFT JOIN stores s ON s.store_nbr = g.store_nbr""", "enriched"))
+def static_filled(spark, d):
+    t = _tables(spark, d)
+    return panel.complete(panel.enrich(t), stores=t["stores"]).select("date", *SERIES, "sales", "city", "state", "type", "cluster", "is_localized_holiday")
+
+
+@query(_with("""SELECT date, isodow(date) - 1 AS day_of_week, month(date) AS month, quarter(date) AS quarter, day(date) AS day_of_month, week(date) AS week_of_year, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(day(date) = 1 AS INTEGER) AS is_month_start, CAST(date = last_day(date) AS INTEGER) AS is_month_end, CAST(day(date) = 15 OR date = last_day(date) AS INTEGER) AS is_payday,
+CASE WHEN day(date) <= 15 THEN 15 - day(date) ELSE date_diff('day', date, last_day(date)) END AS days_until_next_payday,
+CASE WHEN date = last_day(date) THEN 0 WHEN day(date) >= 15 THEN day(date) - 15 ELSE day(date) END AS days_since_last_payday FROM (SELECT DISTINCT date FROM train)""", "train"))
+def calendar_features(spark, d):
+    return add_calendar(_tables(spark, d)["train"].select("date").distinct())
+
+
+@query(_with("SELECT date, family, sales, " + ", ".join(f"lag(sales, {n}) OVER w AS lag_{n}" for n in (28, 35, 42, 56, 90)) + " FROM fs WINDOW w AS (PARTITION BY family ORDER BY date)", "fs"))
+def target_lags(spark, d):
+    return features.add_lags(_family_sales(spark, d).select("date", "family", "sales"), FAMILY, FeatureConfig().lags, H)
+
+
+def _rolling_sql(fn: str) -> str:
+    sql = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "median": "median"}[fn]
+    wrap = (lambda x: f"round({x}, 6)") if fn == "std" else (lambda x: x)
+    cols = ", ".join(wrap(f"{sql}(l{n}) OVER (PARTITION BY family ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)") + f" AS rolling_{fn}_lag{n}_w{w}" for n in (28, 35) for w in (7, 14, 28))
+    return _with(f"SELECT date, family, {cols} FROM (SELECT *, lag(sales, 28) OVER w AS l28, lag(sales, 35) OVER w AS l35 FROM fs WINDOW w AS (PARTITION BY family ORDER BY date))", "fs")
+
+
+def _rolling(fn: str):
+    def run(spark, d):
+        out = features.add_rolling(_family_sales(spark, d), FAMILY, [28, 35], [7, 14, 28], [fn], H).drop("sales", "onpromotion")
+        return out.select("date", "family", *[F.round(c, 6).alias(c) if fn == "std" else c for c in out.columns if c.startswith("rolling")])
+
+    run.__name__ = f"rolling_{fn}"
+    return run
+
+
+for _fn in ("mean", "std", "min", "max", "median"):
+    query(_rolling_sql(_fn))(_rolling(_fn))
+
+_EXPANDING = "CASE WHEN count(b) OVER w >= 28 THEN {} OVER w END"
+
+
+@query(_with(f"SELECT date, family, {_EXPANDING.format('avg(b)')} AS expanding_mean, round({_EXPANDING.format('stddev_samp(b)')}, 5) AS expanding_std FROM (SELECT *, lag(sales, 28) OVER (PARTITION BY family ORDER BY date) AS b FROM fs) WINDOW w AS (PARTITION BY family ORDER BY date ROWS UNBOUNDED PRECEDING)", "fs"))
+def expanding_stats(spark, d):
+    out = features.add_expanding(_family_sales(spark, d), FAMILY, ["mean", "std"], 28, H)
+    return out.select("date", "family", "expanding_mean", F.round("expanding_std", 5).alias("expanding_std"))
+
+
+@query(_with("SELECT date, family, " + ", ".join(f"lag(dcoilwtico, {n}) OVER w AS oil_lag_{n}" for n in (28, 35, 42)) + ", lag(transactions, 28) OVER w AS transactions_lag_28 FROM fp WINDOW w AS (PARTITION BY family ORDER BY date)", "fp"))
+def oil_transaction_lags(spark, d):
+    out = features.add_external(_family_panel(spark, d), FAMILY, [28, 35, 42], H, promotion=False)
+    return out.select("date", "family", "oil_lag_28", "oil_lag_35", "oil_lag_42", "transactions_lag_28")
+
+
+_EMA = {3: 40, 7: 97, 14: 194}
+_EMA_SQL = ", ".join(
+    f"round(list_sum(list_transform(range(1, len(l{s}) + 1), lambda i: l{s}[i] * pow({1 - 2 / (s + 1)!r}, len(l{s}) - i))) / list_sum(list_transform(range(1, len(l{s}) + 1), lambda i: pow({1 - 2 / (s + 1)!r}, len(l{s}) - i))), 6) AS onpromotion_ema_{s}"
+    for s in _EMA
+)
+
+
+@query(_with(f"SELECT date, family, {_EMA_SQL} FROM (SELECT date, family, " + ", ".join(f"list(onpromotion) OVER (PARTITION BY family ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS l{s}" for s, n in _EMA.items()) + " FROM fs)", "fs"))
+def promo_ema(spark, d):
+    out = features.add_external(_family_sales(spark, d), FAMILY, [28], H, transactions=False)
+    return out.select("date", "family", *[F.round(f"onpromotion_ema_{s}", 6).alias(f"onpromotion_ema_{s}") for s in _EMA])
+
+
+_PROMO = {"onpromotion_lead_1": "coalesce(lead(onpromotion) OVER w, 0)", "onpromotion_lag_1": "coalesce(lag(onpromotion) OVER w, 0)", "onpromotion_roll_sum_7": "sum(onpromotion) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)"} | {
+    f"onpromotion_roll_max_{n}": f"max(onpromotion) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 7, 14)
+}
+
+
+@query(_with("SELECT date, family, " + ", ".join(f"{v} AS {k}" for k, v in _PROMO.items()) + " FROM fs WINDOW w AS (PARTITION BY family ORDER BY date)", "fs"))
+def promo_windows(spark, d):
+    return features.add_external(_family_sales(spark, d), FAMILY, [28], H, transactions=False).select("date", "family", *_PROMO)
+
+
+@query(_with("SELECT family, count(*) AS n_rows, count(lag90) AS n_kept FROM (SELECT *, lag(sales, 90) OVER (PARTITION BY family ORDER BY date) AS lag90 FROM fs) GROUP BY family", "fs"))
+def feature_matrix(spark, d):
+    """Rows of the full feature matrix, and those left after the warm-up of the shifted covariates."""
+    full = features.build(_family_panel(spark, d), FAMILY, H)
+    shifted = [c for c in features.covariates(full, "shifted") if "_std_" not in c and not c.startswith("expanding")]
+    whole = F.count_if(F.array_size(F.array_compact(F.array(*[F.col(c).cast("double") for c in shifted]))) == len(shifted))
+    return full.groupBy("family").agg(F.count("*").alias("n_rows"), whole.alias("n_kept"))
+
+
+@query(_with("SELECT family, count(*) FILTER (WHERE i > 55) AS n, 1 AS matches_shifted, 0 AS matches_raw FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY date) AS i FROM fs) GROUP BY family HAVING count(*) > 55", "fs"))
+def leak_check(spark, d):
+    s = _family_sales(spark, d)
+    return features.expanding_check(features.add_expanding(features.add_lags(s, FAMILY, [28], H), FAMILY, ["mean"], 28, H), FAMILY, H)
+
+
+@query(_with("SELECT split, min(date) AS lo, max(date) AS hi, count(*) AS n_rows FROM (SELECT *, CASE WHEN r <= 28 THEN 'test' WHEN r <= 56 THEN 'val' ELSE 'train' END AS split FROM (SELECT *, dense_rank() OVER (ORDER BY date DESC) AS r FROM train)) GROUP BY split", "train"))
+def split_tvt(spark, d):
+    return windows.split(_tables(spark, d)["train"], 28, 28).groupBy("split").agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count("*").alias("n_rows"))
+
+
+@query(_with('SELECT family, window_ AS "window", train_end, val_start, val_end FROM cv', "cv"))
+def cv_windows(spark, d):
+    return windows.cv_windows(_family_sales(spark, d), FAMILY).withColumn("window", F.col("window").cast("bigint"))
+
+
+@query(_with("SELECT family, unnest(generate_series(n - 28, 365, -28))::INTEGER AS origin FROM (SELECT family, count(*) AS n FROM fs GROUP BY family) WHERE n - 28 >= 365", "fs"))
+def residual_origins(spark, d):
+    return windows.residual_origins(_family_sales(spark, d), FAMILY)
+
+
+_ABC = "CASE WHEN cum_perc <= 0.8 THEN 'A' WHEN cum_perc <= 0.95 THEN 'B' ELSE 'C' END"
+
+
+@query(_with(f"SELECT store_nbr, family, total, round(cum_perc, 9) AS cum_perc, {_ABC} AS abc_class FROM (SELECT *, sum(total) OVER (ORDER BY total DESC, store_nbr, family ROWS UNBOUNDED PRECEDING) / nullif(sum(total) OVER (), 0) AS cum_perc FROM (SELECT store_nbr, family, sum(sales) AS total FROM train GROUP BY 1, 2))", "train"))
+def abc_segments(spark, d):
+    return segments.abc_classes(_tables(spark, d)["train"], SERIES).withColumn("cum_perc", F.round("cum_perc", 9))
+
+
+@query(_with(f'SELECT window_ AS "window", store_nbr, family, total, {_ABC} AS abc_class FROM (SELECT *, sum(total) OVER (PARTITION BY window_ ORDER BY total DESC, store_nbr, family ROWS UNBOUNDED PRECEDING) / nullif(sum(total) OVER (PARTITION BY window_), 0) AS cum_perc FROM (SELECT window_, store_nbr, t.family, sum(t.sales) AS total FROM train t JOIN cv ON cv.family = t.family AND t.date <= train_end GROUP BY ALL))', "train", "cv"))
+def abc_by_window(spark, d):
+    t = _tables(spark, d)["train"].join(windows.cv_windows(_family_sales(spark, d), FAMILY), "family").where("date <= train_end")
+    return segments.abc_classes(t.withColumn("window", F.col("window").cast("bigint")), SERIES, by=["window"]).drop("cum_perc")
+
+
+@query(_with(f"SELECT store_nbr, family, abc_class, CASE abc_class WHEN 'C' THEN 'direct' ELSE 'hybrid' END AS route, CASE WHEN contains(family, 'BRASS') THEN 0.4 WHEN contains(family, 'STEEL') THEN 0.75 ELSE 0.5 END::DOUBLE AS q FROM (SELECT *, {_ABC} AS abc_class FROM (SELECT *, sum(total) OVER (ORDER BY total DESC, store_nbr, family ROWS UNBOUNDED PRECEDING) / nullif(sum(total) OVER (), 0) AS cum_perc FROM (SELECT store_nbr, family, sum(sales) AS total FROM train GROUP BY 1, 2)))", "train"))
+def route_series(spark, d):
+    t = _tables(spark, d)["train"]
+    routed = segments.route(segments.abc_classes(t, SERIES), t.select(*SERIES).distinct(), SERIES)
+    return routed.withColumn("q", segments.quantile_policy(low="BRASS", high="STEEL").cast("double"))
+
+
+@query(_with("SELECT date, family, sales - lag(sales) OVER (PARTITION BY family ORDER BY date) AS diff FROM fs QUALIFY diff IS NOT NULL", "fs"))
+def first_difference(spark, d):
+    s = _family_sales(spark, d)
+    return tf.transform(s, tf.fit(s, FAMILY, "difference"), FAMILY).select("date", "family", F.col("transformed").alias("diff"))
+
+
+@query(_with("SELECT date, family, sales AS restored FROM fs QUALIFY row_number() OVER (PARTITION BY family ORDER BY date) > 1", "fs"))
+def undo_difference(spark, d):
+    s = _family_sales(spark, d)
+    return tf.invert(tf.transform(s, tf.fit(s, FAMILY, "difference"), FAMILY), FAMILY).select("date", "family", "restored")
+
+
+@query(_with("SELECT date, family, round(ln(1 + sales), 6) AS logged, round(exp(ln(1 + sales)) - 1, 6) AS restored, round((pow(sales + 1, 0.3) - 1) / 0.3, 6) AS boxed FROM fs", "fs"))
+def log_boxcox(spark, d):
+    x = F.col("sales")
+    boxed = tf.boxcox(x, F.lit(0.3), 1.0)
+    return _family_sales(spark, d).select("date", "family", F.round(F.log1p(x), 6).alias("logged"), F.round(F.expm1(F.log1p(x)), 6).alias("restored"), F.round(boxed, 6).alias("boxed"))
+
+
+@query(_with('SELECT family, window_ AS "window", date, actual, forecast FROM naive', "naive"))
+def seasonal_naive(spark, d):
+    return forecast.seasonal_naive(_sliced(spark, d), FAMILY).withColumn("window", F.col("window").cast("bigint"))
+
+
+@query(_with('SELECT family, window_ AS "window", date, actual, round(forecast, 6) AS forecast FROM average', "average"))
+def moving_average(spark, d):
+    return forecast.moving_average(_sliced(spark, d), FAMILY).withColumns({"window": F.col("window").cast("bigint"), "forecast": F.round("forecast", 6)})
+
+
+_METRIC_SQL = {
+    "MAE": "avg(abs(actual - forecast))", "RMSE": "sqrt(avg((actual - forecast) * (actual - forecast)))", "MAPE": "avg(CASE WHEN actual <> 0 THEN abs(actual - forecast) / abs(actual) END) * 100",
+    "sMAPE": "avg(abs(actual - forecast) / nullif(abs(actual) + abs(forecast), 0)) * 200", "R2": "1 - sum((actual - forecast) * (actual - forecast)) / nullif(var_pop(actual) * count(actual), 0)",
+    "WAPE": "sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0) * 100", "PBIAS": "sum(forecast - actual) / nullif(sum(actual), 0) * 100",
+    "TrackingSignal": "coalesce(sum(actual - forecast) / nullif(avg(abs(actual - forecast)), 0), 0)", "CV": "stddev_pop(actual) / nullif(avg(actual), 0)", "DirectionAccuracy": "avg(CAST(same AS DOUBLE))",
+    "PeakCapture": "CASE WHEN count(*) FILTER (WHERE actual > bar) = 0 THEN 1.0 ELSE count(*) FILTER (WHERE actual > bar AND forecast > bar) / count(*) FILTER (WHERE actual > bar)::DOUBLE END",
+}
+
+
+@query(_with('SELECT family, window_ AS "window", model, count(*) AS n_days, ' + ", ".join(f'round({v}, 4) AS "{k}"' for k, v in _METRIC_SQL.items()) + " FROM scored GROUP BY 1, 2, 3", "scored"))
+def metric_table(spark, d):
+    return _scores(spark, d).select("family", F.col("window").cast("bigint").alias("window"), "model", "n_days", *[F.round(m, 4).alias(m) for m in _METRIC_SQL])
+
+
+_WAPES = 'SELECT family, window_, model, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0) * 100, 6) AS "WAPE", avg(abs(actual - forecast)) AS "MAE", sqrt(avg((actual - forecast) * (actual - forecast))) AS "RMSE" FROM forecasts GROUP BY 1, 2, 3'
+
+
+@query(_with(f', s AS ({_WAPES}) SELECT o.family, o.model, count(*) FILTER (WHERE o."WAPE" < b.best) AS wins, count(*) AS n FROM s o JOIN (SELECT family, window_, min("WAPE") AS best FROM s WHERE model <> \'Blend\' GROUP BY 1, 2) b USING (family, window_) WHERE o.model = \'Blend\' AND o."WAPE" IS NOT NULL GROUP BY 1, 2', "forecasts"))
+def baseline_wins(spark, d):
+    return metrics.wins(_scores(spark, d).withColumn("WAPE", F.round("WAPE", 6)), FAMILY)
+
+
+@query(_with(f', s AS ({_WAPES}) SELECT model, round(avg("WAPE"), 4) AS "WAPE", round(avg("MAE"), 4) AS "MAE", round(avg("RMSE"), 4) AS "RMSE" FROM s GROUP BY model', "forecasts"))
+def mean_by_model(spark, d):
+    return metrics.mean_by_model(_scores(spark, d)).select("model", *[F.round(m, 4).alias(m) for m in ("WAPE", "MAE", "RMSE")])
+
+
+@query(_with("SELECT family, n, round(n * (n + 2) * (" + " + ".join(f"pow(c{k} / v, 2) / (n - {k})" for k in range(1, 15)) + "), 4) AS q_stat FROM (SELECT family, count(*) AS n, sum(e * e) AS v, " + ", ".join(f"sum(e * l{k}) AS c{k}" for k in range(1, 15)) + " FROM (SELECT *, " + ", ".join(f"lag(e, {k}) OVER (PARTITION BY family ORDER BY date) AS l{k}" for k in range(1, 15)) + " FROM (SELECT *, sales - avg(sales) OVER (PARTITION BY family) AS e FROM fs)) GROUP BY family)", "fs"))
+def ljung_box_stat(spark, d):
+    return diagnostics.ljung_box(_family_sales(spark, d), FAMILY).select("family", "n", F.round("q_stat", 4).alias("q_stat"))
+
+
+@query(_with("SELECT family, date, sales FROM fs QUALIFY row_number() OVER (PARTITION BY family ORDER BY date DESC) <= 232", "fs"))
+def series_tail(spark, d):
+    return windows.tail(_family_sales(spark, d), FAMILY, windows.smoke_tail_length(H)).select("family", "date", "sales")
+
+
+@query(_with("SELECT store_nbr, family, date, sales FROM train QUALIFY date >= max(date) OVER (PARTITION BY store_nbr, family) - 399", "train"))
+def recent_history(spark, d):
+    return panel.recent_history(_tables(spark, d)["train"], SERIES, 400).select(*SERIES, "date", "sales")
+
+
+@query(_with("SELECT store_nbr, family, count(*) AS n, max(date) AS hi FROM train WHERE date <= (SELECT max(date) - 28 FROM train) GROUP BY 1, 2", "train"))
+def training_history(spark, d):
+    return panel.training_history(_tables(spark, d)["train"], H).groupBy(*SERIES).agg(F.count("*").alias("n"), F.max("date").alias("hi"))
+
+
+# --- fitted models: rows only ---------------------------------------------------------------------------------------
+
+
+@query()
+def boxcox_mle(spark, d):
+    return tf.fit(_family_sales(spark, d), FAMILY, "box_cox")
+
+
+@query()
+def transform_round_trip(spark, d):
+    return tf.round_trip_error(_family_sales(spark, d), FAMILY, "box_cox")
+
+
+@query()
+def holt_winters(spark, d):
+    return forecast.exponential_smoothing(_sliced(spark, d), FAMILY)
+
+
+@query()
+def trend_season(spark, d):
+    return forecast.trend_forecast(_sliced(spark, d), FAMILY)
+
+
+@query()
+def decomposition(spark, d):
+    return forecast.decomposition(_family_sales(spark, d), FAMILY)
+
+
+@query()
+def adf_kpss(spark, d):
+    return diagnostics.stationarity(_family_sales(spark, d), FAMILY)
+
+
+@query()
+def oos_residuals(spark, d):
+    return forecast.rolling_origin_residuals(_family_sales(spark, d), FAMILY, H, 365)
+
+
+def _model_frame(spark, d):
+    f = features.build(_family_panel(spark, d), FAMILY, H)
+    cols = [c for c in [*features.covariates(f, "planned"), *features.covariates(f, "shifted")]]
+    return f.where("lag_90 is not null").select("family", "date", "sales", *[F.col(c).cast("double").alias(c) for c in cols]), cols
+
+
+@query()
+def hybrid_forecast(spark, d):
+    f, cols = _model_frame(spark, d)
+    return forecast.hybrid_forecast(f, FAMILY, cols)
+
+
+@query()
+def direct_forecast(spark, d):
+    f, cols = _model_frame(spark, d)
+    return forecast.direct_forecast(f, FAMILY, cols)
+
+
+@query()
+def tune_trials(spark, d):
+    return forecast.tune(_family_sales(spark, d), FAMILY)
+
+
+@query()
+def baseline_forecasts(spark, d):
+    return forecast.baseline_forecasts(_sliced(spark, d), FAMILY)
+
+
+@query()
+def forecast_report(spark, d):
+    """Plot data of the seasonal-naive forecast: history, actual and forecast rows with the band of past errors."""
+    s = _sliced(spark, d).where("window = 4")
+    f = forecast.seasonal_naive(s, FAMILY)
+    band = f.groupBy("family").agg(F.percentile(F.col("actual") - F.col("forecast"), 0.05).alias("lo"), F.percentile(F.col("actual") - F.col("forecast"), 0.95).alias("hi"))
+    past = s.where("split = 'train' and date > date_sub(train_end, 90)").select("family", "date", F.lit("history").alias("kind"), F.col("sales").alias("value"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    seen = f.select("family", "date", F.lit("actual").alias("kind"), F.col("actual").alias("value"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    ahead = f.join(band, "family").select("family", "date", F.lit("forecast").alias("kind"), F.col("forecast").alias("value"), F.greatest(F.col("forecast") + F.col("lo"), F.lit(0.0)).alias("lo"), (F.col("forecast") + F.col("hi")).alias("hi"))
+    return past.unionByName(seen).unionByName(ahead)
