@@ -5,9 +5,9 @@ earlier by (doc_id, line number); so the earliest of every pair stays. Lines und
 alone: among such lines one edit makes another word.
 
 Equal lines meet under a 128-bit hash, counted before the shuffle. For near ones, lines are first sieved: if one edit
-turns a line into another and the longer has n characters, they share their first or their last floor(n / 2) characters.
-Only lines that share such a half with a different line go on to the deletion neighbourhood: the line itself and every
-variant with one character deleted, as hashed keys. Lines of an equal key are compared by edit distance. Under one key,
+turns a line into another, it lies in one half, and the rest of the two lines is equal; lines that share no half with a
+different line stop there. Those left are sieved again by ``FINE`` pieces, and what passes goes on to the deletion
+neighbourhood: the line itself and every variant with one character deleted, as hashed keys. Lines of an equal key are compared by edit distance. Under one key,
 each line is compared with the key's earliest line only where that is enough: lines that differ from one another by the
 character at the same place all match each other, so under a key made at one place the earliest matches all.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .storage import materialise
 
 MIN_CHARS = 20
+FINE = 32
 BREAK = "\n"
 
 
@@ -37,24 +38,32 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def _halves(n: str) -> Column:
-    """Keys of a line's halves where the longer of two lines has the line's length, or one character more."""
+def _pieces(m: int) -> Column:
+    """Keys of a line without each of its m pieces, where the longer of two lines has its length, or one character more.
+
+    An edit lies inside one piece; what stands before that piece and after it is equal in both lines.
+    """
     return F.expr(
-        "transform(array(length(line), length(line) + 1), m -> array("
-        "xxhash64(m, 0, substring(line, 1, cast(m / 2 as int))), "
-        "xxhash64(m, 1, substring(line, length(line) - cast(m / 2 as int) + 1, cast(m / 2 as int)))))"
-    ).alias(n)
+        f"flatten(transform(array(length(line), length(line) + 1), n -> transform(sequence(0, {m - 1}), i -> "
+        f"xxhash64(n, i, substring(line, 1, cast(i * n div {m} as int)), right(line, n - cast((i + 1) * n div {m} as int))))))"
+    )
+
+
+def _sieve(lines: DataFrame, m: int) -> DataFrame:
+    """Hashes of the lines that share such a key with a different line."""
+    keys = lines.select("h", F.explode(_pieces(m)).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    return keys.join(shared, "key").select("h").distinct()
 
 
 def owners(lines: DataFrame) -> DataFrame:
     """(h, g, owner): for each line text that repeats or has a near twin, the earliest place of a matching line."""
     # texts travel only for lines that pass the sieve: a hash stands for a line until then
     texts = materialise(lines.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
-    half = lines.select("h", F.explode(F.flatten(_halves("k"))).alias("half"))
-    shared = half.groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("half")
-    sieved = half.join(shared, "half").select("h").distinct()
+    sieved = _sieve(lines, 2)
     words = lines.select("h", "g", "line").join(sieved, "h").groupBy("h", "g").agg(F.first("line").alias("line"))
     near = materialise(words.join(texts, ["h", "g"]).select("h", "g", "first", "line"), "near")
+    near = materialise(near.join(_sieve(near, FINE), "h").select("h", "g", "first", "line"), "near")
     # key: the line with one character deleted at a place, and the line itself at every place as the shorter of two
     variants = F.expr("transform(sequence(1, length(line)), i -> struct(i as at, xxhash64(concat(substring(line, 1, i - 1), substring(line, i + 1))) as v))")
     cut = near.select("h", "g", "first", F.length("line").alias("len"), F.explode(variants).alias("k")).select("h", "g", "first", "len", "k.at", "k.v")
