@@ -26,8 +26,6 @@ from .storage import materialise, ranges_for
 
 STEP, DISCOUNT, LEVELS = 0.75, 0.75, 64
 BITS_PER_KEY, PROBES = 10, 4
-#: Pairs seen once say nothing of the next text; words are all kept.
-LEAST_PAIR = 2
 FLUSH_TOKENS, FLUSH_TEXTS = 2_000_000, 65_000
 END = int(mix(np.array([12345], U))[0])
 T48 = U((1 << 48) - 1)
@@ -127,8 +125,6 @@ def _segment(table: pa.Table) -> pa.Table:
         h, t = h[order], t[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         h, c = h[first], np.add.reduceat(t.astype(np.int64), first)
-        if kind == 2:
-            h, c = h[c >= LEAST_PAIR], c[c >= LEAST_PAIR]
         q = level_of(c)
         if kind == 1:
             stats[:3] = [float(count_of(q).sum()), len(h), int(c.sum())]

@@ -214,6 +214,14 @@ def test_language_model(spark, docs):
     assert language_model.score_texts(empty(spark), F.col("doc_id") % 5 != 1).count() == 0
 
 
+def test_pairs_seen_once_are_scored(spark):
+    rows = [(0, "a b", True), (1, "c d", True), (2, "a b", False), (3, "a d", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    for size in (256 << 20, 100):
+        got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("learn"), max_block_bytes=size).collect()}
+        assert got[2] > got[3] + 0.1
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
