@@ -26,8 +26,9 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that an earlier line matches; a document that loses all its text goes."""
-    kept = line_dedup.dedup_lines(docs)
+    """Every document, without lines that an earlier line matches, equal ones of any length but 0; a document that loses
+    all its text goes."""
+    kept = line_dedup.dedup_lines(docs, exact_chars=1)
     kept = kept.where("not (n_dropped > 0 and trim(text) = '')")
     return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

@@ -1,8 +1,8 @@
 """Near-duplicate line removal by a deletion-neighbourhood join (DataFrame functions only).
 
 Two lines match when they are equal or their edit distance is 1. A line is dropped when an earlier line matches it,
-earlier by (doc_id, line number); so the earliest of every pair stays. Lines under ``min_chars`` characters are left
-alone: among such lines one edit makes another word.
+earlier by (doc_id, line number); so the earliest of every pair stays. Lines under ``min_chars`` characters have no near
+lines, as among them one edit makes another word; equal ones match from ``exact_chars`` characters on.
 
 Equal lines meet under a 128-bit hash, counted before the shuffle. For near ones, lines are first sieved: if one edit
 turns a line into another, it lies in one half, and the rest of the two lines is equal; lines that share no half with a
@@ -24,9 +24,9 @@ FINE = 32
 BREAK = "\n"
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row for each long line: its document, place, text and 128-bit hash."""
-    long = docs.select("doc_id", "th", F.posexplode(F.split("text", BREAK)).alias("pos", "line")).where(F.length("line") >= min_chars)
+def _lines(docs: DataFrame, chars: int) -> DataFrame:
+    """One row for each line of ``chars`` characters or more: its document, place, text and 128-bit hash."""
+    long = docs.select("doc_id", "th", F.posexplode(F.split("text", BREAK)).alias("pos", "line")).where(F.length("line") >= chars)
     return long.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
@@ -56,12 +56,13 @@ def _sieve(lines: DataFrame, m: int) -> DataFrame:
     return keys.join(shared, "key").select("h").distinct()
 
 
-def owners(lines: DataFrame) -> DataFrame:
+def owners(lines: DataFrame, min_chars: int) -> DataFrame:
     """(h, g, owner): for each line text that repeats or has a near twin, the earliest place of a matching line."""
+    long = lines.where(F.length("line") >= min_chars)
     # texts travel only for lines that pass the sieve: a hash stands for a line until then
     texts = materialise(lines.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
-    sieved = _sieve(lines, 2)
-    words = lines.select("h", "g", "line").join(sieved, "h").groupBy("h", "g").agg(F.first("line").alias("line"))
+    sieved = _sieve(long, 2)
+    words = long.select("h", "g", "line").join(sieved, "h").groupBy("h", "g").agg(F.first("line").alias("line"))
     near = materialise(words.join(texts, ["h", "g"]).select("h", "g", "first", "line"), "near")
     near = materialise(near.join(_sieve(near, FINE), "h").select("h", "g", "first", "line"), "near")
     # key: the line with one character deleted at a place, and the line itself at every place as the shorter of two
@@ -80,22 +81,24 @@ def owners(lines: DataFrame) -> DataFrame:
     return texts.select("h", "g", "n", "first").join(checked, ["h", "g"], "left").where("n > 1 or seen < first").select("h", "g", F.least("first", F.coalesce("seen", "first")).alias("owner"))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc_id, th, drop): the numbers of the lines to drop in each document that loses any; ``docs`` from ``_keyed``."""
-    lines = _lines(docs, min_chars)
-    found = lines.select("h", "g", _place().alias("at")).join(owners(lines), ["h", "g"]).where("owner < at")
+    lines = _lines(docs, min_chars if exact_chars is None else min(min_chars, exact_chars))
+    found = lines.select("h", "g", _place().alias("at")).join(owners(lines, min_chars), ["h", "g"]).where("owner < at")
     return found.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the lines dropped from ``text``, and two columns more: n_lines and n_dropped (long).
 
+    Near lines have ``min_chars`` characters at least, equal ones ``exact_chars`` (None: as near ones).
+
     A null text stays null with 0 lines; an empty one has one empty line. Rows with equal doc_id and text are one
     document that is returned as often as it came; among equal doc_ids the text's hash decides which is earlier; a null
     doc_id comes before all others. Other columns pass through; an empty table gives no rows.
     """
     own = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_th": F.xxhash64(F.col(text).cast("string"))})
-    drop = dropped_lines(_keyed(docs, doc_id, text), min_chars).select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_t"), F.col("drop").alias("_drop"))
+    drop = dropped_lines(_keyed(docs, doc_id, text), min_chars, exact_chars).select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_t"), F.col("drop").alias("_drop"))
     on = (F.coalesce(own["_id"], F.lit(0)) == drop["_i"]) & (own["_id"].isNull() == drop["_n"]) & (own["_th"] == drop["_t"])
     kept = F.array_join(F.filter(F.split(F.col(text), BREAK), lambda x, i: ~F.array_contains(F.coalesce("_drop", F.array().cast("array<int>")), i)), BREAK)
     out = own.join(drop, on, "left").withColumns({"n_lines": F.coalesce(F.size(F.split(F.col(text), BREAK)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})

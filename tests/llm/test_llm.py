@@ -283,3 +283,12 @@ def test_pipeline_stages(spark):
     left = [r.doc_id for r in p.by_ngrams(spark, docs.union(docs), "").collect()]
     assert set(left) == firsts | {None} and max(v for k, v in Counter(left).items() if k is not None) == 1
     assert len(p.STAGES) == 5
+
+
+def test_pipeline_drops_equal_short_lines(spark):
+    import corpus_pipeline as p
+
+    rows = [(0, "And ornd.\n\nLes.", "en", "s", 15), (1, "Les.\n\nAnd ornd.\nAnd orne.", "en", "s", 25), (2, "Les.", "en", "s", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.by_lines(spark, docs, "").collect()}
+    assert got == {0: (rows[0][1], 15), 1: ("\nAnd orne.", 10)}
