@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +34,33 @@ def add_calendar(df: DataFrame, wanted: list[str] | None = None) -> DataFrame:
     """Calendar columns named in ``wanted`` (all by default); the payday distances always."""
     keep = lambda c: wanted is None or c in wanted or c.startswith("days_")
     return df.withColumns({k: v for k, v in calendar_columns().items() if keep(k)})
+
+
+#: Public holidays of a country: (month, day), or days from Easter Sunday as one number.
+HOLIDAYS = {
+    "EC": {
+        "new_year": [(1, 1)], "carnival": [-48, -47], "good_friday": [-2], "labour": [(5, 1)], "pichincha": [(5, 24)], "independence": [(8, 10)],
+        "guayaquil": [(10, 9)], "all_souls": [(11, 2)], "cuenca": [(11, 3)], "christmas": [(12, 25)],
+    },
+}
+
+
+def easter(year: int) -> dt.date:
+    """Easter Sunday (Gregorian)."""
+    a, b, c = year % 19, year // 100, year % 100
+    h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+    m = h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114
+    return dt.date(year, m // 31, m % 31 + 1)
+
+
+def holiday_design(dates, country: str | None) -> np.ndarray:
+    """A 0/1 column for each holiday of the country, on nominal dates; no column without a country."""
+    if not country:
+        return np.zeros((len(dates), 0))
+    if country not in HOLIDAYS:
+        raise ValueError(f"no holidays of {country!r}")
+    d = pd.DatetimeIndex(dates)
+    years = range(d.year.min(), d.year.max() + 1) if len(d) else ()
+    on = lambda y, day: easter(y) + dt.timedelta(day) if isinstance(day, int) else dt.date(y, *day)
+    return np.column_stack([d.isin(pd.to_datetime([on(y, day) for y in years for day in days])) for days in HOLIDAYS[country].values()]).astype(float)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..config import BoostConfig, TrendConfig
+from ..functions.dates import holiday_design
 from . import windows as win
 
 
@@ -95,7 +96,7 @@ def seasonality_mode(y: np.ndarray, configured: str) -> str:
 
 
 def trend_season(y: np.ndarray, dates, future, config: TrendConfig, x: np.ndarray | None = None, fx: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Piecewise-linear trend with Fourier seasons and regressors by penalised least squares (after Taylor and Letham 2018).
+    """Piecewise-linear trend with Fourier seasons, holidays and regressors by penalised least squares (after Taylor and Letham 2018).
 
     Returns yhat, trend and sigma for the fitted and future dates together.
     """
@@ -109,6 +110,7 @@ def trend_season(y: np.ndarray, dates, future, config: TrendConfig, x: np.ndarra
     for on, period, order in ((config.yearly_seasonality, 365.25, 6), (config.weekly_seasonality, 7, 3)):
         for k in range(1, order + 1) if on and day[n - 1] >= period else ():
             season += [np.sin(2 * np.pi * k * day / period), np.cos(2 * np.pi * k * day / period)]
+    season += list(holiday_design(d, config.holidays_country).T)
     if x is not None and x.shape[1]:
         z = np.concatenate([x, fx])
         scale = x.std(axis=0)
@@ -148,19 +150,20 @@ def trend_forecast(sliced: DataFrame, keys: list[str], config: TrendConfig | Non
     return _grouped(sliced, keys, cols, fn, "forecast double, trend double, sigma double")
 
 
-Forecaster = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+#: (y, dates, horizon) -> forecasts; with regressors also their past and future rows.
+Forecaster = Callable[..., np.ndarray]
 
 
-def trend_forecaster(y: np.ndarray, dates: np.ndarray, horizon: int) -> np.ndarray:
+def trend_forecaster(y: np.ndarray, dates: np.ndarray, horizon: int, x: np.ndarray | None = None, fx: np.ndarray | None = None) -> np.ndarray:
     future = np.asarray(dates, "datetime64[D]")[-1] + np.arange(1, horizon + 1)
-    return trend_season(y, dates, future, TrendConfig())["yhat"][-horizon:]
+    return trend_season(y, dates, future, TrendConfig(), x, fx)["yhat"][-horizon:]
 
 
-def residuals_of(y: np.ndarray, dates: np.ndarray, horizon: int, min_train: int, stride: int, forecaster: Forecaster) -> dict[int, tuple[int, float]]:
+def residuals_of(y: np.ndarray, dates: np.ndarray, horizon: int, min_train: int, stride: int, forecaster: Forecaster, x: np.ndarray | None = None) -> dict[int, tuple[int, float]]:
     """Out-of-sample residual of each position, from the latest origin before it: {position: (origin, residual)}."""
     out: dict[int, tuple[int, float]] = {}
     for o in win.origins(len(y), horizon, min_train, stride):
-        p = forecaster(y[:o], dates[:o], horizon)
+        p = forecaster(y[:o], dates[:o], horizon, *(() if x is None else (x[:o], x[o : o + horizon])))
         for i in range(horizon):
             out[o + i] = (o, float(y[o + i] - p[i]))
     if sorted(out) != list(range(min(out), len(y))):
@@ -172,18 +175,19 @@ def min_residual_length(lags: list[int] | None) -> int:
     return max(map(abs, lags)) + 1 if lags else 2
 
 
-def rolling_origin_residuals(df: DataFrame, keys: list[str], horizon: int = 28, min_train: int = 365, stride: int | None = None, forecaster: Forecaster = trend_forecaster, target: str = "sales") -> DataFrame:
+def rolling_origin_residuals(df: DataFrame, keys: list[str], horizon: int = 28, min_train: int = 365, stride: int | None = None, forecaster: Forecaster = trend_forecaster, target: str = "sales", regressors: list[str] | None = None) -> DataFrame:
     """(keys, date, origin, residual) of each series; prefixes are cut inside the group, so rows aren't replicated."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date").reset_index(drop=True)
         if len(pdf) - horizon < min_train:
             return pdf.iloc[:0][[*keys, "date"]].assign(origin=pd.Series(dtype="int64"), residual=pd.Series(dtype=float))
-        r = residuals_of(pdf[target].to_numpy(float), pdf["date"].to_numpy(), horizon, min_train, stride or horizon, forecaster)
+        x = pdf[regressors].fillna(0).to_numpy(float) if regressors else None
+        r = residuals_of(pdf[target].to_numpy(float), pdf["date"].to_numpy(), horizon, min_train, stride or horizon, forecaster, x)
         at = sorted(r)
         return pdf.loc[at, [*keys, "date"]].assign(origin=[r[i][0] for i in at], residual=[r[i][1] for i in at])
 
-    return df.select(*keys, "date", target).groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, date date, origin long, residual double")
+    return df.select(*keys, "date", target, *(regressors or [])).groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, date date, origin long, residual double")
 
 
 def boosted(train: DataFrame, score: DataFrame, label: str, columns: list[str], config: BoostConfig | None = None) -> DataFrame:
@@ -212,16 +216,17 @@ def quantile(mu: str, sigma: str, q: float):
     return F.col(mu) + F.lit(NormalDist().inv_cdf(q)) * F.col(sigma)
 
 
-def hybrid_forecast(features: DataFrame, keys: list[str], columns: list[str], horizon: int = 28, min_train: int = 365, config: BoostConfig | None = None) -> DataFrame:
+def hybrid_forecast(features: DataFrame, keys: list[str], columns: list[str], horizon: int = 28, min_train: int = 365, config: BoostConfig | None = None, regressors: list[str] | None = None) -> DataFrame:
     """Last-``horizon`` forecast of each series in log scale: trend model plus boosted out-of-sample residuals.
 
+    The trend model takes ``regressors`` (planned covariates) in the last fit and at each residual origin.
     (keys, date, actual, p05, p50, p95); quantiles pass through the inverse, which is monotone, and are clipped at 0.
     """
     logged = features.withColumn("sales", F.log1p("sales")).withColumn("_end", F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon))
     train = logged.where("date <= _end")
-    resid = rolling_origin_residuals(train, keys, horizon, min_train)
-    sliced = logged.select(*keys, "date", "sales", F.lit(0).alias("window"), F.when(F.col("date") <= F.col("_end"), "train").otherwise("val").alias("split"))
-    base = trend_forecast(sliced, keys).select(*keys, "date", "actual", F.col("forecast").alias("yhat"))
+    resid = rolling_origin_residuals(train, keys, horizon, min_train, regressors=regressors)
+    sliced = logged.select(*keys, "date", "sales", *(regressors or []), F.lit(0).alias("window"), F.when(F.col("date") <= F.col("_end"), "train").otherwise("val").alias("split"))
+    base = trend_forecast(sliced, keys, regressors=regressors).select(*keys, "date", "actual", F.col("forecast").alias("yhat"))
     future = logged.where("date > _end").select(*keys, "date", *columns).join(base, [*keys, "date"])
     out = boosted(train.select(*keys, "date", *columns).join(resid, [*keys, "date"]), future, "residual", columns, config).withColumn("mu", F.col("mu") + F.col("yhat"))
     qs = {f"p{round(100 * q):02d}": F.greatest(F.expm1(quantile("mu", "sigma", q)), F.lit(0.0)) for q in (0.05, 0.5, 0.95)}
@@ -236,11 +241,11 @@ def direct_forecast(features: DataFrame, keys: list[str], columns: list[str], ho
     return out.select(*keys, "date", F.expm1("actual").alias("actual"), *[c.alias(n) for n, c in qs.items()])
 
 
-def decomposition(df: DataFrame, keys: list[str], horizon: int = 28) -> DataFrame:
+def decomposition(df: DataFrame, keys: list[str], horizon: int = 28, regressors: list[str] | None = None) -> DataFrame:
     """(keys, window, date, actual, trend, seasonality, residual) over the last ``horizon`` days."""
     end = F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon)
     sliced = df.withColumn("split", F.when(F.col("date") <= end, "train").otherwise("val")).withColumn("window", F.lit(0))
-    f = trend_forecast(sliced, keys)
+    f = trend_forecast(sliced, keys, regressors=regressors)
     return f.select(*keys, "window", "date", "actual", "trend", F.try_divide("forecast", "trend").alias("seasonality"), (F.col("actual") - F.col("forecast")).alias("residual"))
 
 

@@ -37,6 +37,18 @@ def _sliced(spark, d) -> DataFrame:
     return windows.slice_windows(s, windows.cv_windows(s, FAMILY), FAMILY)
 
 
+def _regressors(f: DataFrame) -> list[str]:
+    """Covariates known for the whole horizon: the planned ones, and oil at lags that reach it."""
+    return [*features.covariates(f, "planned"), *[c for c in features.covariates(f, "shifted") if c.startswith("oil_lag_")]]
+
+
+def _planned_sales(spark, d) -> tuple[DataFrame, list[str]]:
+    """Daily sales by family with the covariates that the trend model takes, and those covariates' names."""
+    f = features.add_external(add_calendar(_family_panel(spark, d)), FAMILY, [28, 35, 42], H, transactions=False)
+    cols = _regressors(f)
+    return f.select("date", *FAMILY, "sales", *cols), cols
+
+
 def _scores(spark, d) -> DataFrame:
     """Scores by family, window and model; a drift model stands for a learned one, as SQL can follow it."""
     s = _sliced(spark, d)
@@ -415,12 +427,14 @@ def holt_winters(spark, d):
 
 @query()
 def trend_season(spark, d):
-    return forecast.trend_forecast(_sliced(spark, d), FAMILY)
+    s, cols = _planned_sales(spark, d)
+    return forecast.trend_forecast(windows.slice_windows(s, windows.cv_windows(s, FAMILY), FAMILY), FAMILY, regressors=cols)
 
 
 @query()
 def decomposition(spark, d):
-    return forecast.decomposition(_family_sales(spark, d), FAMILY)
+    s, cols = _planned_sales(spark, d)
+    return forecast.decomposition(s, FAMILY, regressors=cols)
 
 
 @query()
@@ -430,24 +444,25 @@ def adf_kpss(spark, d):
 
 @query()
 def oos_residuals(spark, d):
-    return forecast.rolling_origin_residuals(_family_sales(spark, d), FAMILY, H, 365)
+    s, cols = _planned_sales(spark, d)
+    return forecast.rolling_origin_residuals(s, FAMILY, H, 365, regressors=cols)
 
 
 def _model_frame(spark, d):
     f = features.build(_family_panel(spark, d), FAMILY, H)
-    cols = [c for c in [*features.covariates(f, "planned"), *features.covariates(f, "shifted")]]
-    return f.where("lag_90 is not null").select("family", "date", "sales", *[F.col(c).cast("double").alias(c) for c in cols]), cols
+    cols = [*features.covariates(f, "planned"), *features.covariates(f, "shifted")]
+    return f.where("lag_90 is not null").select("family", "date", "sales", *[F.col(c).cast("double").alias(c) for c in cols]), cols, _regressors(f)
 
 
 @query()
 def hybrid_forecast(spark, d):
-    f, cols = _model_frame(spark, d)
-    return forecast.hybrid_forecast(f, FAMILY, cols)
+    f, cols, known = _model_frame(spark, d)
+    return forecast.hybrid_forecast(f, FAMILY, cols, regressors=known)
 
 
 @query()
 def direct_forecast(spark, d):
-    f, cols = _model_frame(spark, d)
+    f, cols, _ = _model_frame(spark, d)
     return forecast.direct_forecast(f, FAMILY, cols)
 
 

@@ -134,6 +134,32 @@ def test_residuals_keep_the_shortest_lead():
     assert forecast.min_residual_length([-4, -8]) == 9
 
 
+def test_trend_model_knows_holidays():
+    from seriesmill.config import TrendConfig
+
+    days = np.arange("2014-01-01", "2017-01-01", dtype="datetime64[D]")
+    xmas = np.array([str(x)[5:] == "12-25" for x in days])
+    y = np.where(xmas, 40.0, 20.0)
+    n = len(y) - 28
+    yhat = forecast.trend_season(y[:n], days[:n], days[n:], TrendConfig())["yhat"][n:]
+    assert yhat[xmas[n:]][0] > 30 and yhat[~xmas[n:]].max() < 25
+    with pytest.raises(ValueError):
+        forecast.trend_season(y[:n], days[:n], days[n:], TrendConfig(holidays_country="XX"))
+
+
+def test_residual_origins_take_regressors(spark):
+    rng = np.random.default_rng(2)
+    promo = rng.integers(0, 2, 120).astype(float)
+    df = series(spark, 20 + 10 * promo, family="A")
+    p = spark.createDataFrame([(DAY0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(promo)], "date date, promo double")
+    df = df.join(p, "date")
+    worst = {}
+    for x in (None, ["promo"]):
+        r = [abs(v.residual) for v in forecast.rolling_origin_residuals(df, ["family"], 28, 60, regressors=x).collect()]
+        worst[x and x[0]] = max(r)
+    assert worst["promo"] < 1 < 3 < worst[None]
+
+
 def test_stationarity():
     rng = np.random.default_rng(1)
     noise = rng.normal(size=300)
