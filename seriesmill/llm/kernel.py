@@ -39,17 +39,17 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 LETTERS = np.zeros(256, bool)
 LETTERS[48:58] = LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+#: Bytes hashed off one prefix sum, and the powers that it needs.
+BLOCK_BYTES = CHUNK_BYTES
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        for i, base in enumerate((_P, _P_INV)):
-            steps = np.full(size, base, U)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+def _powers_of(base: int) -> np.ndarray:
+    steps = np.full(BLOCK_BYTES + 1, base, U)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_UP, _DOWN = _powers_of(_P), _powers_of(_P_INV)
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,6 +71,21 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) ->
         lo = hi
 
 
+def segments(data: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """A text in pieces of about ``limit`` bytes, cut only before white space (so no word is cut)."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        while hi < len(data):
+            space = np.flatnonzero(~NOT_SPACE[data[hi : hi + limit]])
+            if len(space):
+                hi += int(space[0])
+                break
+            hi = min(hi + limit, len(data))
+        yield data[lo:hi]
+        lo = hi
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of each maximal run of bytes in ``table``; no run crosses a text's end."""
     m = table[data]
@@ -88,12 +103,39 @@ def spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.
     return starts, ends, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
 
 
+def raw_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each span (starts in order) of a row of byte values below 256.
+
+    Works in blocks of at most ``BLOCK_BYTES``, so memory beyond the result doesn't follow the length of a text.
+    """
+    out = np.zeros(len(starts), U)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = min(int(np.searchsorted(starts, base + BLOCK_BYTES, "left")), len(starts))
+        fits = ends[i:j] <= base + BLOCK_BYTES
+        j = i + (len(fits) if fits.all() else int(np.argmin(fits)))
+        if j == i:  # a span longer than a block: its pieces' hashes, moved to their places
+            a, z, total = base, int(ends[i]), 0
+            while a < z:
+                piece = values[a : min(a + BLOCK_BYTES, z)]
+                total += int((BYTE_VALUE[piece] * _UP[: len(piece)]).sum(dtype=U)) * pow(_P, a - base, 1 << 64)
+                a += len(piece)
+            out[i] = total & 0xFFFFFFFFFFFFFFFF
+            i += 1
+            continue
+        own = values[base : int(ends[i:j].max())]
+        sums = np.zeros(len(own) + 1, U)
+        np.cumsum(BYTE_VALUE[own] * _UP[: len(own)], out=sums[1:])
+        lo = starts[i:j] - base
+        out[i:j] = (sums[ends[i:j] - base] - sums[lo]) * _DOWN[lo]
+        i = j
+    return out
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span's bytes with A-Z lowered."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE_VALUE[LOWER[data]] * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """64-bit hash of each span's bytes with A-Z lowered; spans in order of their starts."""
+    return mix(raw_hashes(LOWER[data], starts, ends))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:

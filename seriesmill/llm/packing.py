@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import LOWER, NOT_SPACE, U, _power_tables, BYTE_VALUE, chunks, mix, spans
+from .kernel import CHUNK_BYTES, LOWER, NOT_SPACE, U, chunks, mix, raw_hashes, segments, spans
 
 MOST = 4096
 LONG_WORD = 48
@@ -143,8 +143,11 @@ class WordBpe:
         self.known, self.at = known[order], at[order]
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of a chunk's texts end to end, and how many each text has."""
+        """Ids of a chunk's texts end to end, and how many each text has; one long text is encoded a segment at a time."""
         n_texts = len(off) - 1
+        if n_texts == 1 and len(raw) > 4 * CHUNK_BYTES:
+            parts = [self.encode(x, np.array([0, len(x)]))[0].astype(np.uint32) for x in segments(raw)]
+            return np.concatenate(parts), np.array([sum(map(len, parts))])
         if not len(raw):
             return np.zeros(0, np.int64), np.zeros(n_texts, np.int64)
         data = LOWER[raw]
@@ -168,10 +171,7 @@ class WordBpe:
         starts, ends = starts[real], np.append(starts[1:], len(raw))[real]
         text = np.repeat(np.arange(n_texts), np.diff(np.searchsorted(starts, off)))
         whole = kind[starts] == _WHOLE
-        powers, back = _power_tables(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum(BYTE_VALUE[np.where(kind == _WHOLE, raw, data)] * powers[:-1], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * back[starts] + whole.astype(U))
+        h = mix(raw_hashes(np.where(kind == _WHOLE, raw, data), starts, ends) + whole.astype(U))
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         new = np.flatnonzero(~self._has(uniq))
         if len(new) and len(self.known) + len(new) > CACHE_WORDS:
