@@ -1,33 +1,37 @@
 """Near-duplicate line removal by a deletion-neighbourhood join (DataFrame functions only).
 
-Two lines match when they are equal or their edit distance is 1. A line is dropped when an earlier line matches it,
-earlier by (doc_id, line number); so the earliest of every pair stays. Lines under ``min_chars`` characters have no near
-lines, as among them one edit makes another word; equal ones match from ``exact_chars`` characters on.
-
-Equal lines meet under a 128-bit hash, counted before the shuffle. For near ones, lines are first sieved: if one edit
-turns a line into another, it lies in one half, and the rest of the two lines is equal; lines that share no half with a
-different line stop there. Those left are sieved again by ``FINE`` pieces, and what passes goes on to the deletion
-neighbourhood: the line itself and every variant with one character deleted, as hashed keys. Lines of an equal key are compared by edit distance. Under one key,
-each line is compared with the key's earliest line only where that is enough: lines that differ from one another by the
-character at the same place all match each other, so under a key made at one place the earliest matches all.
+Two lines match when they are equal, or when one edit (a character put in, left out or replaced) turns one into the other
+and that is at most ``share`` of the longer line; so short lines match only when equal. A line is dropped when an earlier
+line matches it, earlier by (doc_id, line number); so the earliest of every pair stays. Empty lines are left alone.
+
+Equal lines meet under a 128-bit hash, counted before the shuffle. Near ones meet in a deletion neighbourhood: of a pair
+whose longer line has n characters, a line's key at place p is the hash of what stands before p and what stands after it,
+n - 1 characters in all. A line of n characters leaves out its p-th one, a line of n - 1 characters nothing. Lines that
+share a key at a place all match one another, so each needs comparing with the key's earliest line only. The places are
+found level by level: a line's halves are left out first, then ``PARTS`` pieces of it, then pieces of those pieces, down
+to single characters, and what has a key of its own at one level leaves the join before the next. So the work of a line
+grows with its length times the number of levels, not with the square of its length.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialise
 
-MIN_CHARS = 20
-FINE = 32
+SHARE = 0.05
+PARTS = 32
 BREAK = "\n"
 
 
-def _lines(docs: DataFrame, chars: int) -> DataFrame:
-    """One row for each line of ``chars`` characters or more: its document, place, text and 128-bit hash."""
-    long = docs.select("doc_id", "th", F.posexplode(F.split("text", BREAK)).alias("pos", "line")).where(F.length("line") >= chars)
-    return long.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
+def _lines(keyed: DataFrame) -> DataFrame:
+    """One row for each line that isn't empty: its document, place, text and 128-bit hash."""
+    some = keyed.select("doc_id", "th", F.posexplode(F.split("text", BREAK)).alias("pos", "line")).where("line <> ''")
+    return some.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
 
 
 def _place() -> Column:
@@ -38,68 +42,76 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def _pieces(m: int) -> Column:
-    """Keys of a line without each of its m pieces, where the longer of two lines has its length, or one character more.
+#: Left-out stretches (n, s, e): of a line, or the place for it, where the longer line has n characters.
+_FRAMES = "transform(filter(array(length(line), length(line) + 1), n -> n >= {least}), n -> struct(n as n, 0 as s, n as e))"
+_CUT = "transform(sequence(0, least({parts}, x.e - x.s) - 1), i -> struct(x.n as n, cast(x.s + i * (x.e - x.s) div least({parts}, x.e - x.s) as int) as s, cast(x.s + (i + 1) * (x.e - x.s) div least({parts}, x.e - x.s) as int) as e))"
+#: The hash of a line without a stretch.
+_KEY = "xxhash64(x.n, x.s, x.e, left(line, x.s), right(line, x.n - x.e))"
 
-    An edit lies inside one piece; what stands before that piece and after it is equal in both lines.
-    """
-    return F.expr(
-        f"flatten(transform(array(length(line), length(line) + 1), n -> transform(sequence(0, {m - 1}), i -> "
-        f"xxhash64(n, i, substring(line, 1, cast(i * n div {m} as int)), right(line, n - cast((i + 1) * n div {m} as int))))))"
-    )
 
+def _near_pairs(near: DataFrame, least: int) -> DataFrame:
+    """(h, g, oh, og): lines and the earliest line that shares a deletion key with each, levels of ``PARTS`` pieces deep."""
+    stretches = near.select("h", "g", "first", "line", F.explode(F.expr(_FRAMES.format(least=least))).alias("x"))
+    found = []
+    while True:
+        pieces = stretches.select("h", "g", "first", "line", F.explode(F.expr(_CUT.format(parts=PARTS))).alias("x"))
+        keys = pieces.select("h", "g", "first", "x", F.expr(_KEY).alias("key"))
+        tops = keys.groupBy("key").agg(F.min(F.struct("first", "h", "g")).alias("top"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key", "top")
+        hit = materialise(keys.join(tops, "key").select("h", "g", "x", F.col("top.h").alias("oh"), F.col("top.g").alias("og")), "stretches")
+        found.append(hit.where("x.e - x.s = 1 and (h <> oh or g <> og)").select("h", "g", "oh", "og"))
+        open_ = hit.where("x.e - x.s > 1").select("h", "g", "x")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionAll, found).distinct()
+        stretches = open_.join(near, ["h", "g"]).select("h", "g", "first", "line", "x")
 
-def _sieve(lines: DataFrame, m: int) -> DataFrame:
-    """Hashes of the lines that share such a key with a different line."""
-    keys = lines.select("h", F.explode(_pieces(m)).alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
-    return keys.join(shared, "key").select("h").distinct()
 
-
-def owners(lines: DataFrame, min_chars: int) -> DataFrame:
+def owners(lines: DataFrame, share: float = SHARE) -> DataFrame:
     """(h, g, owner): for each line text that repeats or has a near twin, the earliest place of a matching line."""
-    long = lines.where(F.length("line") >= min_chars)
-    # texts travel only for lines that pass the sieve: a hash stands for a line until then
+    least = max(2, math.ceil(round(1 / share, 9)))
+    # texts travel only for lines that pass the first level: a hash stands for a line until then
     texts = materialise(lines.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
-    sieved = _sieve(long, 2)
+    long = lines.where(F.length("line") >= least - 1)
+    halves = F.expr(f"flatten(transform({_FRAMES.format(least=least)}, x -> transform({_CUT.format(parts=2)}, x -> {_KEY})))")
+    keys = long.select("h", F.explode(halves).alias("key"))
+    shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    sieved = keys.join(shared, "key").select("h").distinct()
     words = long.select("h", "g", "line").join(sieved, "h").groupBy("h", "g").agg(F.first("line").alias("line"))
     near = materialise(words.join(texts, ["h", "g"]).select("h", "g", "first", "line"), "near")
-    near = materialise(near.join(_sieve(near, FINE), "h").select("h", "g", "first", "line"), "near")
-    # key: the line with one character deleted at a place, and the line itself at every place as the shorter of two
-    variants = F.expr("transform(sequence(1, length(line)), i -> struct(i as at, xxhash64(concat(substring(line, 1, i - 1), substring(line, i + 1))) as v))")
-    cut = near.select("h", "g", "first", F.length("line").alias("len"), F.explode(variants).alias("k")).select("h", "g", "first", "len", "k.at", "k.v")
-    # substitutions: equal keys made at one place by lines of one length; the earliest matches all the others
-    same = cut.groupBy("len", "at", "v").agg(F.min(F.struct("first", "h", "g")).alias("e"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi")
-    swapped = cut.join(same.select("len", "at", "v", "e"), ["len", "at", "v"]).where("h <> e.h or g <> e.g").select("h", "g", F.col("e.h").alias("oh"), F.col("e.g").alias("og"))
-    # insertions: a line's variant equal to a whole line that is one character shorter; there is one such line a key
-    whole = near.select(F.xxhash64("line").alias("v"), (F.length("line") + 1).alias("len"), F.col("h").alias("sh"), F.col("g").alias("sg"))
-    grown = cut.select("h", "g", "len", "v").join(whole, ["len", "v"]).select("h", "g", "sh", "sg")
-    pairs = swapped.unionAll(grown.select("h", "g", F.col("sh").alias("oh"), F.col("sg").alias("og"))).unionAll(grown.select(F.col("sh").alias("h"), F.col("sg").alias("g"), F.col("h").alias("oh"), F.col("g").alias("og"))).distinct()
     a = near.select("h", "g", F.col("line").alias("a"))
     b = near.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("line").alias("b"), F.col("first").alias("seen"))
-    checked = pairs.join(a, ["h", "g"]).join(b, ["oh", "og"]).where(F.levenshtein("a", "b", 1) == 1).groupBy("h", "g").agg(F.min("seen").alias("seen"))
+    checked = _near_pairs(near, least).join(a, ["h", "g"]).join(b, ["oh", "og"]).where(F.levenshtein("a", "b", 1) == 1).groupBy("h", "g").agg(F.min("seen").alias("seen"))
     return texts.select("h", "g", "n", "first").join(checked, ["h", "g"], "left").where("n > 1 or seen < first").select("h", "g", F.least("first", F.coalesce("seen", "first")).alias("owner"))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """(doc_id, th, drop): the numbers of the lines to drop in each document that loses any; ``docs`` from ``_keyed``."""
-    lines = _lines(docs, min_chars if exact_chars is None else min(min_chars, exact_chars))
-    found = lines.select("h", "g", _place().alias("at")).join(owners(lines, min_chars), ["h", "g"]).where("owner < at")
+def dropped_lines(keyed: DataFrame, share: float = SHARE) -> DataFrame:
+    """(doc_id, th, drop): the numbers of the lines to drop in each document that loses any; ``keyed`` from ``_keyed``."""
+    lines = _lines(keyed)
+    found = lines.select("h", "g", _place().alias("at")).join(owners(lines, share), ["h", "g"]).where("owner < at")
     return found.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("drop"))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """``docs`` with the lines dropped from ``text``, and two columns more: n_lines and n_dropped (long).
+def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """(row, text, n_lines, n_dropped): each row of ``docs`` as one struct, its text without the dropped lines, and counts.
+
+    The struct keeps the columns of ``docs`` apart from those made here, whatever their names.
+    """
+    drop = dropped_lines(_keyed(docs, doc_id, text), share).select(F.col("doc_id").alias("di"), F.col("th").alias("dt"), "drop")
+    own = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    left = F.expr("transform(array(split(t, '\n')), a -> array_join(transform(array_except(sequence(0, size(a) - 1), drop), i -> a[i]), '\n'))[0]")
+    joined = own.join(drop, F.col("i").eqNullSafe(F.col("di")) & (F.col("h") == F.col("dt")), "left")
+    n_lines = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit(BREAK), F.lit(""))) + 1, F.lit(0)).cast("long")
+    return joined.select("row", F.when(F.col("drop").isNull(), F.col("t")).otherwise(left).alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"))
 
-    Near lines have ``min_chars`` characters at least, equal ones ``exact_chars`` (None: as near ones).
 
-    A null text stays null with 0 lines; an empty one has one empty line. Rows with equal doc_id and text are one
-    document that is returned as often as it came; among equal doc_ids the text's hash decides which is earlier; a null
-    doc_id comes before all others. Other columns pass through; an empty table gives no rows.
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: float = SHARE) -> DataFrame:
+    """``docs`` with the lines dropped from ``text``, and two columns more: n_lines and n_dropped (long).
+
+    ``share`` is the part of a line that one edit may be (0.05: near lines have 20 characters or more); equal lines match
+    from one character on. A null text stays null with 0 lines; an empty one has one empty line. Rows with equal doc_id
+    and text are one document that is returned as often as it came; among equal doc_ids the text's hash decides which is
+    earlier; a null doc_id comes before all others. Other columns pass through whatever their names, but columns called
+    n_lines or n_dropped give way to those made here. Lines may have any length; an empty table gives no rows.
     """
-    own = docs.withColumns({"_id": F.col(doc_id).cast("long"), "_th": F.xxhash64(F.col(text).cast("string"))})
-    drop = dropped_lines(_keyed(docs, doc_id, text), min_chars, exact_chars).select(F.coalesce("doc_id", F.lit(0)).alias("_i"), F.col("doc_id").isNull().alias("_n"), F.col("th").alias("_t"), F.col("drop").alias("_drop"))
-    on = (F.coalesce(own["_id"], F.lit(0)) == drop["_i"]) & (own["_id"].isNull() == drop["_n"]) & (own["_th"] == drop["_t"])
-    kept = F.array_join(F.filter(F.split(F.col(text), BREAK), lambda x, i: ~F.array_contains(F.coalesce("_drop", F.array().cast("array<int>")), i)), BREAK)
-    out = own.join(drop, on, "left").withColumns({"n_lines": F.coalesce(F.size(F.split(F.col(text), BREAK)), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-    return out.withColumn(text, F.when(F.col("_drop").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns, "n_lines", "n_dropped")
+    made = kept_lines(docs, doc_id, text, share)
+    keep = [F.col("text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return made.select(*keep, "n_lines", "n_dropped")

@@ -75,11 +75,11 @@ WITH line AS (
   SELECT doc_id, unnest(range(1, len(parts) + 1)) - 1 AS pos, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)
 ), lines_ AS (
-  SELECT *, doc_id * 1000000 + pos AS ord FROM line WHERE length(line) >= 20
+  SELECT *, doc_id * 1000000 + pos AS ord FROM line WHERE line <> ''
 ), t AS (
   SELECT line, length(line) AS n, min(ord) AS f0, count(*) AS times FROM lines_ GROUP BY line
 ), v AS (
-  SELECT line, n, f0, unnest(range(1, n + 1)) AS i FROM t
+  SELECT line, n, f0, unnest(range(1, n + 1)) AS i FROM t WHERE n >= 20
 ), k AS (
   SELECT *, hash(substr(line, 1, i - 1) || substr(line, i + 1)) AS h FROM v
 ), near AS (

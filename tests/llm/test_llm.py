@@ -112,7 +112,7 @@ def test_line_dedup(spark, docs):
     assert len(rows) == docs.count()
     last = max(r.doc_id for r in rows if r.doc_id is not None)
     two = next(r for r in rows if r.doc_id == last)
-    assert two.text == "Line one is long enough here.\nshort\nshort" and (two.n_lines, two.n_dropped) == (4, 1)
+    assert two.text == "Line one is long enough here.\nshort" and (two.n_lines, two.n_dropped) == (4, 2)
     assert next(r for r in rows if r.doc_id == 0).n_dropped == 0
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
@@ -128,7 +128,7 @@ def test_near_lines_against_brute_force(spark):
             kind = int(rng.integers(3))
             t[j : j + (kind > 0)] = [] if kind == 1 else [str(rng.choice(list("abz")))]
         lines.append("".join(t))
-    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), min_chars=10).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), share=0.1).collect()
 
     def near(a, b):
         if a == b:
@@ -142,6 +142,29 @@ def test_near_lines_against_brute_force(spark):
     assert {r.doc_id for r in got if r.n_dropped} == dropped
 
 
+def test_lines_at_the_length_bounds(spark):
+    rows = ["a", "a", "b", "", "", "12345678901234567890", "1234567890123456789", "1234567890123456789x", "short line", "short lina", "123456789012345678Z"]
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {1, 6, 7}
+
+
+def test_very_long_lines(spark):
+    rng = np.random.default_rng(8)
+    a = "".join(rng.choice(list("abcdefgh é"), 200_000))
+    rows = [(0, a), (1, a[:150_000] + "Z" + a[150_001:]), (2, a[:7] + a[8:]), (3, a + "!"), (4, a[:5] + "Z" + a[6:199_000] + "Z" + a[199_001:]), (5, a[::-1]), (6, a)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {1, 2, 3, 6}
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    names = ["doc_id", "text", "n_lines", "N_Dropped", "_id", "row", "i", "t", "h", "di", "drop", "_th", "a.b"]
+    df = spark.createDataFrame([(1, "same line\nother", *range(11)), (2, "same line", *range(11))], "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names[2:]))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", *names[4:], "n_lines", "n_dropped"]
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[2].text == "" and got[2].n_dropped == 1 and got[1].n_lines == 2 and tuple(got[1])[2:11] == tuple(range(2, 11))
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 16)).astype(np.float32)
