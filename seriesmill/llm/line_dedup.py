@@ -50,7 +50,7 @@ _KEY = "xxhash64(x.n, x.s, x.e, left(line, x.s), right(line, x.n - x.e))"
 
 
 def _near_pairs(near: DataFrame, least: int) -> DataFrame:
-    """(h, g, oh, og): lines and the earliest line that shares a deletion key with each, levels of ``PARTS`` pieces deep."""
+    """(h, g, oh, og, s): lines, the earliest line that shares a deletion key with each, and the first place where it does."""
     stretches = near.select("h", "g", "first", "line", F.explode(F.expr(_FRAMES.format(least=least))).alias("x"))
     found = []
     while True:
@@ -58,10 +58,10 @@ def _near_pairs(near: DataFrame, least: int) -> DataFrame:
         keys = pieces.select("h", "g", "first", "x", F.expr(_KEY).alias("key"))
         tops = keys.groupBy("key").agg(F.min(F.struct("first", "h", "g")).alias("top"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key", "top")
         hit = materialise(keys.join(tops, "key").select("h", "g", "x", F.col("top.h").alias("oh"), F.col("top.g").alias("og")), "stretches")
-        found.append(hit.where("x.e - x.s = 1 and (h <> oh or g <> og)").select("h", "g", "oh", "og"))
+        found.append(hit.where("x.e - x.s = 1 and (h <> oh or g <> og)").select("h", "g", "oh", "og", "x.s"))
         open_ = hit.where("x.e - x.s > 1").select("h", "g", "x")
         if open_.isEmpty():
-            return reduce(DataFrame.unionAll, found).distinct()
+            return reduce(DataFrame.unionAll, found).groupBy("h", "g", "oh", "og").agg(F.min("s").alias("s"))
         stretches = open_.join(near, ["h", "g"]).select("h", "g", "first", "line", "x")
 
 
@@ -79,7 +79,9 @@ def owners(lines: DataFrame, share: float = SHARE) -> DataFrame:
     near = materialise(words.join(texts, ["h", "g"]).select("h", "g", "first", "line"), "near")
     a = near.select("h", "g", F.col("line").alias("a"))
     b = near.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("line").alias("b"), F.col("first").alias("seen"))
-    checked = _near_pairs(near, least).join(a, ["h", "g"]).join(b, ["oh", "og"]).where(F.levenshtein("a", "b", 1) == 1).groupBy("h", "g").agg(F.min("seen").alias("seen"))
+    # one edit, at the place of the key: all before it and all after it is equal (an edit distance in time of the length)
+    one_edit = "left(a, s) = left(b, s) and right(a, greatest(length(a), length(b)) - s - 1) = right(b, greatest(length(a), length(b)) - s - 1) and abs(length(a) - length(b)) <= 1"
+    checked = _near_pairs(near, least).join(a, ["h", "g"]).join(b, ["oh", "og"]).where(one_edit).groupBy("h", "g").agg(F.min("seen").alias("seen"))
     return texts.select("h", "g", "n", "first").join(checked, ["h", "g"], "left").where("n > 1 or seen < first").select("h", "g", F.least("first", F.coalesce("seen", "first")).alias("owner"))
 
 
