@@ -182,6 +182,45 @@ def test_top_k_against_brute_force(spark):
     assert cover_tree.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows_and_ties(spark):
+    rows = [(100, [0.5, 0.5], 7)] * 2 + [(7, [0.25, 0.5], 7)] * 2 + [(i, [0.25, 0.25], 7) for i in range(20, 10, -1)] + [(200, [1.0, 0.0], 1), (200, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long")
+    got = [tuple(r) for r in cover_tree.top_k(df, F.col("vec_id") == 100, 6).orderBy("rank").collect()]
+    half, quarter = 512 * 512, 512 * 256
+    assert got == [(100, 1, 200, 2 * half), (100, 2, 200, 2 * half), (100, 3, 7, half + quarter), (100, 4, 7, half + quarter), (100, 5, 11, 2 * quarter), (100, 6, 12, 2 * quarter)]
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(1)
+    x = np.floor(1024 * (rng.normal(size=(40, 8))[rng.integers(0, 40, 1500)] + 0.05 * rng.normal(size=(1500, 8))))
+    todo = [cover_tree.cover_tree(x, leaf=4)]
+    assert sorted(todo[0].rows) == list(range(1500))
+    while todo:
+        node = todo.pop()
+        far = np.sqrt(((x[node.rows] - node.centre) ** 2).sum(axis=1))
+        assert far.max() <= node.radius + 1e-6 and node.radius <= node.scale + 1e-6
+        if node.children:
+            assert (node.children[0].centre == node.centre).all()
+            assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+            centres = np.stack([c.centre for c in node.children])
+            apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+            assert apart[~np.eye(len(centres), dtype=bool)].min(initial=np.inf) > node.radius / 2
+            todo += node.children
+
+
+def test_cover_trees_prune_clustered_data():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, 6000)] + 0.03 * rng.normal(size=(6000, 32))
+    x = np.floor(1024 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    top = cover_tree.TopK(x[:200], np.arange(200), 10)
+    for lo in range(0, 6000, 2000):
+        top.search(x[lo : lo + 2000], np.arange(lo, lo + 2000))
+    s = x[:200] @ x.T
+    s[np.arange(200), np.arange(200)] = -np.inf
+    want = np.lexsort((np.broadcast_to(np.arange(6000), s.shape), -s), axis=1)[:, :10]
+    assert (top.best == want).all() and top.products < 0.5 * s.size
+
+
 def test_decontamination_against_brute_force(spark):
     rng = np.random.default_rng(6)
     voc = [f"w{i}" for i in range(50)]
