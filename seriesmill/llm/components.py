@@ -86,7 +86,9 @@ def components(edges: DataFrame) -> DataFrame:
         left = rest
         merges.append(into)
     if not merges:
-        return left.select(F.col("a").alias("v"), F.col("b").alias("label"))
+        out = left.select(F.col("a").alias("v"), F.col("b").alias("label"))
+        out._held_at = left._held_at
+        return out
     # back through the rounds: a vertex's last name is that of the vertex it was merged into
     last = merges.pop()
     while merges:

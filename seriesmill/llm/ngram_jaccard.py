@@ -9,11 +9,13 @@ Sets of word shingles link when their Jaccard similarity reaches a bound. The jo
 3. *Prefixes.* Tokens are ordered by frequency, then hash. A prefix of n - ceil(t n) + 1 tokens meets that of any
    partner. Frequent tokens fall into classes by hash, and each class in a prefix lengthens it by k - 1 = 1 token; two
    linked sets then share a rare token or two frequent tokens of one class, so rare tokens are indexed alone and
-   frequent ones as pairs within a class. Small sets (under ``SMALL``) are indexed by single tokens; sets up to
-   ``SMALL / t`` by both, so that any two sets that may link are indexed alike.
-4. *Verify.* Within each index entry the most central set is compared first with all others (linear in the group's
-   size). What those links leave apart within a cluster of shared entries is compared in blocks, by one sparse product
-   per pair of blocks; only a spanning forest of links leaves a block, never all pairs.
+   frequent ones as pairs within a class. That needs more overlap than classes: sets under ``WIDE / t`` tokens have one
+   class, sets of ``WIDE`` and more 16, and those between are indexed both ways, so any two that may link meet.
+4. *Verify.* Entries held by the same sets count as one. Within each entry the most central set is compared first with
+   all others (linear in the entry's size). What those links leave in different classes within an entry is compared in
+   blocks, by one sparse product per pair of blocks: entry by entry, or all entries of sets that hang together by open
+   entries at once, whichever sends fewer sets; a unit's largest class isn't compared with itself, and only a spanning
+   forest of links leaves a block, never all pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernel import U, chunks, mix, shingle_sets
-from .storage import materialise, ranges_for
+from .storage import materialise, ranges_for, release
 
 FLUSH_TOKENS, FLUSH_TEXTS = 4_000_000, 65_000
-CLASSES, SMALL = 16, 64
+CLASSES, WIDE = 16, 64
 #: Log-frequency (in quarters of a power of two) from which a token counts as frequent: 16 sets.
 FREQUENT = 16
 BLOCK = 256
@@ -68,6 +70,7 @@ def _index_blobs(k: int, ranges: int):
 
     def run(batches):
         tokens, keys, sizes, n_tok, n_text = [], [], [], 0, 0
+        seen = np.zeros(0, U)
         for b in batches:
             for _, _, data, off in chunks(b.column(0)):
                 size, key, packed = shingle_sets(data, off, k)
@@ -76,6 +79,13 @@ def _index_blobs(k: int, ranges: int):
                 if n_text + len(size) > FLUSH_TEXTS or n_tok > FLUSH_TOKENS:
                     yield flush(tokens, keys, sizes)
                     tokens, keys, sizes, n_tok, n_text = [], [], [], 0, 0
+                    seen = np.zeros(0, U)
+                # of equal sets in a run, one goes on: a large group of copies is one set a run before the exchange
+                fresh, at = np.unique(key, return_index=True)
+                new = np.zeros(len(key), bool)
+                new[at[~np.isin(fresh, seen)]] = True
+                packed = packed[new[(packed >> U(48)).astype(np.int64)]]
+                seen = np.union1d(seen, fresh)
                 tokens.append(((packed & T48) << U(16)) | ((packed >> U(48)) + U(n_text)))
                 keys.append(key)
                 sizes.append(size)
@@ -150,25 +160,24 @@ def _survivors(percent: int):
 def signatures(n: int, token: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of a set of n tokens, ``token`` those it shares with others, in order (log-frequency << 48 | hash)."""
     plain = n - int(_reach(n, percent)) + 1 - (n - len(token))
-    single, pairs = [], []
-    if n < SMALL * 100 // percent + 1:
-        single.append(token[:plain])
-    if n >= SMALL:
-        frequent = (token >> U(48)) >= U(FREQUENT)
-        kind = mix(token & T48) % U(CLASSES)
+    frequent = (token >> U(48)) >= U(FREQUENT)
+    found = []
+    for classes, use in ((1, n < WIDE * 100 // percent + 1), (CLASSES, n >= WIDE)):
+        if not use:
+            continue
+        kind = mix(token & T48) % U(classes)
         seen: set[int] = set()
         i = 0
         while i < min(plain + len(seen), len(token)):
             if frequent[i]:
                 seen.add(int(kind[i]))
             i += 1
-        head, frequent, kind = token[:i], frequent[:i], kind[:i]
-        single.append(head[~frequent])
+        found.append(mix(token[:i][~frequent[:i]] & T48))
         for c in seen:
-            own = head[frequent & (kind == U(c))] & T48
+            own = token[:i][frequent[:i] & (kind[:i] == U(c))] & T48
             a, b = np.triu_indices(len(own), 1)
-            pairs.append(mix(np.minimum(own[a], own[b]) + mix(np.maximum(own[a], own[b]))))
-    return np.unique(np.concatenate([*(mix(s & T48) for s in single), *pairs]))
+            found.append(mix(np.minimum(own[a], own[b]) + mix(np.maximum(own[a], own[b]))))
+    return np.unique(np.concatenate(found))
 
 
 def _index(percent: int):
@@ -201,7 +210,7 @@ def _verify(percent: int):
 
 
 def _block_links(percent: int):
-    """Links of one pair of blocks of a cluster, between sets that no link has joined yet: a spanning forest of them."""
+    """Links across classes of one pair of blocks of an entry: a spanning forest of them."""
 
     def run(table: pa.Table) -> pa.Table:
         key, comp, n = (table.column(c).to_numpy() for c in ("key", "comp", "n"))
@@ -243,20 +252,38 @@ def _block_links(percent: int):
 def _links(survivors: DataFrame, percent: int) -> DataFrame:
     """Set keys and the label of their class, for sets with a link."""
     entries = survivors.mapInArrow(_index(percent), "sig long, key long, cent double")
-    pivots = entries.groupBy("sig").agg(F.max(F.struct("cent", "key")).alias("top"), F.count("*").alias("held")).where("held > 1").select("sig", F.col("top.key").alias("b"))
-    star = materialise(entries.join(pivots, "sig").where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.count("*").alias("common")), "star")
+    held = entries.groupBy("sig").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y"), F.max(F.struct("cent", "key")).alias("top"))
+    same = held.where("held > 1").groupBy("held", "x", "y").agg(F.min("sig").alias("sig"), F.count("*").alias("weight"), F.first("top").alias("top"))
+    member = materialise(entries.select("sig", "key").join(same.select("sig", "weight", F.col("top.key").alias("b")), "sig"), "members")
+    star = member.where("key <> b").groupBy(F.col("key").alias("a"), "b").agg(F.sum("weight").alias("common"))
     best = star.groupBy("a").agg(F.max_by("b", F.struct("common", "b")).alias("b"))
     x, y = (survivors.select(F.col("key").alias(v), F.col("n").alias(f"n_{v}"), F.col("tokens").alias(f"t_{v}")) for v in ("a", "b"))
     near = best.join(x, "a").join(y, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     first = materialise(near.select("a", "b", "n_a", "n_b", "t_a", "t_b").mapInArrow(_verify(percent), "a long, b long"), "links")
     comp = components(first)
-    cluster = components(star)
-    member = cluster.select(F.col("v").alias("key"), F.col("label").alias("cluster")).join(comp.select(F.col("v").alias("key"), F.col("label").alias("comp")), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    open_ = member.groupBy("cluster").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("cluster", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    placed = member.join(open_, "cluster").join(survivors, "key").withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    second = dealt.select("cluster", "i", "j", "key", "comp", "n", "tokens").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
-    return components(first.union(materialise(second, "links")))
+    named = member.join(comp.withColumnRenamed("v", "key"), "key", "left").select("sig", "key", "b", F.coalesce("label", "key").alias("comp"))
+    split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("sig", "held")
+    open_ = materialise(named.join(split, "sig"), "open")
+    # one set may stand in many open entries: entries of sets that hang together are compared as one unit where that
+    # sends fewer sets to fewer blocks than entry by entry; either way every pair that shares an open entry meets
+    cluster = components(open_.select(F.col("key").alias("a"), "b"))
+    sets = open_.select("key", "comp").distinct().join(cluster.select(F.col("v").alias("key"), F.col("label").alias("cluster")), "key")
+    cost = lambda n: F.sum(n * F.ceil(n / BLOCK))
+    alone = open_.groupBy("sig").agg(F.first("held").alias("n"), F.first("b").alias("v")).join(cluster, "v").groupBy(F.col("label").alias("cluster")).agg(cost(F.col("n")).alias("alone"))
+    together = sets.groupBy("cluster").agg(F.count("*").alias("n")).join(alone, "cluster").select("cluster", (F.col("n") * F.ceil(F.col("n") / BLOCK) <= F.col("alone")).alias("whole"))
+    sets = sets.join(together, "cluster")
+    parts = open_.join(sets.where("not whole").select("key"), "key").select(F.lit(False).alias("whole"), F.col("sig").alias("unit"), "key", "comp")
+    units = materialise(sets.where("whole").select("whole", F.col("cluster").alias("unit"), "key", "comp").unionAll(parts), "units")
+    sizes = units.groupBy("whole", "unit", "comp").agg(F.count("*").alias("c")).groupBy("whole", "unit").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("held"))
+    blocks = sizes.select("whole", "unit", "main", F.ceil((F.col("held") - F.col("most")) / BLOCK).cast("int").alias("others"), F.ceil(F.col("most") / BLOCK).cast("int").alias("mains"))
+    placed = units.join(blocks, ["whole", "unit"]).withColumn("own", F.expr("cast(if(comp = main, others + pmod(xxhash64(key), mains), pmod(xxhash64(key), others)) as int)"))
+    # a block of the largest class meets the others' blocks only
+    dealt = placed.withColumn("other", F.explode(F.expr("sequence(0, if(comp = main, others, others + mains) - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    second = dealt.select("whole", "unit", "i", "j", "key", "comp").join(survivors, "key").groupBy("whole", "unit", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+    more = materialise(second, "links")
+    out = components(first.union(more))
+    release(member, first, comp, open_, cluster, units, more)
+    return out
 
 
 def near_duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75) -> DataFrame:
