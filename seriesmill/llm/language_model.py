@@ -1,14 +1,17 @@
 """N-gram language model held in a log-frequency Bloom filter.
 
-Training counts of words and word pairs meet in hash ranges (packed blobs). A count c gets the level
-1 + round(log2(c) / STEP); its n-gram goes into a Bloom filter once for each level up to its own, so a count is read
-back by probing level after level until one is missing. Each hash range builds one segment of the filter; the segments
-go to the workers in blocks of at most ``max_block_bytes``. Where the filter is one block, a text is scored in the pass
-that reads it; beyond that, each block has a pass of its own, which sends the levels it knows to the text's group, so
-the memory of a worker doesn't grow with the corpus.
-
-Smoothing: P(w | h) = max(c(h, w) - D, 0) / c(h) + (1 - a(level of h)) P(w), where P(w) is additive over the
-dequantised counts and a(level) is the mass that pairs hold after words of this level, measured over all training texts.
+Training counts of words, word pairs and word triples meet in hash ranges (packed blobs). A count gets a level: itself up
+to 8, then steps of a quarter of a power of two. Its n-gram goes into a Bloom filter once for each level up to its own, so
+a count is read back by probing level after level until one is missing; a level stands for the counts from ``low`` to
+``high``. Each hash range builds one segment of the filter; the segments go to the workers in blocks of at most
+``max_block_bytes``. Where the filter is one block, a text is scored in the pass that reads it; beyond that, each block
+has a pass of its own, which sends the levels it knows to the text's group, so the memory of a worker doesn't grow with
+the corpus.
+
+Smoothing (Dirichlet priors, after MacKay and Peto 1995): P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), where the half more is
+for all unseen words; P(w | u) = (c(u w) + K P(w)) / (c(u) + K), and so again for triples over pairs. A word is followed by
+a token as often as it occurs, so each sums to 1. An n-gram's own count is read as ``low``, a context's as ``high``: with
+quantised counts too a sum is never over 1, and exactly 1 while counts are at most 8 (Bloom false positives apart).
 """
 
 from __future__ import annotations
@@ -22,33 +25,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, chunks, mix, words
-from .storage import materialise, ranges_for
+from .storage import materialise, ranges_for, release
 
-STEP, DISCOUNT, LEVELS = 0.75, 0.75, 64
+#: Weight of the lower order after one word and after two.
+PRIORS = (8.0, 2.0)
 BITS_PER_KEY, PROBES = 10, 4
-FLUSH_TOKENS, FLUSH_TEXTS = 2_000_000, 65_000
+FLUSH_TOKENS, FLUSH_TEXTS = 1_000_000, 65_000
 END = int(mix(np.array([12345], U))[0])
 T48 = U((1 << 48) - 1)
+#: What tells words, pairs and triples apart in the filter.
+KINDS = {1: U(0), 2: U(1 << 50), 3: U(1 << 51)}
+
+
+def _edges() -> np.ndarray:
+    out = list(range(1, 9))
+    while out[-1] < 1 << 40:
+        out.append(int(out[-1] * 2**0.25) + 1)
+    return np.array(out, np.int64)
+
+
+#: The least count of each level from 1 on.
+EDGES = _edges()
+LEVELS = len(EDGES)
 
 
 def level_of(c: np.ndarray) -> np.ndarray:
-    return np.where(c > 0, 1 + np.rint(np.log2(np.maximum(c, 1)) / STEP), 0).astype(np.int64)
+    return np.searchsorted(EDGES, c, "right")
+
+
+def low(level: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], EDGES]).astype(np.float64)[level]
 
 
-def count_of(level: np.ndarray) -> np.ndarray:
-    return np.where(level > 0, 2.0 ** (STEP * (level - 1)), 0.0)
+def high(level: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], EDGES[1:] - 1, EDGES[-1:]]).astype(np.float64)[level]
 
 
 def _tokens(data, off):
-    """(48-bit token, text) with an end token after each text, and the pair ending at each token (0 for the first)."""
+    """(48-bit token, text) with an end token after each text, and the pair and triple ending at each token (0 for none)."""
     h, text = words(data, off)
     n = len(off) - 1
     after = np.searchsorted(text, np.arange(n), "right")
     h, text = np.insert(h, after, U(END)), np.insert(text, after, np.arange(n))
-    pair = np.zeros(len(h), U)
+    pair, triple = np.zeros(len(h), U), np.zeros(len(h), U)
     inner = np.flatnonzero(text[1:] == text[:-1]) + 1
-    pair[inner] = mix(h[inner - 1] * U(0x9E3779B97F4A7C15) + h[inner]) >> U(16)
-    return h >> U(16), text, pair
+    pair[inner] = mix(h[inner - 1] * U(0x9E3779B97F4A7C15) + h[inner])
+    deep = np.flatnonzero(text[2:] == text[:-2]) + 2
+    triple[deep] = mix(pair[deep - 1] * U(0xD6E8FEB86659FD93) + h[deep]) >> U(16)
+    return h >> U(16), text, pair >> U(16), triple
 
 
 def _pack(h, starts):
@@ -77,7 +101,7 @@ _COUNTS = pa.schema([("rng", pa.int32()), ("kind", pa.int32()), ("first", pa.int
 
 
 def _count_blobs(ranges: int):
-    """Words (kind 1) and pairs (kind 2) of training texts with their counts, packed by hash range."""
+    """Words, pairs and triples (kinds 1 to 3) of training texts with their counts, packed by hash range."""
     starts = _starts(ranges)
 
     def flush(parts):
@@ -89,16 +113,17 @@ def _count_blobs(ranges: int):
         return _batch(rows, _COUNTS)
 
     def run(batches):
-        parts, n = {1: [], 2: []}, 0
+        parts, n = {k: [] for k in KINDS}, 0
         for b in batches:
             for _, _, data, off in chunks(b.column(0)):
-                h, text, pair = _tokens(data, off)
+                h, _, pair, triple = _tokens(data, off)
                 parts[1].append(h)
                 parts[2].append(pair[pair > 0])
+                parts[3].append(triple[triple > 0])
                 n += len(h)
                 if n > FLUSH_TOKENS:
                     yield flush({k: v for k, v in parts.items() if any(map(len, v))})
-                    parts, n = {1: [], 2: []}, 0
+                    parts, n = {k: [] for k in KINDS}, 0
         if n:
             yield flush({k: v for k, v in parts.items() if any(map(len, v))})
 
@@ -111,33 +136,35 @@ def _bit_places(h: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
     return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=U)[None, :]) % U(bits)
 
 
-def _segment(table: pa.Table) -> pa.Table:
-    """One hash range's segment of the filter, and the sums of its words."""
-    kinds = table.column("kind").to_numpy()
-    rows = table.to_pylist()
-    keys, level, stats = [], [], [0.0, 0, 0, 0]
-    for kind in (1, 2):
-        got = [(_unpack(x["first"], x["wide"], x["steps"]), np.frombuffer(x["times"], np.uint32)) for x in rows if x["kind"] == kind]
-        if not got:
-            continue
-        h, t = np.concatenate([x for x, _ in got]), np.concatenate([t for _, t in got])
-        order = np.argsort(h)
-        h, t = h[order], t[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        h, c = h[first], np.add.reduceat(t.astype(np.int64), first)
-        q = level_of(c)
-        if kind == 1:
-            stats[:3] = [float(count_of(q).sum()), len(h), int(c.sum())]
-        keys.append(np.repeat(h, q) if kind == 1 else np.repeat(h ^ U(1 << 50), q))
-        level.append(np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q) + 1)
-    keys, level = np.concatenate(keys), np.concatenate(level)
-    bits = max(64, -(-len(keys) * BITS_PER_KEY // 64) * 64)
-    flags = np.zeros(bits, bool)
-    step = 1 << 19
-    for lo in range(0, len(keys), step):
-        flags[_bit_places(keys[lo : lo + step], level[lo : lo + step], bits).ravel().astype(np.int64)] = True
-    del kinds
-    return pa.table([pa.array([table.column("rng")[0].as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([stats[0]]), pa.array([stats[1]]), pa.array([stats[2]])], names=["rng", "bits", "soft", "kinds", "total"])
+def _segment(bits_per_key: int):
+    """One hash range's segment of the filter, and how many words it has, distinct and in all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        keys, level, kinds, total = [], [], 0, 0
+        for kind, tag in KINDS.items():
+            got = [(_unpack(x["first"], x["wide"], x["steps"]), np.frombuffer(x["times"], np.uint32)) for x in rows if x["kind"] == kind]
+            if not got:
+                continue
+            h, t = np.concatenate([x for x, _ in got]), np.concatenate([t for _, t in got])
+            order = np.argsort(h)
+            h, t = h[order], t[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            h, c = h[first], np.add.reduceat(t.astype(np.int64), first)
+            q = level_of(c)
+            if kind == 1:
+                kinds, total = len(h), int(c.sum())
+            keys.append(np.repeat(h ^ tag, q))
+            level.append(np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q) + 1)
+        keys, level = np.concatenate(keys), np.concatenate(level)
+        bits = max(64, -(-len(keys) * bits_per_key // 64) * 64)
+        flags = np.zeros(bits, bool)
+        step = 1 << 19
+        for lo in range(0, len(keys), step):
+            flags[_bit_places(keys[lo : lo + step], level[lo : lo + step], bits).ravel().astype(np.int64)] = True
+        return pa.table([pa.array([table.column("rng")[0].as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([kinds]), pa.array([total])], names=["rng", "bits", "kinds", "total"])
+
+    return run
 
 
 class LevelFilter:
@@ -153,14 +180,14 @@ class LevelFilter:
             at += len(segments[r])
         self.data = np.frombuffer(b"".join(segments[r] for r in sorted(segments)), np.uint8)
 
-    def levels(self, h: np.ndarray, pairs: bool) -> np.ndarray:
+    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
         """Each distinct n-gram is probed once."""
         uniq, back = np.unique(h, return_inverse=True)
         r = np.searchsorted(self.starts, uniq, "right") - 1
         out = np.zeros(len(uniq), np.uint8)
         live = np.flatnonzero(self.size[r] > 0)
-        key = uniq ^ U(1 << 50) if pairs else uniq
-        for q in range(1, LEVELS):
+        key = uniq ^ KINDS[kind]
+        for q in range(1, LEVELS + 1):
             if not len(live):
                 break
             k, seg = key[live], r[live]
@@ -178,55 +205,41 @@ class LevelFilter:
         return out[back]
 
 
-def _position_levels(f: LevelFilter, h, pair):
-    word = f.levels(h, False)
-    joint = np.zeros(len(h), np.uint8)
-    has = np.flatnonzero(pair)
-    joint[has] = f.levels(pair[has], True)
-    return word, joint
-
-
-def _log_probability(word, joint, text, n_texts, soft, kinds, mass) -> np.ndarray:
-    """Sum over each text of log10 P, from the levels of its words and pairs."""
-    p = (count_of(word.astype(np.int64)) + 0.5) / (soft + 0.5 * (kinds + 1))
-    before = np.zeros(len(word), np.int64)
-    inner = np.concatenate([[False], text[1:] == text[:-1]])[: len(text)]
-    before[1:] = word[:-1]
-    before[~inner] = 0
-    have = (joint > 0) & (before > 0)
-    rest = np.where(inner, 1 - np.minimum(mass[before], 0.999), 1.0)
-    q = rest * p
-    q[have] += np.minimum(1.0, np.maximum(count_of(joint[have].astype(np.int64)) - DISCOUNT, 0) / count_of(before[have]))
-    return np.bincount(text, np.log10(np.minimum(q, 1.0)), minlength=n_texts)
-
+def _position_levels(f: LevelFilter, h, pair, triple) -> list[np.ndarray]:
+    """Levels of the word, pair and triple that end at each token."""
+    out = [f.levels(h, 1)]
+    for kind, gram in ((2, pair), (3, triple)):
+        level = np.zeros(len(h), np.uint8)
+        has = np.flatnonzero(gram)
+        level[has] = f.levels(gram[has], kind)
+        out.append(level)
+    return out
 
-def _add_mass(n, held, word, joint, text, use):
-    inner = (text[1:] == text[:-1]) & use[1:]
-    before, c = word[:-1][inner].astype(np.int64), count_of(joint[1:][inner].astype(np.int64))
-    n += np.bincount(before, minlength=LEVELS)
-    held += np.bincount(before, np.where(c > 0, np.maximum(c - DISCOUNT, 0) / np.maximum(c, 1), 0), minlength=LEVELS)
 
+def probabilities(levels, text, total, kinds) -> np.ndarray:
+    """P of each token after the tokens before it in its text, from the levels of n-grams."""
+    word, *longer = levels
+    p = (low(word) + 0.5) / (total + 0.5 * (kinds + 1))
+    context = word
+    for gram, prior, n in zip(longer, PRIORS, (1, 2), strict=True):
+        # the context is the next shorter n-gram that ends at the token before
+        own = np.flatnonzero(text[n:] == text[: len(text) - n]) + n
+        c = high(context[own - 1])
+        p[own] = np.where(c > 0, (np.minimum(low(gram[own]), c) + prior * p[own]) / (c + prior), p[own])
+        context = gram
+    return p
 
-def _mass_rows(filters):
-    """By level of the word before: positions, and the sum of what its pairs hold."""
 
-    def run(batches):
-        n, held = np.zeros(LEVELS), np.zeros(LEVELS)
-        for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
-                h, text, pair = _tokens(data, off)
-                word, joint = _position_levels(filters.value, h, pair)
-                _add_mass(n, held, word, joint, text, np.ones(len(text), bool))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(n), pa.array(held)], ["level", "n", "held"])
-
-    return run
+def _log_probability(levels, text, n_texts, total, kinds) -> np.ndarray:
+    """Sum over each text of log10 P."""
+    return np.bincount(text, np.log10(probabilities(levels, text, total, kinds)), minlength=n_texts)
 
 
 class NgramModel:
-    """A fitted model: blocks of the filter (broadcast), and the sums and masses that smoothing needs."""
+    """A fitted model: blocks of the filter (broadcast), and the number of training tokens and of distinct ones."""
 
-    def __init__(self, blocks: list, soft: float, kinds: int, mass: np.ndarray):
-        self.blocks, self.soft, self.kinds, self.mass = blocks, soft, kinds, mass
+    def __init__(self, blocks: list, total: int, kinds: int):
+        self.blocks, self.total, self.kinds = blocks, total, kinds
 
 
 _EXCHANGE = pa.schema([("rng", pa.int32()), ("flush", pa.int64()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("learn", pa.binary()), ("head", pa.binary())])
@@ -242,7 +255,7 @@ def _head(ids, learn, sizes, scores) -> bytes:
 
 
 def _flushes(batches):
-    """Runs of whole texts of bounded size, the same in every pass over the same table: (number, [(ids, learn, tokens, texts, pairs)])."""
+    """Runs of whole texts of bounded size, the same in every pass over the same table: (number, [(ids, learn, tokens, texts, pairs, triples)])."""
     part, no = TaskContext.get().partitionId() << 24, 0
     held, n_tok, n_text = [], 0, 0
     for b in batches:
@@ -252,8 +265,8 @@ def _flushes(batches):
                 yield part + no, held
                 no += 1
                 held, n_tok, n_text = [], 0, 0
-            h, text, pair = _tokens(data, off)
-            held.append((b.column(0).slice(lo, hi - lo), known[lo:hi], h, text, pair))
+            h, text, pair, triple = _tokens(data, off)
+            held.append((b.column(0).slice(lo, hi - lo), known[lo:hi], h, text, pair, triple))
             n_tok += len(h)
             n_text += hi - lo
     if held:
@@ -264,18 +277,18 @@ def _exchange(ranges: int, model: NgramModel | None):
     """Distinct (word, text) of each flush by hash range, with counts; with a model also a head row: ids, sizes, scores."""
     starts = _starts(ranges)
 
-    shared, rest = (model.blocks[0], (model.soft, model.kinds, model.mass)) if model else (None, ())
+    shared, rest = (model.blocks[0], (model.total, model.kinds)) if model else (None, ())
 
     def run(batches):
         for no, held in _flushes(batches):
             rows, packed, n_text = [], [], 0
             learn = np.concatenate([x[1] for x in held])
-            for _, known, h, text, _ in held:
+            for _, known, h, text, *_ in held:
                 packed.append((h << U(16)) | (text + n_text).astype(U))
                 n_text += len(known)
             if shared is not None:
-                scores = [_log_probability(*_position_levels(shared.value, h, pair), text, len(known), *rest) for _, known, h, text, pair in held]
-                sizes = np.concatenate([np.bincount(text, minlength=len(known)) for _, known, _, text, _ in held])
+                scores = [_log_probability(_position_levels(shared.value, h, pair, triple), text, len(known), *rest) for _, known, h, text, pair, triple in held]
+                sizes = np.concatenate([np.bincount(text, minlength=len(known)) for _, known, _, text, *_ in held])
                 rows.append((-1 - no % ranges, no, 0, False, b"", b"", b"", b"", _head(pa.concat_arrays([x[0] for x in held]), learn, sizes, np.concatenate(scores))))
             packed, times = np.unique(np.concatenate(packed), return_counts=True)
             own = (packed & U(0xFFFF)).astype(np.uint16)
@@ -286,7 +299,8 @@ def _exchange(ranges: int, model: NgramModel | None):
     return run
 
 
-_LEVELS_SQL = "flush long, word binary, joint binary, head binary"
+_GRAMS = ("word", "pair", "triple")
+_LEVELS_SQL = "flush long, word binary, pair binary, triple binary, head binary"
 
 
 def _levels(shared, first: bool):
@@ -294,45 +308,32 @@ def _levels(shared, first: bool):
 
     def run(batches):
         for no, held in _flushes(batches):
-            got = [_position_levels(shared.value, h, pair) for _, _, h, _, pair in held]
+            got = [_position_levels(shared.value, h, pair, triple) for _, _, h, _, pair, triple in held]
             head = None
             if first:
-                sizes = np.concatenate([np.bincount(text, minlength=len(known)) for _, known, _, text, _ in held])
+                sizes = np.concatenate([np.bincount(text, minlength=len(known)) for _, known, _, text, *_ in held])
                 head = _head(pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]), sizes, np.zeros(len(sizes)))
-            yield pa.RecordBatch.from_arrays([pa.array([no]), *(pa.array([np.concatenate([g[i] for g in got]).tobytes()], pa.binary()) for i in (0, 1)), pa.array([head], pa.binary())], ["flush", "word", "joint", "head"])
+            yield pa.RecordBatch.from_arrays([pa.array([no]), *(pa.array([np.concatenate([g[i] for g in got]).tobytes()], pa.binary()) for i in range(3)), pa.array([head], pa.binary())], ["flush", *_GRAMS, "head"])
 
     return run
 
 
 def _most(table: pa.Table) -> pa.Table:
     """A flush's levels over all blocks."""
-    word, joint = (np.max([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()], axis=0) for c in ("word", "joint"))
+    levels = [np.max([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()], axis=0) for c in _GRAMS]
     head = next(x for x in table.column("head").to_pylist() if x is not None)
-    return pa.table([table.column("flush").slice(0, 1), pa.array([word.tobytes()], pa.binary()), pa.array([joint.tobytes()], pa.binary()), pa.array([head], pa.binary())], names=["flush", "word", "joint", "head"])
-
+    return pa.table([table.column("flush").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in levels), pa.array([head], pa.binary())], names=["flush", *_GRAMS, "head"])
 
-def _read_levels(b):
-    for no, word, joint, head in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-        t = pa.ipc.open_stream(head).read_all()
-        sizes = t.column("n_tokens").to_numpy()
-        yield no, np.frombuffer(word, np.uint8), np.frombuffer(joint, np.uint8), np.repeat(np.arange(len(sizes)), sizes), t
 
-
-def _mass_of_levels(batches):
-    n, held = np.zeros(LEVELS), np.zeros(LEVELS)
-    for b in batches:
-        for _, word, joint, text, t in _read_levels(b):
-            _add_mass(n, held, word, joint, text, t.column("learn").to_numpy(zero_copy_only=False).astype(bool)[text])
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS)), pa.array(n), pa.array(held)], ["level", "n", "held"])
-
-
-def _heads_of_levels(soft, kinds, mass):
+def _heads_of_levels(total, kinds):
     def run(batches):
         for b in batches:
-            for no, word, joint, text, t in _read_levels(b):
-                score = _log_probability(word, joint, text, t.num_rows, soft, kinds, mass)
-                head = _head(t.column("doc_id").combine_chunks(), t.column("learn").to_numpy(zero_copy_only=False).astype(bool), t.column("n_tokens").to_numpy(), score)
-                yield pa.RecordBatch.from_arrays([pa.array([no]), *(pa.array([None], pa.binary()) for _ in range(3)), pa.array([head], pa.binary()), pa.array([0]), pa.array([0])], ["flush", "at", "logs", "known", "head", "kinds", "total"])
+            for no, *levels, head in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                t = pa.ipc.open_stream(head).read_all()
+                sizes = t.column("n_tokens").to_numpy()
+                score = _log_probability([np.frombuffer(x, np.uint8) for x in levels], np.repeat(np.arange(len(sizes)), sizes), t.num_rows, total, kinds)
+                scored = _head(t.column("doc_id").combine_chunks(), t.column("learn").to_numpy(zero_copy_only=False).astype(bool), sizes, score)
+                yield pa.RecordBatch.from_arrays([pa.array([no]), *(pa.array([None], pa.binary()) for _ in range(3)), pa.array([scored], pa.binary()), pa.array([0]), pa.array([0])], ["flush", "at", "logs", "known", "head", "kinds", "total"])
 
     return run
 
@@ -389,22 +390,15 @@ def _texts(table: pa.Table) -> pa.Table:
     )
 
 
-def _mass(rows: DataFrame) -> np.ndarray:
-    mass = np.zeros(LEVELS)
-    for level, n, h in rows.groupBy("level").agg(F.sum("n"), F.sum("held")).collect():
-        mass[level] = h / n if n else 0.0
-    return mass
-
-
-def fit_filter(texts: DataFrame, max_block_bytes: int = 256 << 20) -> NgramModel:
-    """Count the words and pairs of all rows of ``texts`` (one string column) and build the filter.
+def fit_filter(texts: DataFrame, max_block_bytes: int = 256 << 20, bits_per_key: int = BITS_PER_KEY) -> NgramModel:
+    """Count the words, pairs and triples of all rows of ``texts`` (one string column) and build the filter.
 
     The filter grows with the corpus; it leaves the executors in blocks of at most ``max_block_bytes`` (or one segment).
     """
     ranges = ranges_for(texts, 64)
     blobs = texts.mapInArrow(_count_blobs(ranges), "rng int, kind int, first long, wide boolean, steps binary, times binary")
-    segments = materialise(blobs.groupBy("rng").applyInArrow(_segment, "rng int, bits binary, soft double, kinds long, total long"), "segments")
-    soft, kinds = segments.agg(F.sum("soft"), F.sum("kinds")).first()
+    segments = materialise(blobs.groupBy("rng").applyInArrow(_segment(bits_per_key), "rng int, bits binary, kinds long, total long"), "segments")
+    kinds, total = segments.agg(F.sum("kinds"), F.sum("total")).first()
     sc = texts.sparkSession.sparkContext
     blocks, held, size = [], {}, 0
     for r, bits in segments.select("rng", "bits").toLocalIterator():
@@ -414,31 +408,33 @@ def fit_filter(texts: DataFrame, max_block_bytes: int = 256 << 20) -> NgramModel
         held[r] = bytes(bits)
         size += len(bits)
     blocks.append(sc.broadcast(LevelFilter(ranges, held)))
-    return NgramModel(blocks, soft or 0.0, kinds or 0, np.zeros(LEVELS))
+    release(segments)
+    return NgramModel(blocks, total or 0, kinds or 0)
 
 
-def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", max_block_bytes: int = 256 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", max_block_bytes: int = 256 << 20, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
     """Score every text with a model of the rows where ``learn`` (a boolean Column) holds.
 
     Returns for each row doc_id, learn, n_tokens, n_known, train_tokens, base_score and score. Tokens are words (runs of
     non-white-space bytes, A-Z lowered) and one end token. A null text counts as empty, a null ``learn`` as false;
-    repeated rows are scored and counted each; an empty table gives no rows. With nothing to learn from, every token has
-    probability 1.
+    repeated rows are scored and counted each; other columns are ignored; an empty table gives no rows. With nothing to
+    learn from, every token has probability 1. A very long text is one run of its own.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    train = own.where("learn").select("text")
-    model = fit_filter(train, max_block_bytes)
+    model = fit_filter(own.where("learn").select("text"), max_block_bytes, bits_per_key)
     ranges = ranges_for(own, 64)
     if len(model.blocks) == 1:
-        model.mass = _mass(train.mapInArrow(_mass_rows(model.blocks[0]), "level long, n double, held double"))
         replies = own.mapInArrow(_exchange(ranges, model), _EXCHANGE_SQL).groupBy("rng").applyInArrow(_replies, _REPLY)
     else:
         # each block is a job of its own: in a union, partition numbers would no longer be those of the table
-        known = [materialise(own.mapInArrow(_levels(x, i == 0), _LEVELS_SQL), "levels") for i, x in enumerate(model.blocks)]
+        known = []
+        for i, x in enumerate(model.blocks):
+            known.append(materialise(own.mapInArrow(_levels(x, i == 0), _LEVELS_SQL), "levels"))
+            x.unpersist()
         levels = materialise(reduce(DataFrame.unionAll, known).groupBy("flush").applyInArrow(_most, _LEVELS_SQL), "levels")
-        model.mass = _mass(levels.mapInArrow(_mass_of_levels, "level long, n double, held double"))
+        release(*known)
         replies = own.mapInArrow(_exchange(ranges, None), _EXCHANGE_SQL).groupBy("rng").applyInArrow(_replies, _REPLY)
-        replies = replies.unionAll(levels.mapInArrow(_heads_of_levels(model.soft, model.kinds, model.mass), _REPLY))
+        replies = replies.unionAll(levels.mapInArrow(_heads_of_levels(model.total, model.kinds), _REPLY))
     found = materialise(replies.groupBy("flush").applyInArrow(_texts, _TEXTS), "scores")
     kinds, total = found.where("n_tokens is null").agg(F.sum("kinds"), F.sum("total")).first()
     kinds, total = kinds or 0, total or 0

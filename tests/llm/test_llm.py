@@ -276,12 +276,54 @@ def test_language_model(spark, docs):
     assert language_model.score_texts(empty(spark), F.col("doc_id") % 5 != 1).count() == 0
 
 
-def test_pairs_seen_once_are_scored(spark):
-    rows = [(0, "a b", True), (1, "c d", True), (2, "a b", False), (3, "a d", False)]
+def _toy(seed):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(rng.choice(list("abcdefg"), int(rng.integers(0, 6)))), i % 4 > 0) for i in range(24)]
+
+
+def test_language_model_score_against_brute_force(spark):
+    rows = _toy(3)
+    grams = Counter()
+    for _, t, learn in rows:
+        if learn:
+            w = [*t.split(), "END"]
+            grams.update(tuple(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    total, kinds = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    level = {g: int(language_model.level_of(np.array([c]))[0]) for g, c in grams.items()}
+    low, high = (lambda g, f=f: float(f(np.array([level.get(g, 0)]))[0]) for f in (language_model.low, language_model.high))
+
+    def prob(w, before):
+        p = (low((w,)) + 0.5) / (total + 0.5 * (kinds + 1))
+        for n, prior in zip((1, 2), language_model.PRIORS):
+            if len(before) >= n and high(before[-n:]):
+                p = (low((*before[-n:], w)) + prior * p) / (high(before[-n:]) + prior)
+        return p
+
+    want = {}
+    for i, t, _ in rows:
+        w = (*t.split(), "END")
+        want[i] = sum(np.log10(prob(w[j], w[:j])) for j in range(len(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
     for size in (256 << 20, 100):
-        got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("learn"), max_block_bytes=size).collect()}
-        assert got[2] > got[3] + 0.1
+        got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("learn"), max_block_bytes=size, bits_per_key=256).collect()}
+        assert got == pytest.approx(want, abs=1e-6)
+    # every conditional distribution sums to at most 1 over the words and one unseen word, and nearly to 1
+    for before in {(), *(g for g in grams if "END" not in g and len(g) < 3)}:
+        assert 0.9 < sum(prob(w, before) for w in [*"abcdefg", "END", "unseen"]) <= 1 + 1e-9
+
+
+def test_count_levels():
+    c = np.arange(1, 100_000)
+    q = language_model.level_of(c)
+    assert (language_model.low(q) <= c).all() and (language_model.high(q) >= c).all()
+    assert (language_model.low(q[:8]) == c[:8]).all() and (language_model.high(q) / language_model.low(q) < 1.25).all()
+
+
+def test_grams_seen_once_are_scored(spark):
+    rows = [(0, "a b", True), (1, "c d", True), (2, "a b", False), (3, "a d", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("learn")).collect()}
+    assert got[2] > got[3] + 0.05
 
 
 def test_packing_round_trip(spark, docs):
