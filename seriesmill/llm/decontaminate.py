@@ -4,12 +4,15 @@ A fixed mask keeps some word positions of a window and ignores the others, so a
 leaves the hash as it is. ``MASKS`` was chosen by exhaustive search: whatever 3 words of a 12-word window differ, one
 mask hits somewhere inside. Hits are verified along their diagonal: an overlap is a 12-word window of the test item of
 which 9 words or more (75 %) stand at the same places in the document. So the result is exact, not only likely.
-Items of fewer than 12 words count only when all of their words stand in the document consecutively.
+Items of n < 12 words are one window of n words, of which 75 % or more must agree; masks for these lengths are found by
+a greedy cover: whatever words may differ, one mask ignores them all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +23,34 @@ from .kernel import U, chunks, windows, words
 
 WINDOW, EQUAL = 12, 9
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 7, 8), (0, 1, 4, 6, 7), (0, 1, 3, 4, 5))
-#: Bound of a broadcast: items go out in blocks of at most so many words (8 bytes a word and 12 a seed and mask).
+#: Bound of a broadcast: items go out in blocks of at most so many words (8 bytes a word, 16 a seed of each mask, and
+#: 2^22 bytes a mask for the filter of seeds).
 BLOCK_WORDS = 1 << 17
+#: Pairs of equal seeds looked at together.
+STEP_PAIRS = 1 << 20
 SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, length long, equal long"
 _FILTER_BITS = 22
 
 
+def need_of(n):
+    """Words of a window of n that must agree."""
+    return -(-n * EQUAL // WINDOW)
+
+
+@cache
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """Masks of a window of n words such that each choice of n - need_of(n) differing words leaves one mask untouched."""
+    spare = n - need_of(n)
+    open_ = set(combinations(range(n), spare))
+    weight = max(1, min(n - spare, 5 if n > 8 else 4))
+    masks, out = list(combinations(range(n), weight)), []
+    while open_:
+        best = max(masks, key=lambda m: (sum(not set(m) & set(d) for d in open_), m))
+        out.append(best)
+        open_ = {d for d in open_ if set(best) & set(d)}
+    return tuple(out)
+
+
 class SeedIndex:
     """Words and masked seeds of a block of test items."""
 
@@ -43,9 +68,10 @@ class SeedIndex:
             s, at = windows(h, text, places)
             self._add(places, s, at, size[text[at]] >= WINDOW)
         for n in np.unique(size[(size > 0) & (size < WINDOW)]):
-            places = tuple(range(int(n)))
-            s, at = windows(h, text, places)
-            self._add(places, s, at, size[text[at]] == n)
+            for mask in masks_of(int(n)):
+                places = tuple(p - mask[0] for p in mask)
+                s, at = windows(h, text, places)
+                self._add(places, s, at, (size[text[at]] == n) & (at - self.start[text[at]] == mask[0]))
 
     def _add(self, places, s, at, keep):
         s, at = s[keep], at[keep]
@@ -66,11 +92,17 @@ class SeedIndex:
             w, where = windows(h, text, places)
             may = np.flatnonzero(near[(w >> U(64 - _FILTER_BITS)).astype(np.int64)])
             lo, hi = np.searchsorted(s, w[may], "left"), np.searchsorted(s, w[may], "right")
-            n = hi - lo
-            pos = np.repeat(where[may], n)
-            item_pos = at[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            item = self.owner[item_pos]
-            seen.append(np.unique(np.stack([text[pos], item, pos - (item_pos - self.start[item])]), axis=1))
+            where, n = where[may], hi - lo
+            # a seed that text and item hold often makes many pairs: only their diagonals are kept, a bounded step at a time
+            many = np.cumsum(n)
+            for first, last in _steps(many):
+                m = n[first:last]
+                pos = np.repeat(where[first:last], m)
+                item_pos = at[np.repeat(lo[first:last], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                item = self.owner[item_pos]
+                seen.append(np.unique(np.stack([text[pos], item, pos - (item_pos - self.start[item])]), axis=1))
+                if len(seen) > 8:
+                    seen = [np.unique(np.concatenate(seen, axis=1), axis=1)]
         if not seen:
             return
         t, item, diagonal = np.unique(np.concatenate(seen, axis=1), axis=1)
@@ -89,7 +121,7 @@ class SeedIndex:
         total = np.concatenate([[0], np.cumsum(same)])
         end = np.cumsum(size)
         width = np.minimum(size, WINDOW)
-        need = np.where(size < WINDOW, size, EQUAL)
+        need = need_of(width)
         fits = place + width[n] <= size[n]
         at = np.flatnonzero(fits)
         score = total[at + width[n[at]]] - total[at]
@@ -106,6 +138,16 @@ class SeedIndex:
         yield t[r], item[r], diagonal[r] + lo - base[t[r]], lo, hi - lo, equal
 
 
+def _steps(total: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of places whose counts (``total`` their running sum) come to about ``STEP_PAIRS``, one place at least."""
+    lo = 0
+    while lo < len(total) and total[-1]:
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + STEP_PAIRS, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _scan(index):
     def run(batches):
         for b in batches:
@@ -136,7 +178,8 @@ def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 
     One row for each stretch: for a document, an item and a diagonal, from the first to the last window that passes.
     Words are runs of non-white-space bytes with A-Z lowered. Null or word-less texts and items overlap with nothing, null
-    item ids are skipped, repeated rows give repeated results, an empty table gives no rows. Test items are a stated query
+    item ids are skipped, repeated rows give repeated results, other columns are ignored, an empty table gives no rows;
+    texts of any length are read whole. Test items are a stated query
     set: they go to the workers in blocks of at most ``BLOCK_WORDS`` words, with one pass over the documents a block.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

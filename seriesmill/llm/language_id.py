@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .kernel import LOWER, chunks
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-#: The fit reads about so many texts of each language and at most so many windows of each text.
-SAMPLE, SAMPLE_WINDOWS = 1200, 4
+#: The fit reads about so many different texts of each language, all windows of each.
+SAMPLE = 400
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = LOWER[65:91]
@@ -125,23 +125,21 @@ def _sample_rows(batches):
     for b in batches:
         for lo, hi, data, off in chunks(b.column(1)):
             x, text = window_rows(data, off)
-            full = (x != 32).sum(axis=1) >= 8
-            x, text = x[full], text[full]
-            first = np.searchsorted(text, np.arange(hi - lo))
-            n = np.diff(np.append(first, len(text)))
-            pick = np.unique(np.concatenate([first + (n * i // SAMPLE_WINDOWS) for i in range(SAMPLE_WINDOWS)])[np.tile(n > 0, SAMPLE_WINDOWS)])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(text[pick])), pa.array([r.tobytes() for r in x[pick]], pa.binary())], ["lang", "window"])
+            some = (x != 32).any(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(text[some])), pa.array([r.tobytes() for r in x[some]], pa.binary())], ["lang", "window"])
 
 
 def fit(train: DataFrame, lang: str = "lang", text: str = "text", sample: int = SAMPLE) -> ByteConvNet | None:
-    """Fit on about ``sample`` texts of each language, chosen by a hash of the text; None without labelled texts."""
-    own = train.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    """Fit on about ``sample`` different texts of each language, chosen by a hash of the text; None without labelled texts."""
+    own = train.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    # copies count once, so a text that fills a third of the table is one text of the sample too
+    counts = {r[0]: r[1] for r in own.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
     if not counts:
         return None
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, sample / n))])[F.col("lang")]
-    rows = sorted((r[0], bytes(r[1])) for r in own.where(draw < share).mapInArrow(_sample_rows, "lang string, window binary").collect())
+    draw = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    share = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1.0, sample / max(n, 1)))])[F.col("lang")]
+    chosen = own.where(draw < share).dropDuplicates(["lang", "h"]).select("lang", "text")
+    rows = sorted((r[0], bytes(r[1])) for r in chosen.mapInArrow(_sample_rows, "lang string, window binary").collect())
     names = sorted(counts)
     if not rows:
         return ByteConvNet(names)
@@ -179,7 +177,8 @@ def predict(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     """(doc_id, held_out, lang_pred, score) for every row; nothing of rows where ``held_out`` holds is learned.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned. Rows of null lang
-    aren't learned from; repeated rows and null doc_ids are predicted like any other; an empty table gives no rows.
+    aren't learned from; repeated rows and null doc_ids are predicted like any other; other columns are ignored; texts of
+    any length are read whole; an empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(own.where(~F.col("held_out"))))

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Per-coordinate learning rates and an L1 penalty (McMahan et al. 2013) leave few non-zero weights out of 2^BITS, which
-are broadcast as one float array of fixed size. Features are binary: words, pairs, pairs with one word between, and the
+are broadcast as the indices and values of those that aren't zero. Features are binary: words, pairs, pairs with one word between, and the
 first 4, 5 and 6 bytes of longer words (inflected insults share a stem; whole words alone miss the forms never seen).
 A word is a run of letters, digits and non-ASCII bytes with A-Z lowered, so marks around it don't hide it.
 """
@@ -18,8 +18,8 @@ from .kernel import LETTERS, U, chunks, hashes, spans, windows
 BITS = 20
 GRAMS = ((0,), (0, 1), (0, 2))
 STEMS = (4, 5, 6)
-#: The fit reads at most so many labelled texts of each label, of at most so many characters each.
-SAMPLE, SAMPLE_CHARS = 4000, 40_000
+#: The fit reads at most so many labelled texts of each label; each is read whole and gives at most 2^BITS features.
+SAMPLE = 4000
 ALPHA, BETA, L1, L2, EPOCHS = 0.2, 1.0, 1.0, 1.0, 3
 
 
@@ -73,7 +73,9 @@ def ftrl(rows: list[tuple[int, np.ndarray]], epochs: int = EPOCHS) -> tuple[np.n
 
 def _scores(model):
     def run(batches):
-        w, bias = model.value
+        index, weight, bias = model.value
+        w = np.zeros(1 << BITS, np.float32)
+        w[index] = weight
         for b in batches:
             for lo, hi, data, off in chunks(b.column(2)):
                 f, t = features(data, off)
@@ -87,11 +89,11 @@ def _scores(model):
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Fit on at most ``sample`` labelled texts of each label, chosen by a hash of their id; the bias is moved back to the
-    share of the label among all labelled ids. Texts over ``SAMPLE_CHARS`` characters aren't sampled."""
+    share of the label among all labelled ids."""
     named = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("label")).where("i is not null and label in (0, 1)").groupBy("i").agg(F.max("label").alias("label"))
     total = {int(r[0]): r[1] for r in named.groupBy("label").count().collect()}
     parts = [named.where(F.col("label") == v).orderBy(F.xxhash64("i"), "i").limit(sample) for v in (0, 1)]
-    own = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    own = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("text")).where("text is not null")
     # at most 2 x sample rows of two numbers are broadcast
     chosen = own.join(F.broadcast(parts[0].unionAll(parts[1])), "i")
     got = chosen.select("i", "label", "text").select("label", "text", "i").mapInArrow(_feature_rows, "label int, features binary").collect()
@@ -110,11 +112,14 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
     """(doc_id, held_out, score, predicted) for every row; nothing of rows where ``held_out`` holds is learned.
 
     A null or word-less text has the score of the bias; rows of null doc_id are scored and not learned from; repeated
-    rows are scored each; with no labels of both kinds, the score is the share of label 1; an empty table gives no rows.
+    rows are scored each; with no labels of both kinds, the score is the share of label 1; other columns are ignored; texts
+    of any length are read whole; an empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
     train = own.where(~F.col("held_out"))
     usable = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).where(~F.coalesce(held_out, F.lit(False)))
-    model = docs.sparkSession.sparkContext.broadcast(fit(train, usable, "label"))
+    weights, bias = fit(train, usable, "label")
+    live = np.flatnonzero(weights)
+    model = docs.sparkSession.sparkContext.broadcast((live.astype(np.int32), weights[live], bias))
     scored = own.mapInArrow(_scores(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -241,7 +241,7 @@ def test_decontamination_against_brute_force(spark):
         for i, b in items:
             a, b = words(t), words(b)
             size = min(len(b), 12)
-            need = 9 if len(b) >= 12 else len(b)
+            need = -(-size * 9 // 12)
             if i is not None and b and any(sum(x == y for x, y in zip(a[p : p + size], b[q : q + size], strict=True)) >= need for q in range(len(b) - size + 1) for p in range(len(a) - size + 1)):
                 want.add((d, i))
     assert got == want
@@ -249,6 +249,67 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want if d is not None}
 
 
+def test_masks_cover_every_choice_of_differing_words():
+    from itertools import combinations
+
+    for n in range(1, 12):
+        spare = n - decontaminate.need_of(n)
+        assert all(any(not set(m) & set(d) for m in decontaminate.masks_of(n)) for d in combinations(range(n), spare))
+
+
+def test_overlap_figures_and_odd_rows(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    w = item.split()
+    long = "x " * 50_000 + " ".join([*w[:8], "odd", *w[9:16]]) + " y" * 50_000
+    docs = spark.createDataFrame([(1, long, 7), (1, long, 7), (2, item.upper(), 7), (3, "none of it", 7), (4, None, 7)], "doc_id long, text string, item_id long")
+    items = spark.createDataFrame([(5, item, 0), (6, "x x x x x x x x x x x x", 0)], "item_id long, text string, doc_id long")
+    got = sorted(tuple(r) for r in decontaminate.benchmark_overlaps(docs, items).where("item_id = 5").collect())
+    # the window from the first word that passes to the last: 16 words, 15 of them equal; the windows go on over 3 more that differ
+    assert got[0][:4] == (1, 5, 50_000, 0) and got[0] == got[1] and got[0][5] == 15 and got[2] == (2, 5, 0, 0, 20, 20)
+    top = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(docs, items).collect()}
+    assert set(top) == {(1, 5), (1, 6), (2, 5)} and top[1, 5].overlaps == 2 and top[2, 5].longest == 20
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0 and decontaminate.contamination(docs, items.limit(0)).count() == 0
+
+
+def test_ftrl_against_a_plain_version():
+    rng = np.random.default_rng(0)
+    rows = [(int(rng.integers(2)), np.unique(rng.integers(0, 30, 6))) for _ in range(80)]
+    z, n, w = Counter(), Counter(), {}
+    bz = bn = b = 0.0
+    a, beta, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((beta + n[i] ** 0.5) / a + l2)
+    for _ in range(toxicity.EPOCHS):
+        for y, x in rows:
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - y
+            for i in x:
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / a
+                z[i] += g - s * w[i]
+                n[i] += g * g
+            s = ((bn + g * g) ** 0.5 - bn**0.5) / a
+            bz += g - s * b
+            bn += g * g
+            b = -bz / ((beta + bn**0.5) / a)
+    got, bias = toxicity.ftrl(rows)
+    assert got[:30] == pytest.approx([weight(i) for i in range(30)], abs=1e-5) and bias == pytest.approx(b) and not got[30:].any()
+
+
+def test_toxicity_held_out(spark):
+    rng = np.random.default_rng(9)
+    voc = [f"word{i}" for i in range(300)]
+    rows, bad = [], []
+    for i in range(900):
+        t = list(rng.choice(voc, 60))
+        toxic = i % 3 == 0
+        if toxic:
+            t[int(rng.integers(60))] = ["idiots!", "Scum,", "moron"][int(rng.integers(3))]
+        rows.append((i, " ".join(t) * (40 if i == 300 else 1) + " x" * (200_000 if i == 303 else 0)))
+        bad.append((i, int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bad, "doc_id long, toxic int")
+    got = toxicity.score(docs, labels, F.col("doc_id") % 4 == 2).where("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in got) / len(got) > 0.97
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, "x\nLicensed under the Apache License, Version 2.0. under the mit license"), (3, None), (4, "..."), (5, "This work is licensed under the GNU General Public License, version 3."), (6, "über CC BY-NC, cc by nc!"), (7, "license " * 5000)]
     got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
