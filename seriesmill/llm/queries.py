@@ -133,24 +133,31 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS
 def _op8_sql() -> str:
     gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    words = f"list_filter(string_split(regexp_replace({{}}, {gap}, ' ', 'g'), ' '), lambda x: x <> '')"
+    words = f"list_filter(string_split(regexp_replace({low}, {gap}, ' ', 'g'), ' '), lambda x: x <> '')"
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"({sorted(set(t.split()))!r}, '{label}')" for t, label in license_scan.TEMPLATES)
+    templates = ", ".join(f"({i}, {sorted(set(t.split()))!r}, '{label}', {len(t.split())})" for i, (t, label) in enumerate(license_scan.TEMPLATES))
     return f"""
-WITH d AS (SELECT doc_id, {words.format(low)} AS w, string_split({low}, chr(10)) AS lines FROM documents),
+WITH d AS (SELECT doc_id, {words} AS w FROM documents),
 p(pw, label) AS (VALUES {phrases}),
 place AS (
   SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(pw) + 1), lambda i: w[i + 1] = pw[1] AND w[i + 1:i + len(pw)] = pw)) AS i FROM d, p
 ),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM place GROUP BY doc_id),
-t(tw, label) AS (VALUES {templates}),
-block AS (SELECT doc_id, b, {words.format("line")} AS bw FROM (SELECT doc_id, unnest(range(len(lines))) AS b, unnest(lines) AS line FROM d)),
+t(id, tw, label, size) AS (VALUES {templates}),
+tv AS (SELECT id, label, size, len(tw) AS n, unnest(tw) AS w FROM t),
+v AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS w FROM d),
+st AS (SELECT doc_id, pos, w, id, label, size, n FROM v JOIN tv USING (w)),
 hit AS (
-  SELECT doc_id, b, label, len(list_intersect(tw, bw)) / len(tw)::DOUBLE AS score, len(tw) AS n
-  FROM block, t WHERE 100 * len(list_intersect(tw, bw)) >= {license_scan.PERCENT} * len(tw)
+  SELECT s.doc_id, s.id, s.label, s.size, s.n, s.pos, count(DISTINCT x.w) / s.n::DOUBLE AS score
+  FROM st s JOIN st x ON x.doc_id = s.doc_id AND x.id = s.id AND x.pos >= s.pos AND x.pos < s.pos + s.size
+  GROUP BY ALL HAVING 100 * count(DISTINCT x.w) >= {license_scan.PERCENT} * s.n
 ),
-best AS (SELECT doc_id, b, max((score, n, label)) AS m FROM hit GROUP BY doc_id, b),
-found AS (SELECT doc_id, list(DISTINCT m[3]) AS labels, max(m[1]) AS score, count(*) AS n_blocks FROM best GROUP BY doc_id)
+kept AS (
+  SELECT * FROM hit h WHERE NOT EXISTS (
+    SELECT 1 FROM hit g WHERE g.doc_id = h.doc_id AND g.pos < h.pos + h.size AND h.pos < g.pos + g.size AND (g.score, g.n, -g.pos, g.label, g.size) > (h.score, h.n, -h.pos, h.label, h.size)
+  )
+),
+found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(score) AS score, count(*) AS n_blocks FROM kept GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,

@@ -320,6 +320,45 @@ def test_licenses(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_notices_and_odd_rows(spark):
+    gpl = next(t for t, label in license_scan.TEMPLATES if label == "gpl")
+    w = gpl.split()
+    rows = [(1, "# " + " ".join(w[:9]) + "\n# " + " ".join(w[9:15]) + " odd\n# " + " ".join(w[16:]), 3), (2, "Some text.\nAll rights\nreserved.", 3), (3, "licensed under cc by nc 4 0", 3), (4, "Released under the MIT license. Licensed under CC BY 4.0!", 3)]
+    rows += [(5, " ".join(w[:5]) + " x" * 60 + " " + " ".join(w[5:]), 3), (None, "all rights reserved", 3), (2, "Some text.\nAll rights\nreserved.", 3), (6, "the " * 30_000 + gpl, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words long").repartition(3)
+    got = [(r.doc_id, r.labels, [(b.first_word, b.label) for b in r.blocks]) for r in license_scan.scan(df).collect()]
+    want = [(1, "gpl", [(0, "gpl")]), (2, "all-rights-reserved", [(2, "all-rights-reserved")])]
+    assert all(x in got for x in want) and got.count(want[1]) == 2 and (None, "all-rights-reserved", [(0, "all-rights-reserved")]) in got
+    assert (3, "cc-by-nc", [(0, "cc-by-nc")]) in got and (4, "cc-by,mit", [(0, "mit"), (5, "cc-by")]) in got
+    assert [x[1] for x in got if x[0] == 5] == [""] and (6, "gpl", [(30_000, "gpl")]) in got
+
+
+def test_license_blocks_against_brute_force_with_many_templates(spark):
+    rng = np.random.default_rng(12)
+    voc = [f"v{i}" for i in range(120)]
+    templates = [(" ".join(rng.choice(voc, int(rng.integers(3, 12)))), f"l{i}") for i in range(200)]
+    rows = []
+    for i in range(40):
+        t = list(rng.choice(voc, 30))
+        own = templates[i][0].split()
+        own[int(rng.integers(len(own)))] = "odd" if i % 2 else own[0]
+        rows.append((i, " ".join(t + own + t[:7])))
+    got = {(r.doc_id, b.first_word, b.label, round(b.score, 9)) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect() for b in r.blocks}
+    want = set()
+    for i, t in rows:
+        w, hits = t.split(), []
+        for text, label in templates:
+            s, size = set(text.split()), len(text.split())
+            for j in range(len(w)):
+                held = len(s & set(w[j : j + size]))
+                if w[j] in s and 100 * held >= 80 * len(s):
+                    hits.append((held / len(s), len(s), -j, label, size))
+        for h in hits:
+            if not any(g > h and -g[2] < -h[2] + h[4] and -h[2] < -g[2] + g[4] for g in hits):
+                want.add((i, -h[2], h[3], round(h[0], 9)))
+    assert got == want and len(want) > 30
+
+
 def test_language_model(spark, docs):
     rows = docs.select("doc_id", "text").collect()
     learn = lambda i: i is not None and i % 5 != 1
