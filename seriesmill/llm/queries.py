@@ -150,7 +150,7 @@ st AS (SELECT doc_id, pos, w, id, label, size, n FROM v JOIN tv USING (w)),
 hit AS (
   SELECT s.doc_id, s.id, s.label, s.size, s.n, s.pos, count(DISTINCT x.w) / s.n::DOUBLE AS score
   FROM st s JOIN st x ON x.doc_id = s.doc_id AND x.id = s.id AND x.pos >= s.pos AND x.pos < s.pos + s.size
-  GROUP BY ALL HAVING 100 * count(DISTINCT x.w) >= {license_scan.PERCENT} * s.n
+  GROUP BY s.doc_id, s.id, s.label, s.size, s.n, s.pos HAVING 100 * count(DISTINCT x.w) >= {license_scan.PERCENT} * s.n
 ),
 kept AS (
   SELECT * FROM hit h WHERE NOT EXISTS (
