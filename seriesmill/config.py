@@ -29,15 +29,20 @@ class TrendConfig:
 
 @dataclass
 class BoostConfig:
-    iterations: int = 8
+    iterations: int = 1000
     learning_rate: float = 0.0576
-    depth: int = 4
-    loss: str = "gaussian"
+    depth: int = 6
+    loss_function: str = "RMSEWithUncertainty"
+    task_type: str = "CPU"
+    verbose: int = 100
+    early_stopping_rounds: int = 50
 
     def __post_init__(self):
-        _positive(iterations=self.iterations, learning_rate=self.learning_rate)
+        _positive(iterations=self.iterations, learning_rate=self.learning_rate, early_stopping_rounds=self.early_stopping_rounds)
         if not 1 <= self.depth <= 16:
             raise ValueError("depth must lie in 1..16")
+        if self.task_type not in ("CPU", "GPU"):
+            raise ValueError("task_type is CPU or GPU; either runs on CPU here")
 
 
 @dataclass
@@ -55,6 +60,15 @@ class PipelineConfig:
             raise ValueError(f"unknown level {self.aggregation_level!r}")
 
 
+@dataclass
+class BaseConfig:
+    """The sections of a base configuration file; names of sections are those of the file."""
+
+    trend: TrendConfig = field(default_factory=TrendConfig, metadata={"section": "prophet"})
+    boost: BoostConfig = field(default_factory=BoostConfig, metadata={"section": "catboost"})
+    pipeline: PipelineConfig = field(default_factory=PipelineConfig)
+
+
 @dataclass
 class FeatureConfig:
     lags: list[int] = field(default_factory=lambda: [28, 35, 42, 56, 90])
@@ -77,7 +91,13 @@ def from_yaml(kind: type, path: str):
     import yaml
 
     given = yaml.safe_load(Path(path).read_text()) or {}
-    unknown = set(given) - {f.name for f in fields(kind)}
+    return _build(kind, given)
+
+
+def _build(kind: type, given: dict):
+    known = {f.metadata.get("section", f.name): f for f in fields(kind)}
+    unknown = set(given) - set(known)
     if unknown:
         raise ValueError(f"unknown settings: {sorted(unknown)}")
-    return kind(**given)
+    nested = {"TrendConfig": TrendConfig, "BoostConfig": BoostConfig, "PipelineConfig": PipelineConfig}
+    return kind(**{known[k].name: _build(nested[known[k].type], v or {}) if known[k].type in nested else v for k, v in given.items()})

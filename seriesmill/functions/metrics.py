@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BASELINES = ["SeasonalNaive", "MovingAverage", "ExponentialSmoothing"]
+BASELINES = ["seasonal_naive", "moving_average", "exponential_smoothing"]
 
 
 def metric_expressions(y: str = "actual", p: str = "forecast") -> dict[str, Column]:

@@ -74,6 +74,35 @@ def fit_values(x: np.ndarray, method: str) -> dict:
     return out
 
 
+def forward_values(x: np.ndarray, params: dict) -> np.ndarray:
+    """One series under fitted parameters; a difference is one value shorter."""
+    m, lam = params["method"], params["lam"]
+    if m == "difference":
+        return np.diff(x)
+    if m == "log":
+        return np.log1p(x)
+    if m == "box_cox":
+        s = np.asarray(x, float) + params["shift"]
+        return np.log(s) if abs(lam) < 1e-12 else np.expm1(lam * np.log(s)) / lam
+    return np.asarray(x, float)
+
+
+def inverse_values(y: np.ndarray, params: dict, anchor: float = 0.0) -> np.ndarray:
+    """Back to the series' units, values outside the transform's range at its edge; ``anchor`` is the level before a difference."""
+    m, lam = params["method"], params["lam"]
+    if m == "difference":
+        return anchor + np.cumsum(y)
+    if m == "log":
+        return np.expm1(y)
+    if m == "box_cox":
+        if abs(lam) < 1e-12:
+            return np.exp(y) - params["shift"]
+        edge = -1 / lam
+        y = np.minimum(y, edge - EDGE) if lam < 0 else np.maximum(y, edge + EDGE)
+        return np.power(y * lam + 1, 1 / lam) - params["shift"]
+    return np.asarray(y, float)
+
+
 PARAMS = "method string, lam double, shift double, first_value double, last_value double, fit_size long"
 
 

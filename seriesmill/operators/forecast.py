@@ -1,4 +1,4 @@
-"""Baselines, the trend-and-season model, residual origins, boosted residuals, and the two routed models."""
+"""Baselines, the trend-and-season model and its residuals at rolling origins."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..config import BoostConfig, TrendConfig
+from ..config import TrendConfig
 from ..functions.dates import holiday_design
 from . import windows as win
 
@@ -83,7 +83,7 @@ def exponential_smoothing(sliced: DataFrame, keys: list[str]) -> DataFrame:
 def baseline_forecasts(sliced: DataFrame, keys: list[str], horizon: int = 28) -> DataFrame:
     """The three baselines with a ``model`` column."""
     cols = [*keys, "window", "date", "actual", "forecast"]
-    parts = {"SeasonalNaive": seasonal_naive(sliced, keys), "MovingAverage": moving_average(sliced, keys, horizon=horizon), "ExponentialSmoothing": exponential_smoothing(sliced, keys)}
+    parts = {"seasonal_naive": seasonal_naive(sliced, keys), "moving_average": moving_average(sliced, keys, horizon=horizon), "exponential_smoothing": exponential_smoothing(sliced, keys)}
     out = None
     for name, df in parts.items():
         part = df.select(*cols, F.lit(name).alias("model"))
@@ -154,9 +154,9 @@ def trend_forecast(sliced: DataFrame, keys: list[str], config: TrendConfig | Non
 Forecaster = Callable[..., np.ndarray]
 
 
-def trend_forecaster(y: np.ndarray, dates: np.ndarray, horizon: int, x: np.ndarray | None = None, fx: np.ndarray | None = None) -> np.ndarray:
+def trend_forecaster(y: np.ndarray, dates: np.ndarray, horizon: int, x: np.ndarray | None = None, fx: np.ndarray | None = None, config: TrendConfig | None = None) -> np.ndarray:
     future = np.asarray(dates, "datetime64[D]")[-1] + np.arange(1, horizon + 1)
-    return trend_season(y, dates, future, TrendConfig(), x, fx)["yhat"][-horizon:]
+    return trend_season(y, dates, future, config or TrendConfig(), x, fx)["yhat"][-horizon:]
 
 
 def residuals_of(y: np.ndarray, dates: np.ndarray, horizon: int, min_train: int, stride: int, forecaster: Forecaster, x: np.ndarray | None = None) -> dict[int, tuple[int, float]]:
@@ -190,57 +190,6 @@ def rolling_origin_residuals(df: DataFrame, keys: list[str], horizon: int = 28,
     return df.select(*keys, "date", target, *(regressors or [])).groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, date date, origin long, residual double")
 
 
-def boosted(train: DataFrame, score: DataFrame, label: str, columns: list[str], config: BoostConfig | None = None) -> DataFrame:
-    """``score`` with mu and sigma: gradient-boosted trees for the mean, and others for the log squared error.
-
-    One model serves all series; all lags reach the horizon, so every step is scored in one pass.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    c = config or BoostConfig()
-    pack = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
-    ready = pack.transform(train.na.fill(0.0, columns)).select("features", F.col(label).cast("double").alias("label"), F.pmod(F.xxhash64(*columns, label), F.lit(4)).alias("fold")).persist()
-    mean = GBTRegressor(maxIter=c.iterations, maxDepth=c.depth, stepSize=c.learning_rate * 3, seed=42, predictionCol="mu")
-    part = mean.fit(ready.where("fold <> 0"))
-    held = part.transform(ready.where("fold = 0")).select("features", F.log(F.pow(F.col("label") - F.col("mu"), 2) + 1e-9).alias("label"))
-    spread = GBTRegressor(maxIter=max(2, c.iterations // 2), maxDepth=3, seed=42, predictionCol="_log").fit(held)
-    both = spread.transform(mean.fit(ready).transform(pack.transform(score.na.fill(0.0, columns))))
-    return both.withColumn("sigma", F.sqrt(F.exp("_log"))).drop("_log", "features")
-
-
-def quantile(mu: str, sigma: str, q: float):
-    """A Gaussian quantile in closed form."""
-    from statistics import NormalDist
-
-    return F.col(mu) + F.lit(NormalDist().inv_cdf(q)) * F.col(sigma)
-
-
-def hybrid_forecast(features: DataFrame, keys: list[str], columns: list[str], horizon: int = 28, min_train: int = 365, config: BoostConfig | None = None, regressors: list[str] | None = None) -> DataFrame:
-    """Last-``horizon`` forecast of each series in log scale: trend model plus boosted out-of-sample residuals.
-
-    The trend model takes ``regressors`` (planned covariates) in the last fit and at each residual origin.
-    (keys, date, actual, p05, p50, p95); quantiles pass through the inverse, which is monotone, and are clipped at 0.
-    """
-    logged = features.withColumn("sales", F.log1p("sales")).withColumn("_end", F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon))
-    train = logged.where("date <= _end")
-    resid = rolling_origin_residuals(train, keys, horizon, min_train, regressors=regressors)
-    sliced = logged.select(*keys, "date", "sales", *(regressors or []), F.lit(0).alias("window"), F.when(F.col("date") <= F.col("_end"), "train").otherwise("val").alias("split"))
-    base = trend_forecast(sliced, keys, regressors=regressors).select(*keys, "date", "actual", F.col("forecast").alias("yhat"))
-    future = logged.where("date > _end").select(*keys, "date", *columns).join(base, [*keys, "date"])
-    out = boosted(train.select(*keys, "date", *columns).join(resid, [*keys, "date"]), future, "residual", columns, config).withColumn("mu", F.col("mu") + F.col("yhat"))
-    qs = {f"p{round(100 * q):02d}": F.greatest(F.expm1(quantile("mu", "sigma", q)), F.lit(0.0)) for q in (0.05, 0.5, 0.95)}
-    return out.select(*keys, "date", F.expm1("actual").alias("actual"), *[c.alias(n) for n, c in qs.items()])
-
-
-def direct_forecast(features: DataFrame, keys: list[str], columns: list[str], horizon: int = 28, config: BoostConfig | None = None) -> DataFrame:
-    """As ``hybrid_forecast`` without a trend stage: boosted trees on the transformed target."""
-    logged = features.withColumn("sales", F.log1p("sales")).withColumn("_end", F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon))
-    out = boosted(logged.where("date <= _end"), logged.where("date > _end").withColumnRenamed("sales", "actual"), "sales", columns, config)
-    qs = {f"p{round(100 * q):02d}": F.greatest(F.expm1(quantile("mu", "sigma", q)), F.lit(0.0)) for q in (0.05, 0.5, 0.95)}
-    return out.select(*keys, "date", F.expm1("actual").alias("actual"), *[c.alias(n) for n, c in qs.items()])
-
-
 def decomposition(df: DataFrame, keys: list[str], horizon: int = 28, regressors: list[str] | None = None) -> DataFrame:
     """(keys, window, date, actual, trend, seasonality, residual) over the last ``horizon`` days."""
     end = F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon)
@@ -249,20 +198,5 @@ def decomposition(df: DataFrame, keys: list[str], horizon: int = 28, regressors:
     return f.select(*keys, "window", "date", "actual", "trend", F.try_divide("forecast", "trend").alias("seasonality"), (F.col("actual") - F.col("forecast")).alias("residual"))
 
 
-def tune(df: DataFrame, keys: list[str], horizon: int = 28, n_trials: int = 5, seed: int = 42) -> DataFrame:
-    """Seeded random search of the trend model's flexibility: (trial, changepoint_prior_scale, wape, tracking, objective)."""
-    rng = np.random.default_rng(seed)
-    trials = [(i, float(np.exp(rng.uniform(np.log(0.001), np.log(0.5))))) for i in range(n_trials)]
-    end = F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon)
-    sliced = df.withColumn("split", F.when(F.col("date") <= end, "train").otherwise("val")).withColumn("window", F.lit(0))
-    out = None
-    for i, cps in trials:
-        f = trend_forecast(sliced, keys, TrendConfig(changepoint_prior_scale=cps)).select(F.lit(i).alias("trial"), F.lit(cps).alias("changepoint_prior_scale"), "actual", "forecast")
-        out = f if out is None else out.unionByName(f)
-    e = F.abs(F.col("actual") - F.col("forecast"))
-    s = out.groupBy("trial", "changepoint_prior_scale").agg((F.try_divide(F.sum(e), F.sum(F.abs("actual"))) * 100).alias("wape"), F.coalesce(F.try_divide(F.sum(F.col("actual") - F.col("forecast")), F.avg(e)), F.lit(0.0)).alias("tracking"))
-    return s.withColumn("objective", F.col("wape") + F.when(F.abs("tracking") > 4, 1000.0).otherwise(0.0))
-
-
 def best_trial(trials: DataFrame) -> DataFrame:
     return trials.orderBy("objective", "trial").limit(1)

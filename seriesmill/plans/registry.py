@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..config import FeatureConfig
 from ..functions import metrics
 from ..functions import transforms as tf
 from ..functions.dates import add_calendar
-from ..operators import diagnostics, features, forecast, panel, segments, windows
+from ..operators import backtest, diagnostics, features, forecast, panel, segments, windows
 from ..sources.tables import from_star_schema
 
 SERIES, FAMILY, H = ["store_nbr", "family"], ["family"], 28
@@ -50,12 +51,12 @@ def _planned_sales(spark, d) -> tuple[DataFrame, list[str]]:
 
 
 def _scores(spark, d) -> DataFrame:
-    """Scores by family, window and model; a drift model stands for a learned one, as SQL can follow it."""
+    """Scores by family, window and model; the mean of two baselines (blend) stands for a learned model, as SQL can follow it."""
     s = _sliced(spark, d)
-    naive = forecast.seasonal_naive(s, FAMILY).withColumn("model", F.lit("SeasonalNaive"))
-    average = forecast.moving_average(s, FAMILY).select(*naive.columns[:-1]).withColumn("model", F.lit("MovingAverage"))
+    naive = forecast.seasonal_naive(s, FAMILY).withColumn("model", F.lit("seasonal_naive"))
+    average = forecast.moving_average(s, FAMILY).select(*naive.columns[:-1]).withColumn("model", F.lit("moving_average"))
     blend = naive.drop("model").join(average.select(*FAMILY, "window", "date", F.col("forecast").alias("f2")), [*FAMILY, "window", "date"])
-    blend = blend.withColumn("forecast", (F.col("forecast") + F.col("f2")) / 2).drop("f2").withColumn("model", F.lit("Blend"))
+    blend = blend.withColumn("forecast", (F.col("forecast") + F.col("f2")) / 2).drop("f2").withColumn("model", F.lit("blend"))
     return metrics.metric_table(naive.unionByName(average).unionByName(blend), [*FAMILY, "window", "model"])
 
 
@@ -92,7 +93,7 @@ CTE = {
     "naive": "SELECT v.family, c.window_, v.date, v.sales AS actual, t.sales AS forecast FROM cv c JOIN fs v ON v.family = c.family AND v.date BETWEEN c.val_start AND c.val_end JOIN fs t ON t.family = c.family AND t.date = c.train_end - 6 + CAST((v.date - c.val_start) % 7 AS INTEGER)",
     "ma": "SELECT c.family, c.window_, 0 AS step, c.val_start, list(t.sales ORDER BY t.date) AS a FROM cv c JOIN fs t ON t.family = c.family AND t.date > c.train_end - 14 AND t.date <= c.train_end GROUP BY ALL UNION ALL SELECT family, window_, step + 1, val_start, list_append(a[2:], list_reduce(list_prepend(0.0::DOUBLE, a), lambda x, y: x + y) / 14) FROM ma WHERE step < 28",
     "average": "SELECT ma.family, ma.window_, v.date, v.sales AS actual, ma.a[14] AS forecast FROM ma JOIN fs v ON v.family = ma.family AND v.date = ma.val_start + CAST(ma.step - 1 AS INTEGER) WHERE step > 0",
-    "forecasts": "SELECT *, 'SeasonalNaive' AS model FROM naive UNION ALL SELECT *, 'MovingAverage' FROM average UNION ALL SELECT n.family, n.window_, n.date, n.actual, (n.forecast + a.forecast) / 2, 'Blend' FROM naive n JOIN average a USING (family, window_, date)",
+    "forecasts": "SELECT *, 'seasonal_naive' AS model FROM naive UNION ALL SELECT *, 'moving_average' FROM average UNION ALL SELECT n.family, n.window_, n.date, n.actual, (n.forecast + a.forecast) / 2, 'blend' FROM naive n JOIN average a USING (family, window_, date)",
     "scored": "SELECT *, sign(actual - lag(actual) OVER w) = sign(forecast - lag(forecast) OVER w) AS same, quantile_cont(actual, 0.9) OVER (PARTITION BY family, window_, model) AS bar FROM forecasts WINDOW w AS (PARTITION BY family, window_, model ORDER BY date)",
 }
 _NEEDS = {
@@ -377,7 +378,7 @@ def metric_table(spark, d):
 _WAPES = 'SELECT family, window_, model, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0) * 100, 6) AS "WAPE", avg(abs(actual - forecast)) AS "MAE", sqrt(avg((actual - forecast) * (actual - forecast))) AS "RMSE" FROM forecasts GROUP BY 1, 2, 3'
 
 
-@query(_with(f', s AS ({_WAPES}) SELECT o.family, o.model, count(*) FILTER (WHERE o."WAPE" < b.best) AS wins, count(*) AS n FROM s o JOIN (SELECT family, window_, min("WAPE") AS best FROM s WHERE model <> \'Blend\' GROUP BY 1, 2) b USING (family, window_) WHERE o.model = \'Blend\' AND o."WAPE" IS NOT NULL GROUP BY 1, 2', "forecasts"))
+@query(_with(f', s AS ({_WAPES}) SELECT o.family, o.model, count(*) FILTER (WHERE o."WAPE" < b.best) AS wins, count(*) AS n FROM s o JOIN (SELECT family, window_, min("WAPE") AS best FROM s WHERE model <> \'blend\' GROUP BY 1, 2) b USING (family, window_) WHERE o.model = \'blend\' AND o."WAPE" IS NOT NULL GROUP BY 1, 2', "forecasts"))
 def baseline_wins(spark, d):
     return metrics.wins(_scores(spark, d).withColumn("WAPE", F.round("WAPE", 6)), FAMILY)
 
@@ -448,27 +449,87 @@ def oos_residuals(spark, d):
     return forecast.rolling_origin_residuals(s, FAMILY, H, 365, regressors=cols)
 
 
-def _model_frame(spark, d):
-    f = features.build(_family_panel(spark, d), FAMILY, H)
-    cols = [*features.covariates(f, "planned"), *features.covariates(f, "shifted")]
-    return f.where("lag_90 is not null").select("family", "date", "sales", *[F.col(c).cast("double").alias(c) for c in cols]), cols, _regressors(f)
+def _model_frame(f: DataFrame, keys: list[str], lags: list[int] | None = None) -> tuple[DataFrame, list[str], list[str]]:
+    """Feature rows past the warm-up with numeric columns, the columns of the boosted trees, and those of the trend model."""
+    cols = [c for c in [*features.covariates(f, "planned"), *features.covariates(f, "shifted")] if lags is None or not c.startswith("lag_") or int(c[4:]) in lags]
+    known = _regressors(f)
+    return f.where("lag_90 is not null").select(*keys, "date", "sales", *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*cols, *known])]), cols, known
+
+
+def _family_windows(spark, d, route: str):
+    """Feature rows of the family totals, their last backtest window, all on one route."""
+    f, cols, known = _model_frame(features.build(_family_panel(spark, d), FAMILY, H), FAMILY)
+    sliced = windows.slice_windows(f, windows.cv_windows(f, FAMILY).where("window = 4"), FAMILY)
+    return sliced.withColumn("route", F.lit(route)), cols, known
 
 
 @query()
 def hybrid_forecast(spark, d):
-    f, cols, known = _model_frame(spark, d)
-    return forecast.hybrid_forecast(f, FAMILY, cols, regressors=known)
+    sliced, cols, known = _family_windows(spark, d, "hybrid")
+    return backtest.learned_forecasts(sliced, FAMILY, cols, known)
 
 
 @query()
 def direct_forecast(spark, d):
-    f, cols, _ = _model_frame(spark, d)
-    return forecast.direct_forecast(f, FAMILY, cols)
+    sliced, cols, known = _family_windows(spark, d, "direct")
+    lags = {f"lag_{-n}" for n in segments.direct_lags(H)}
+    return backtest.learned_forecasts(sliced, FAMILY, [c for c in cols if not c.startswith("lag_") or c in lags], known)
 
 
 @query()
 def tune_trials(spark, d):
-    return forecast.tune(_family_sales(spark, d), FAMILY)
+    sliced, cols, known = _family_windows(spark, d, "hybrid")
+    short = [c for c in cols if not c.startswith("lag_") or c == "lag_28"]
+    return backtest.tune(sliced, FAMILY, {"28": short, "all": cols}, known)
+
+
+def _backtested(spark, d) -> DataFrame:
+    """Forecasts of routed models and baselines: the two largest and the two smallest series with history enough, in all
+    windows, classes over the whole catalog."""
+    t = _tables(spark, d)
+    daily = panel.aggregate(panel.enrich(t), "store_family")
+    span = daily.groupBy(*SERIES).agg(F.sum("sales").alias("total"), F.date_diff(F.max("date"), F.min("date")).alias("days")).where("days >= 730")
+    place = lambda *by: F.row_number().over(W.orderBy(*by))
+    chosen = span.withColumns({"a": place(F.desc("total"), *SERIES), "b": place("total", *SERIES)}).where("a <= 2 or b <= 2")
+    own = panel.complete(backtest.filter_series(daily, chosen, SERIES), stores=t["stores"])
+    f, cols, known = _model_frame(features.build(own, SERIES, H), SERIES)
+    cv = windows.cv_windows(f, SERIES)
+    routes = backtest.window_routes(t["train"], cv, SERIES).select(*SERIES, "window", "route")
+    sliced = windows.slice_windows(f, cv, SERIES).join(routes, [*SERIES, "window"])
+    learned = backtest.learned_forecasts(sliced, SERIES, cols, known)
+    return backtest.scored_forecasts(sliced, learned, SERIES, H)
+
+
+@query()
+def backtest_scores(spark, d):
+    """All metrics of four models in five windows of four series."""
+    return metrics.metric_table(_backtested(spark, d), [*SERIES, "window", "model"])
+
+
+@query()
+def backtest_wins(spark, d):
+    return metrics.wins(metrics.metric_table(_backtested(spark, d), [*SERIES, "window", "model"]), SERIES)
+
+
+_FLAT = ", flat AS (SELECT c.family, c.window_, avg(t.sales) AS forecast FROM cv c JOIN fs t ON t.family = c.family AND t.date > c.train_end - 28 AND t.date <= c.train_end GROUP BY ALL), every AS (SELECT * FROM forecasts WHERE model <> 'blend' UNION ALL SELECT n.family, n.window_, n.date, n.actual, f.forecast, 'flat' FROM naive n JOIN flat f USING (family, window_))"
+
+
+@query(_with(_FLAT + ' SELECT family, window_ AS "window", model, round(avg(abs(actual - forecast)), 6) AS mae, round(sum(abs(actual - forecast)) / nullif(sum(abs(actual)), 0) * 100, 6) AS wape FROM every GROUP BY 1, 2, 3', "forecasts", "cv", "fs"))
+def backtest_flat(spark, d):
+    """The backtest driver with a model that SQL can follow, beside two of the baselines."""
+    s = _sliced(spark, d)
+    scores = metrics.metric_table(backtest.scored_forecasts(s, backtest.flat_forecasts(s, FAMILY), FAMILY, H).where("model <> 'exponential_smoothing'"), [*FAMILY, "window", "model"])
+    return scores.select("family", F.col("window").cast("bigint").alias("window"), "model", F.round("MAE", 6).alias("mae"), F.round("WAPE", 6).alias("wape"))
+
+
+@query(_with("SELECT abc_class, count(*) AS n_series FROM (SELECT CASE WHEN cum <= 0.8 THEN 'A' WHEN cum <= 0.95 THEN 'B' ELSE 'C' END AS abc_class FROM (SELECT sum(total) OVER (ORDER BY total DESC, store_nbr, family ROWS UNBOUNDED PRECEDING) / nullif(sum(total) OVER (), 0) AS cum FROM (SELECT store_nbr, family, sum(sales) AS total FROM train GROUP BY 1, 2))) GROUP BY 1", "train"))
+def class_counts(spark, d):
+    return segments.class_counts(segments.abc_classes(_tables(spark, d)["train"], SERIES))
+
+
+@query(_with("SELECT family, date, row_number() OVER (PARTITION BY family ORDER BY date) - 1 AS position FROM fs", "fs"))
+def series_positions(spark, d):
+    return windows.positions(_family_sales(spark, d), FAMILY).select("family", "date", F.col("position").cast("bigint").alias("position"))
 
 
 @query()

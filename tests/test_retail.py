@@ -4,11 +4,11 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from seriesmill.config import FeatureConfig, PipelineConfig, from_yaml
+from seriesmill.config import BaseConfig, BoostConfig, FeatureConfig, PipelineConfig, from_yaml
 from seriesmill.functions import metrics
 from seriesmill.functions import transforms as tf
 from seriesmill.functions.dates import add_calendar
-from seriesmill.operators import diagnostics, features, forecast, panel, segments, windows
+from seriesmill.operators import backtest, boosting, diagnostics, features, forecast, panel, segments, windows
 from seriesmill.sources.tables import TableLoader, validate_schema
 
 DAY0 = dt.date(2020, 1, 1)
@@ -87,7 +87,7 @@ def test_metrics(spark):
 
 
 def test_wins_ties_lose(spark):
-    rows = [("A", w, m, v) for w, vs in ((0, (1.0, 5.0, 5.0)), (1, (5.0, 5.0, 9.0))) for m, v in zip(("Hybrid", "SeasonalNaive", "MovingAverage"), vs, strict=True)]
+    rows = [("A", w, m, v) for w, vs in ((0, (1.0, 5.0, 5.0)), (1, (5.0, 5.0, 9.0))) for m, v in zip(("hybrid", "seasonal_naive", "moving_average"), vs, strict=True)]
     got = metrics.wins(spark.createDataFrame(rows, "family string, window int, model string, WAPE double"), ["family"]).collect()
     assert [(r.wins, r.n) for r in got] == [(1, 2)]
 
@@ -187,6 +187,80 @@ def test_config(tmp_path):
         PipelineConfig(cv_stride=0)
 
 
+def test_config_sections(tmp_path):
+    (tmp_path / "b.yaml").write_text("prophet:\n  changepoint_prior_scale: 0.1\ncatboost:\n  iterations: 7\n  loss_function: RMSE\npipeline:\n  target_transform: log\n")
+    c = from_yaml(BaseConfig, str(tmp_path / "b.yaml"))
+    assert (c.trend.changepoint_prior_scale, c.boost.iterations, c.boost.depth, c.pipeline.target_transform) == (0.1, 7, 6, "log")
+    assert (BoostConfig().iterations, BoostConfig().depth) == (1000, 6)
+    (tmp_path / "b.yaml").write_text("catboost:\n  trees: 7\n")
+    with pytest.raises(ValueError, match="trees"):
+        from_yaml(BaseConfig, str(tmp_path / "b.yaml"))
+
+
+@pytest.mark.parametrize("method", ["difference", "log", "box_cox", "none"])
+def test_values_round_trip(method):
+    x = np.array([10.0, 15, 14, 20, 25, 0, 3])
+    p = tf.fit_values(x, method)
+    back = tf.inverse_values(tf.forward_values(x, p), p, x[0])
+    np.testing.assert_allclose(back, x[1:] if method == "difference" else x, atol=1e-5)
+
+
+def test_trees_learn_mean_and_spread():
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 1, (1500, 3))
+    wide = x[:, 1] > 0.5
+    y = 10 * (x[:, 0] > 0.3) + rng.normal(size=1500) * np.where(wide, 3.0, 0.5)
+    m = boosting.GaussianTrees(BoostConfig(iterations=200, depth=3)).fit(x, y)
+    mu, sigma = m.predict(np.array([[0.1, 0.1, 0.5], [0.9, 0.9, 0.5]]))
+    assert abs(mu[0]) < 1 and abs(mu[1] - 10) < 1.5 and sigma[0] < 1 < 2 < sigma[1] < 4.5
+    assert len(m.trees) < 200
+    flat = boosting.GaussianTrees(BoostConfig(iterations=5)).fit(np.zeros((20, 2)), np.ones(20)).predict(np.zeros((3, 2)))
+    assert flat[0] == pytest.approx(1) and (flat[1] < 1e-3).all()
+
+
+def test_backtest_routes_by_window(spark):
+    """A series is A by the history of one window and C by a later one, in which another outsells it."""
+    days = [DAY0 + dt.timedelta(days=i) for i in range(60)]
+    rows = [(d, s, "F", v) for i, d in enumerate(days) for s, v in ((1, 50.0), (2, 30.0), (3, 10.0 if i < 40 else 20000.0))]
+    catalog = spark.createDataFrame(rows, "date date, store_nbr int, family string, sales double")
+    cv = spark.createDataFrame([(1, "F", 0, days[38]), (1, "F", 1, days[59]), (9, "F", 1, days[59])], "store_nbr int, family string, window int, train_end date")
+    got = {(r.store_nbr, r.window): (r.abc_class, r.route) for r in backtest.window_routes(catalog, cv, ["store_nbr", "family"]).collect()}
+    assert got == {(1, 0): ("A", "hybrid"), (1, 1): ("C", "direct"), (9, 1): ("C", "direct")}
+    assert backtest.filter_series(catalog, cv, ["store_nbr", "family"]).select("store_nbr").distinct().collect() == [(1,)]
+
+
+@pytest.mark.parametrize("method", ["difference", "box_cox"])
+def test_learned_forecasts(spark, method):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    promo = rng.integers(0, 2, 200).astype(float)
+    y = 30 + 5 * (np.arange(200) % 7 == 3) + 20 * promo
+    df = series(spark, y, family="A").join(spark.createDataFrame([(DAY0 + dt.timedelta(days=i), float(v)) for i, v in enumerate(promo)], "date date, promo double"), "date")
+    config = BaseConfig(boost=BoostConfig(iterations=60, depth=3), pipeline=PipelineConfig(target_transform=method, residual_min_train_size=60))
+    sliced = windows.slice_windows(df, windows.cv_windows(df, ["family"], 28, 2, 14), ["family"]).withColumn("route", F.when(F.col("window") == 0, "hybrid").otherwise("direct"))
+    learned = backtest.learned_forecasts(sliced, ["family"], ["promo"], ["promo"], config)
+    both = backtest.scored_forecasts(sliced, learned, ["family"], 28)
+    got = {(r.window, r.model): r for r in metrics.metric_table(both, ["family", "window", "model"]).collect()}
+    assert {m for _, m in got} == {*metrics.BASELINES, "hybrid", "direct_catboost"} and len(got) == 8
+    assert all(r.n_days == 28 for r in got.values())
+    if method == "box_cox":
+        assert got[0, "hybrid"].WAPE < min(got[0, m].WAPE for m in metrics.BASELINES)
+    rows = learned.collect()
+    assert all(0 <= r.p05 <= r.forecast <= r.p95 for r in rows)
+
+
+def test_small_operators(spark):
+    s = series(spark, [1, 2, 3], family="A")
+    assert [r.position for r in windows.positions(s, ["family"]).orderBy("date").collect()] == [0, 1, 2]
+    twice = s.selectExpr("*", "1 as origin").union(s.selectExpr("*", "2 as origin"))
+    assert {r.origin for r in windows.keep_latest(twice, ["family"]).collect()} == {2}
+    late = spark.createDataFrame([(0, DAY0, "A"), (1, DAY0 - dt.timedelta(days=1), "A"), (2, DAY0, "A")], "id int, date date, family string")
+    assert [r.id for r in windows.unsorted_rows(late, ["family"], "id").collect()] == [1]
+    trials = spark.createDataFrame([(0, 3.0), (1, 2.0), (2, 2.0)], "trial int, objective double")
+    assert forecast.best_trial(trials).first().trial == 1
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
