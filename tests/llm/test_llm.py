@@ -496,3 +496,85 @@ def test_pipeline_drops_equal_short_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in p.by_lines(spark, docs, "").collect()}
     assert got == {0: (rows[0][1], 15), 1: ("\nAnd orne.", 10)}
+
+
+def test_near_copy_chain_and_two_texts_under_one_id(spark):
+    """A long chain of near copies is one class; rows of one doc_id with other texts are documents of their own."""
+    import corpus_pipeline as p
+
+    w = [f"w{i}" for i in range(14 * 400 + 100)]
+    rows = [(i, " ".join(w[14 * i : 14 * i + 130])) for i in range(400)]
+    got = ngram_jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
+    docs = spark.createDataFrame([(1, "one text of five words", "en", "s", 1, "r", "k"), (1, "quite another text of six words", "en", "s", 1, "r", "k"), (2, "one text of five words", "en", "s", 1, "r", "k"), (None, "one text of five words", "en", "s", 1, "r", "k")], "doc_id long, text string, lang string, source string, n_chars long, row string, key string")
+    out = p.by_ngrams(spark, docs, "")
+    assert out.columns == docs.columns and sorted((r.doc_id, r.text[:3]) for r in out.collect()) == [(1, "one"), (1, "qui")]
+
+
+def test_whole_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on its predecessor's rows, against a plain version of what it keeps."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    rng = np.random.default_rng(11)
+    voc = {"en": "the of and to in that is was for it with as his on be at by had not are but from or have an they which one you were".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split()}
+    item = " ".join(rng.choice(voc["en"], 30))
+    rows = []
+    for i in range(60):
+        lang = ["en", "de"][i % 2]
+        text = "\n".join(" ".join(rng.choice(voc[lang], 25)) for _ in range(4))
+        rows.append((i, text + ("\n" + item if i in (7, 9) else "") + "\na footer line that all of the documents share", lang))
+    rows += [(60, rows[3][1].rsplit("\n", 1)[0] + " end", "de"), (61, rows[4][1], "en"), (62, None, None), (63, "12 34 56", None), (64, "", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = p.run(spark, str(tmp_path)).collect()
+    seen, left = set(), {}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            continue
+        keep = []
+        for line in t.split("\n"):
+            if line not in seen:
+                keep.append(line)
+            seen.add(line)
+        if keep:
+            left[i] = "\n".join(keep)
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in left.items()}
+    for i in sorted(left):
+        if any(j < i and j in left and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for j in sets):
+            del left[i]
+    a = words(item)
+    for i in list(left):
+        b = words(left[i])
+        if any(sum(x == y for x, y in zip(a[s : s + 12], b[k : k + 12], strict=False)) >= 9 for s in range(len(a) - 11) for k in range(len(b) - 11)):
+            del left[i]
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in left.items()}
+    got = {}
+    for r in sorted(out, key=lambda r: (r.doc_id, r.start)):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got == want and 61 not in got and 7 not in got
+    assert p.by_benchmark(spark, docs.limit(0), str(tmp_path)).count() == 0 and p.packed(spark, docs.limit(0), "").count() == 0
+
+
+def test_buckets_hold_sequences_of_one_length(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a b c d e f g"), (1, "a b"), (2, None)], "doc_id long, text string")
+    packing.write_buckets(packing.pack(df, queries.tokenizer_path()), f"{tmp_path}/b")
+    for r in spark.read.parquet(f"{tmp_path}/b").collect():
+        assert r.length == 1 << r.bucket
+
+
+def test_long_texts_are_hashed_in_blocks():
+    from seriesmill.llm import kernel
+
+    word = b"abcdefg" * 400_000
+    data = np.frombuffer(b"one two " + word + b" three " + b"x y " * 600_000, np.uint8)
+    off = np.array([0, len(data)])
+    h, _ = kernel.words(data, off)
+    small = np.frombuffer(b"one two three x y", np.uint8)
+    g, _ = kernel.words(small, np.array([0, len(small)]))
+    assert (h[[0, 1, 3, 4, -1]] == g).all() and len(h) == 4 + 1_200_000
+    assert h[2] == kernel.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0][0]
+    assert b"".join(bytes(x) for x in kernel.segments(data, 1000)) == bytes(data)
