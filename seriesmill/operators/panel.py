@@ -26,9 +26,11 @@ def active_holidays(holidays: DataFrame, stores: DataFrame) -> DataFrame:
     Events fan out over stores only here, on the two dimensions; the fact table is joined once with one row a key.
     """
     h = holidays.withColumnRenamed("type", "holiday_type").where(~F.col("transferred").eqNullSafe(F.lit(True)) & F.col("holiday_type").isNotNull())
-    on = (F.col("locale") == "National") | ((F.col("locale") == "Regional") & (F.col("locale_name") == F.col("state"))) | ((F.col("locale") == "Local") & (F.col("locale_name") == F.col("city")))
     rank = F.when(F.col("locale") == "National", 0).when(F.col("locale") == "Regional", 1).otherwise(2)
-    active = h.join(F.broadcast(stores.select("store_nbr", "city", "state")), F.coalesce(on, F.lit(False)))
+    # a shop answers to three names of places, so the join is one on equal keys
+    named = F.array(*[F.struct(F.lit(kind).alias("locale"), place.alias("place")) for kind, place in (("National", F.lit("")), ("Regional", F.col("state")), ("Local", F.col("city")))])
+    places = stores.select("store_nbr", F.explode(named).alias("x")).select("store_nbr", "x.*")
+    active = h.withColumn("place", F.when(F.col("locale") == "National", "").otherwise(F.col("locale_name"))).join(places, ["locale", "place"])
     first = F.row_number().over(W.partitionBy("date", "store_nbr").orderBy(rank, "holiday_type", "description"))
     return active.withColumn("_n", first).where("_n = 1").select("date", "store_nbr", *HOLIDAY_COLUMNS)
 
