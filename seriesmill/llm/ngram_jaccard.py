@@ -161,7 +161,8 @@ def signatures(n: int, token: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of a set of n tokens, ``token`` those it shares with others, in order (log-frequency << 48 | hash)."""
     plain = n - int(_reach(n, percent)) + 1 - (n - len(token))
     frequent = (token >> U(48)) >= U(FREQUENT)
-    found = []
+    # where an overlap of one is enough there may be no pair, so tokens are indexed alone
+    found = [mix(token[:plain] & T48)] if _reach(n, percent) < 2 else []
     for classes, use in ((1, n < WIDE * 100 // percent + 1), (CLASSES, n >= WIDE)):
         if not use:
             continue
