@@ -38,5 +38,16 @@ def wins(scores: DataFrame, keys: list[str]) -> DataFrame:
     return own.join(best, [*keys, "window"]).groupBy(*keys, "model").agg(F.count_if(F.col("WAPE") < F.col("best")).alias("wins"), F.count("*").alias("n"))
 
 
+def model_names(scores: DataFrame) -> DataFrame:
+    return scores.select("model").distinct()
+
+
+def error_summary(df: DataFrame, keys: list[str], y: str = "actual", p: str = "forecast") -> DataFrame:
+    """(keys, max_error, mean_error) of the absolute differences; rows that lack either side don't count."""
+    e = F.abs(F.col(y) - F.col(p))
+    e = F.when(~F.isnan(e), e)
+    return df.groupBy(*keys).agg(F.max(e).alias("max_error"), F.avg(e).alias("mean_error"))
+
+
 def mean_by_model(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(*[F.avg(m).alias(m) for m in ("WAPE", "MAE", "RMSE")])

@@ -54,6 +54,17 @@ def boxcox_lambda(x: np.ndarray, lo: float = -2.0, hi: float = 2.0) -> float:
     return (a + b) / 2
 
 
+def boxcox_policy(df: DataFrame, keys: list[str], target: str = "sales") -> DataFrame:
+    """(keys, n, n_finite, is_constant, shift, method): what box_cox comes to in each group, from aggregates of its finite
+    values alone: a shift of 1 where one isn't positive; for a constant, log, or none if it is negative."""
+    x = F.col(target)
+    good = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    s = df.groupBy(*keys).agg(F.count(x).alias("n"), F.count(good).alias("n_finite"), F.min(good).alias("a"), F.max(good).alias("b"))
+    s = s.withColumn("is_constant", F.col("b") - F.col("a") <= 1e-8)
+    method = F.when(~F.col("is_constant"), "box_cox").when(F.col("a") >= 0, "log").when(F.col("a") < 0, "none")
+    return s.select(*keys, "n", "n_finite", "is_constant", F.when(~F.col("is_constant") & (F.col("a") <= 0), 1.0).otherwise(0.0).alias("shift"), method.alias("method"))
+
+
 def fit_values(x: np.ndarray, method: str) -> dict:
     """Parameters of one series: the method in force, lambda, shift, first and last value, size."""
     if method not in METHODS:

@@ -6,6 +6,7 @@ tuning trials are rows of one plan and run in parallel.
 
 from __future__ import annotations
 
+import logging
 from statistics import NormalDist
 
 import numpy as np
@@ -18,6 +19,8 @@ from ..functions import transforms as tf
 from . import forecast, segments
 from .boosting import GaussianTrees
 
+log = logging.getLogger(__name__)
+
 #: Names of the learned models by route.
 MODELS = {"hybrid": "hybrid", "direct": "direct_catboost"}
 FIELDS = "date date, model string, actual double, forecast double, p05 double, p95 double"
@@ -101,6 +104,15 @@ def flat_forecasts(sliced: DataFrame, keys: list[str], days: int = 28) -> DataFr
     return sliced.where("split = 'val'").select(*by, "date", F.col("sales").alias("actual")).join(mean, by).withColumn("model", F.lit("flat"))
 
 
+def log_trials(trials: DataFrame) -> None:
+    """One log line for each trial of a search and one for the best; trials are few by ``n_trials``."""
+    rows = trials.orderBy("trial").collect()
+    for r in rows:
+        log.info("trial %s", r.asDict())
+    if rows:
+        log.info("best trial %s", min(rows, key=lambda r: (r.objective is None, r.objective, r.trial)).asDict())
+
+
 def tune(sliced: DataFrame, keys: list[str], columns: dict[str, list[str]], known: list[str], n_trials: int = 5, seed: int = 42, config: BaseConfig | None = None) -> DataFrame:
     """Seeded random search over four values of the hybrid model: (trial, its values, wape, tracking, objective).
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -67,8 +67,17 @@ def differencing_order(y: np.ndarray, most: int = 2) -> int:
     return most
 
 
+def series_label(keys: list[str]) -> Column:
+    """A series' keys as one text."""
+    return F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+
+
+def _critical(quantiles) -> Column:
+    return F.create_map(*[F.lit(x) for q, p in quantiles if p <= 0.1 for x in (f"{p * 100:g}%", q)])
+
+
 def stationarity(df: DataFrame, keys: list[str], target: str = "sales") -> DataFrame:
-    """(group, adf_p, kpss_p, verdict, recommended_d) of each series of 3 values or more."""
+    """(group, adf_p, kpss_p, verdict, recommended_d, and maps of critical values) of each series of 3 values or more."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("date")[target].dropna().to_numpy(float)
@@ -77,8 +86,9 @@ def stationarity(df: DataFrame, keys: list[str], target: str = "sales") -> DataF
         a, k = adf(y)[1], kpss(y)[1]
         return pd.DataFrame({"group": [pdf["_g"].iloc[0]], "adf_p": [a], "kpss_p": [k], "verdict": [verdict(a, k)], "recommended_d": [differencing_order(y)]})
 
-    named = df.select(F.concat_ws(" | ", *[F.col(k).cast("string") for k in keys]).alias("_g"), "date", target)
-    return named.groupBy("_g").applyInPandas(one, "group string, adf_p double, kpss_p double, verdict string, recommended_d long")
+    named = df.select(series_label(keys).alias("_g"), "date", target)
+    out = named.groupBy("_g").applyInPandas(one, "group string, adf_p double, kpss_p double, verdict string, recommended_d long")
+    return out.withColumns({"adf_critical_values": _critical(DF_QUANTILES), "kpss_critical_values": _critical(KPSS_QUANTILES)})
 
 
 def ljung_box(df: DataFrame, keys: list[str], target: str = "sales", lags: int = 14) -> DataFrame:

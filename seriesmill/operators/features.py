@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window as W
 
 from ..config import FeatureConfig
@@ -111,6 +112,19 @@ def build(df: DataFrame, keys: list[str], horizon: int = 28, config: FeatureConf
     return out
 
 
+def drop_warmup(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have all of ``columns``; a column that isn't there is an error."""
+    missing = sorted(set(columns) - set(df.columns))
+    if missing:
+        raise ValueError(f"no columns {missing}")
+    return df.na.drop(subset=columns)
+
+
+def numeric(df: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of ``keep`` and all numeric ones."""
+    return df.select(*[f.name for f in df.schema if f.name in keep or isinstance(f.dataType, NumericType)])
+
+
 def leaks(df: DataFrame, horizon: int) -> list[str]:
     """Feature columns whose lag, by metadata or by name, is shorter than the horizon; planned promotions may look ahead."""
     bad = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,8 @@ from ..config import TrendConfig
 from ..functions.dates import holiday_design
 from . import windows as win
 
+log = logging.getLogger(__name__)
+
 
 def _keys_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
@@ -171,6 +174,20 @@ def residuals_of(y: np.ndarray, dates: np.ndarray, horizon: int, min_train: int,
     return out
 
 
+def in_sample_residuals(df: DataFrame, keys: list[str], config: TrendConfig | None = None, target: str = "sales", regressors: list[str] | None = None) -> DataFrame:
+    """(keys, date, fitted, residual) of the trend model on the days it was fitted to: a diagnostic, never to train on."""
+    log.warning("in-sample residuals understate errors; train on rolling_origin_residuals")
+    cfg, cols = config or TrendConfig(), regressors or []
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        y, x = pdf[target].to_numpy(float), pdf[cols].fillna(0).to_numpy(float)
+        fitted = trend_season(y, pdf["date"], pdf["date"].iloc[:0], cfg, x, x[:0])["yhat"]
+        return pdf[[*keys, "date"]].assign(fitted=fitted, residual=y - fitted)
+
+    return df.where(f"{target} is not null").select(*keys, "date", target, *cols).groupBy(*keys).applyInPandas(one, f"{_keys_schema(df, keys)}, date date, fitted double, residual double")
+
+
 def min_residual_length(lags: list[int] | None) -> int:
     return max(map(abs, lags)) + 1 if lags else 2
 
@@ -194,7 +211,11 @@ def decomposition(df: DataFrame, keys: list[str], horizon: int = 28, regressors:
     """(keys, window, date, actual, trend, seasonality, residual) over the last ``horizon`` days."""
     end = F.date_sub(F.max("date").over(W.partitionBy(*keys)), horizon)
     sliced = df.withColumn("split", F.when(F.col("date") <= end, "train").otherwise("val")).withColumn("window", F.lit(0))
-    f = trend_forecast(sliced, keys, regressors=regressors)
+    return components(trend_forecast(sliced, keys, regressors=regressors), keys)
+
+
+def components(f: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, window, date, actual, trend, seasonality, residual) of forecasts that carry their trend."""
     return f.select(*keys, "window", "date", "actual", "trend", F.try_divide("forecast", "trend").alias("seasonality"), (F.col("actual") - F.col("forecast")).alias("residual"))
 
 

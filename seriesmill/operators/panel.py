@@ -85,8 +85,7 @@ def complete(df: DataFrame, level: str = "store_family", scope: str = "series",
         return df.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sales", "onpromotion", "transactions") if c in df.columns}).withColumn("dcoilwtico", fill_along("dcoilwtico", []))
     span = df.groupBy(*keys).agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
     if scope == "panel":
-        lo, hi = df.agg(F.min("date"), F.max("date")).first()
-        span = span.select(*keys, F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+        span = span.select(*keys, df.agg(F.min("date")).scalar().alias("lo"), df.agg(F.max("date")).scalar().alias("hi"))
     grid = span.where("lo is not null").select(*keys, F.explode(F.sequence("lo", "hi")).alias("date"))
     out = grid.join(df, [*keys, "date"], "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("sales", "onpromotion", "transactions") if c in df.columns})
@@ -128,6 +127,11 @@ def history_until(df: DataFrame, cutoff) -> DataFrame:
     return out
 
 
+def holdout(df: DataFrame, horizon: int) -> DataFrame:
+    """Rows of the panel's last ``horizon`` days."""
+    return df.where(F.col("date") > df.agg(F.date_sub(F.max("date"), horizon)).scalar())
+
+
 def training_history(df: DataFrame, horizon: int) -> DataFrame:
     last = df.agg(F.date_sub(F.max("date"), horizon)).first()[0]
     return history_until(df, last)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,6 +22,16 @@ def abc_classes(df: DataFrame, keys: list[str], target: str = "sales", by: list[
     return out.withColumn("abc_class", F.when(F.col("cum_perc") <= 0.80, "A").when(F.col("cum_perc") <= 0.95, "B").otherwise("C"))
 
 
+def series_catalog(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """The series of several catalogs, each once; an error if there is none."""
+    if not parts:
+        raise ValueError("no catalog")
+    out = reduce(DataFrame.unionByName, [p.select(*keys) for p in parts]).distinct()
+    if out.isEmpty():
+        raise ValueError("no series in the catalog")
+    return out
+
+
 def class_counts(classes: DataFrame) -> DataFrame:
     return classes.groupBy("abc_class").agg(F.count("*").alias("n_series"))
 

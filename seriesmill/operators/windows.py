@@ -28,6 +28,18 @@ def cv_windows(df: DataFrame, keys: list[str], horizon: int = 28, n_windows: int
     return back.select(*keys, "window", F.date_sub(end, horizon).alias("train_end"), F.date_sub(end, horizon - 1).alias("val_start"), end.alias("val_end"))
 
 
+def panel_windows(df: DataFrame, horizon: int = 28, n_windows: int = 5, stride: int = 14) -> DataFrame:
+    """(window, train_end, val_start, val_end) for all series alike, counted in the panel's distinct dates; the last window
+    ends with the panel. Too few dates are an error when the windows are read."""
+    if min(horizon, n_windows, stride) <= 0:
+        raise ValueError("sizes must be positive")
+    need = horizon + (n_windows - 1) * stride
+    dates = df.select("date").where("date is not null").distinct().orderBy(F.desc("date")).limit(need + 1).agg(F.sort_array(F.collect_list("date"), False).alias("d"))
+    numbers = F.when(F.size("d") > need, F.sequence(F.lit(0), F.lit(n_windows - 1))).otherwise(F.raise_error(F.lit("too few dates")))
+    back = (F.lit(n_windows - 1) - F.col("window")) * stride
+    return dates.select("d", F.explode(numbers).alias("window")).select("window", F.get("d", back + horizon).alias("train_end"), F.get("d", back + horizon - 1).alias("val_start"), F.get("d", back).alias("val_end"))
+
+
 def slice_windows(df: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
     """Panel rows of each window, ``split`` train or val; nothing after val_end."""
     # a handful of rows a series; the optimiser broadcasts them under its size threshold and else joins on the keys
@@ -65,6 +77,18 @@ def keep_latest(df: DataFrame, keys: list[str], origin: str = "origin") -> DataF
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys, "date").orderBy(F.desc(origin)))).where("_n = 1").drop("_n")
 
 
+def unique_dates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_rows, n_dates, is_unique): whether each series has one row a date."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_distinct("date").alias("n_dates")).withColumn("is_unique", F.col("n_rows") == F.col("n_dates"))
+
+
+def time_slice(df: DataFrame, keys: list[str], lo, hi) -> DataFrame:
+    """Rows from ``lo`` to ``hi``; a series that doesn't reach both is an error when the rows are read."""
+    a, b, w = F.lit(lo).cast("date"), F.lit(hi).cast("date"), W.partitionBy(*keys)
+    reach = df.withColumn("_whole", (F.min("date").over(w) <= a) & (F.max("date").over(w) >= b))
+    return reach.where(F.when(F.col("_whole"), F.col("date").between(a, b)).otherwise(F.raise_error(F.lit(f"a series doesn't cover {lo} to {hi}")))).drop("_whole")
+
+
 def smoke_tail_length(horizon: int) -> int:
     return 120 + 4 * horizon
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -10,8 +12,8 @@ from ..config import FeatureConfig
 from ..functions import metrics
 from ..functions import transforms as tf
 from ..functions.dates import add_calendar
-from ..operators import backtest, diagnostics, features, forecast, panel, segments, windows
-from ..sources.tables import from_star_schema
+from ..operators import backtest, diagnostics, features, forecast, panel, report, segments, windows
+from ..sources.tables import TableLoader, from_star_schema, scratch_folder, write_csv
 
 SERIES, FAMILY, H = ["store_nbr", "family"], ["family"], 28
 
@@ -537,13 +539,183 @@ def baseline_forecasts(spark, d):
     return forecast.baseline_forecasts(_sliced(spark, d), FAMILY)
 
 
-@query()
+_LAST = ", f AS (SELECT * FROM naive WHERE window_ = 4)"
+_BANDED = ", band AS (SELECT family, quantile_cont(actual - forecast, 0.05) AS lo, quantile_cont(actual - forecast, 0.95) AS hi FROM f GROUP BY family)"
+
+
+@query(_with(_LAST + _BANDED + """ SELECT s.family, s.date, 'history' AS kind, sales AS value, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi FROM fs s JOIN cv c ON c.family = s.family AND window_ = 4 AND date > train_end - 90 AND date <= train_end
+UNION ALL SELECT family, date, 'actual', actual, NULL, NULL FROM f
+UNION ALL SELECT family, date, 'forecast', forecast, round(greatest(forecast + lo, 0), 6), round(forecast + hi, 6) FROM f JOIN band USING (family)""", "naive"))
 def forecast_report(spark, d):
-    """Plot data of the seasonal-naive forecast: history, actual and forecast rows with the band of past errors."""
+    """Plot data of the seasonal-naive forecast: history, actual and forecast rows with the band of its errors."""
     s = _sliced(spark, d).where("window = 4")
-    f = forecast.seasonal_naive(s, FAMILY)
-    band = f.groupBy("family").agg(F.percentile(F.col("actual") - F.col("forecast"), 0.05).alias("lo"), F.percentile(F.col("actual") - F.col("forecast"), 0.95).alias("hi"))
-    past = s.where("split = 'train' and date > date_sub(train_end, 90)").select("family", "date", F.lit("history").alias("kind"), F.col("sales").alias("value"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
-    seen = f.select("family", "date", F.lit("actual").alias("kind"), F.col("actual").alias("value"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
-    ahead = f.join(band, "family").select("family", "date", F.lit("forecast").alias("kind"), F.col("forecast").alias("value"), F.greatest(F.col("forecast") + F.col("lo"), F.lit(0.0)).alias("lo"), (F.col("forecast") + F.col("hi")).alias("hi"))
-    return past.unionByName(seen).unionByName(ahead)
+    past = s.where("split = 'train' and date > date_sub(train_end, 90)")
+    out = report.forecast_rows(past, report.error_band(forecast.seasonal_naive(s, FAMILY), FAMILY), FAMILY)
+    return out.withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
+
+
+@query()
+def hybrid_report(spark, d):
+    """Plot data of the hybrid model with its own band."""
+    sliced, cols, known = _family_windows(spark, d, "hybrid")
+    past = sliced.where("split = 'train' and date > date_sub(train_end, 90)")
+    return report.forecast_rows(past, backtest.learned_forecasts(sliced, FAMILY, cols, known), FAMILY)
+
+
+@query(_with(""", e AS (SELECT family, actual - forecast AS residual FROM naive), s AS (SELECT family, min(residual) AS a, max(residual) AS b FROM e GROUP BY family),
+n AS (SELECT family, CASE WHEN b > a THEN least(floor((residual - a) / (b - a) * 50), 49) ELSE 0 END::BIGINT AS bin, count(*) AS n FROM e JOIN s USING (family) GROUP BY 1, 2)
+SELECT s.family, i AS bin, round(a + (b - a) * i / 50, 6) AS lo, round(a + (b - a) * (i + 1) / 50, 6) AS hi, coalesce(n.n, 0) AS n FROM s CROSS JOIN range(50) t(i) LEFT JOIN n ON n.family = s.family AND n.bin = i""", "naive"))
+def residual_histogram(spark, d):
+    e = forecast.seasonal_naive(_sliced(spark, d), FAMILY).withColumn("residual", F.col("actual") - F.col("forecast"))
+    return report.histogram(e, FAMILY).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
+
+
+_DASHBOARD = ["MAPE", "RMSE", "DirectionAccuracy", "PeakCapture"]
+
+
+@query(_with("SELECT family, " + ", ".join(f'round({_METRIC_SQL[m]}, 4) AS "{m}"' for m in _DASHBOARD) + " FROM scored WHERE window_ = 4 AND model = 'seasonal_naive' GROUP BY 1", "scored").replace("FROM train GROUP BY 1, 2", "FROM train WHERE store_nbr BETWEEN 1 AND 5 GROUP BY 1, 2"))
+def dashboard_metrics(spark, d):
+    return report.dashboard(_tables(spark, d)["train"], stores=[1, 2, 3, 4, 5]).select("family", *[F.round(m, 4).alias(m) for m in _DASHBOARD])
+
+
+@query(_with('SELECT n.family, n.window_ AS "window", n.date, n.actual, round(a.forecast, 6) AS trend, round(n.forecast / nullif(a.forecast, 0), 6) AS seasonality, n.actual - n.forecast AS residual FROM naive n JOIN average a USING (family, window_, date)', "naive", "average"))
+def baseline_components(spark, d):
+    """Components of the weekly-naive forecast round the moving average."""
+    s = _sliced(spark, d)
+    by = [*FAMILY, "window", "date"]
+    f = forecast.seasonal_naive(s, FAMILY).join(forecast.moving_average(s, FAMILY).select(*by, F.col("forecast").alias("trend")), by)
+    out = forecast.components(f, FAMILY)
+    return out.withColumns({"window": F.col("window").cast("bigint"), "trend": F.round("trend", 6), "seasonality": F.round("seasonality", 6)})
+
+
+@query()
+def in_sample_residuals(spark, d):
+    s, cols = _planned_sales(spark, d)
+    return forecast.in_sample_residuals(s, FAMILY, regressors=cols)
+
+
+# --- checks and small operators -------------------------------------------------------------------------------------
+
+
+@query(_with("SELECT family, count(*) AS n_rows, count(DISTINCT date) AS n_dates, count(*) = count(DISTINCT date) AS is_unique FROM train GROUP BY 1 UNION ALL SELECT family, count(*), count(DISTINCT date), count(*) = count(DISTINCT date) FROM fs GROUP BY 1", "train", "fs"))
+def date_uniqueness(spark, d):
+    """Dates repeat over shops in the sales and are unique in the family totals."""
+    return windows.unique_dates(_tables(spark, d)["train"], FAMILY).unionByName(windows.unique_dates(_family_sales(spark, d), FAMILY))
+
+
+@query(_with("SELECT DISTINCT model FROM forecasts", "forecasts"))
+def model_names(spark, d):
+    return metrics.model_names(_scores(spark, d))
+
+
+@query(_with('SELECT family, window_ AS "window", max(abs(actual - forecast)) AS max_error, round(avg(abs(actual - forecast)), 6) AS mean_error FROM naive GROUP BY 1, 2', "naive"))
+def error_summary(spark, d):
+    out = metrics.error_summary(forecast.seasonal_naive(_sliced(spark, d), FAMILY), [*FAMILY, "window"])
+    return out.withColumns({"window": F.col("window").cast("bigint"), "mean_error": F.round("mean_error", 6)})
+
+
+@query(_with(', r AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS r FROM (SELECT DISTINCT date FROM train)) SELECT w AS "window", max(date) FILTER (WHERE r = (4 - w) * 14 + 28) AS train_end, max(date) FILTER (WHERE r = (4 - w) * 14 + 27) AS val_start, max(date) FILTER (WHERE r = (4 - w) * 14) AS val_end FROM r, range(5) t(w) GROUP BY w', "train"))
+def panel_windows(spark, d):
+    return windows.panel_windows(_tables(spark, d)["train"]).withColumn("window", F.col("window").cast("bigint"))
+
+
+@query(_with('SELECT family, date, window_ AS "window", forecast FROM naive QUALIFY row_number() OVER (PARTITION BY family, date ORDER BY window_ DESC) = 1', "naive"))
+def latest_forecasts(spark, d):
+    """Windows overlap; each day keeps the forecast of the latest window."""
+    out = windows.keep_latest(forecast.seasonal_naive(_sliced(spark, d), FAMILY), FAMILY, "window")
+    return out.select("family", "date", F.col("window").cast("bigint").alias("window"), "forecast")
+
+
+@query("SELECT o_orderpriority, o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders QUALIFY CAST(o_orderdate AS DATE) < lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey)")
+def unsorted_orders(spark, d):
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderpriority", "o_orderkey", F.to_date("o_orderdate").alias("date"))
+    return windows.unsorted_rows(o, ["o_orderpriority"], "o_orderkey")
+
+
+@query(_with("SELECT date, store_nbr::INTEGER AS store_nbr, family, sales::DOUBLE AS sales, onpromotion::DOUBLE AS onpromotion, dcoilwtico::DOUBLE AS dcoilwtico, transactions::DOUBLE AS transactions, cluster::INTEGER AS cluster FROM enriched", "enriched"))
+def typed_panel(spark, d):
+    """Types come back from text."""
+    e = panel.enrich(_tables(spark, d)).select("date", *SERIES, "sales", "onpromotion", "dcoilwtico", "transactions", "cluster")
+    return panel.cast_types(e.withColumns({c: F.col(c).cast("string") for c in ("store_nbr", "sales", "transactions", "cluster")}))
+
+
+@query(_with("SELECT family, date, lag(sales, 28) OVER w AS lag_28, lag(sales, 90) OVER w AS lag_90 FROM fs WINDOW w AS (PARTITION BY family ORDER BY date) QUALIFY lag_90 IS NOT NULL", "fs"))
+def warm_rows(spark, d):
+    """Rows past the warm-up of the shifted covariates, numeric columns only."""
+    full = features.build(_family_panel(spark, d), FAMILY, H)
+    return features.numeric(features.drop_warmup(full, features.covariates(full, "shifted")), ["family", "date"]).select("family", "date", "lag_28", "lag_90")
+
+
+@query(_with("SELECT family, date, sales, onpromotion FROM fs WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-06-30'", "fs"))
+def covariate_slice(spark, d):
+    return windows.time_slice(_family_sales(spark, d), FAMILY, "1997-01-01", "1997-06-30").select("family", "date", "sales", "onpromotion")
+
+
+@query(_with("SELECT family, count(*) AS n, min(date) AS lo FROM train WHERE date > (SELECT max(date) - 28 FROM train) GROUP BY 1", "train"))
+def app_holdout(spark, d):
+    return panel.holdout(_tables(spark, d)["train"], H).groupBy("family").agg(F.count("*").alias("n"), F.min("date").alias("lo"))
+
+
+@query(_with(", span AS (SELECT family, CAST(unnest(generate_series((SELECT min(date) FROM train), (SELECT max(date) FROM train), INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT family FROM train)) SELECT family, date, coalesce(sales, 0) AS sales FROM span LEFT JOIN f0 USING (family, date)", "f0"))
+def panel_completed(spark, d):
+    """Every series from the panel's first day to its last."""
+    by = _tables(spark, d)["train"].groupBy("date", "family").agg(F.sum("sales").alias("sales"))
+    return panel.complete(by, "family", scope="panel").select("family", "date", "sales")
+
+
+@query(_with(f"SELECT store_nbr, family, total, {_ABC} AS abc_class FROM (SELECT *, sum(total) OVER (ORDER BY total DESC, store_nbr, family ROWS UNBOUNDED PRECEDING) / nullif(sum(total) OVER (), 0) AS cum_perc FROM (SELECT store_nbr, family, sum(sales) AS total FROM train WHERE store_nbr = 1 OR family LIKE '%BRASS%' GROUP BY 1, 2))", "train"))
+def abc_of_catalog(spark, d):
+    """Classes within a catalog of chosen series instead of all."""
+    t = _tables(spark, d)["train"]
+    catalog = segments.series_catalog([t.where("store_nbr = 1"), t.where("family like '%BRASS%'")], SERIES)
+    return segments.abc_classes(backtest.filter_series(t, catalog, SERIES), SERIES).drop("cum_perc")
+
+
+@query(_with("SELECT store_nbr, family, month, count(sales) AS n, count(*) FILTER (WHERE isfinite(sales)) AS n_finite, max(sales) - min(sales) <= 1e-8 AS is_constant, CASE WHEN max(sales) - min(sales) > 1e-8 AND min(sales) <= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS shift, CASE WHEN max(sales) - min(sales) > 1e-8 THEN 'box_cox' WHEN min(sales) >= 0 THEN 'log' ELSE 'none' END AS method FROM (SELECT store_nbr, family, CAST(date_trunc('month', date) AS DATE) AS month, sales - 30 AS sales FROM train) GROUP BY 1, 2, 3", "train"))
+def boxcox_policy(spark, d):
+    """What box_cox comes to in each month of each series, of sales less 30."""
+    t = _tables(spark, d)["train"].select(*SERIES, F.trunc("date", "month").alias("month"), (F.col("sales") - 30).alias("sales"))
+    return tf.boxcox_policy(t, [*SERIES, "month"])
+
+
+_EDGED = "CASE WHEN l < 0 THEN least(y, -1 / l - 1e-6) ELSE greatest(y, -1 / l + 1e-6) END"
+
+
+@query(_with(f"SELECT family, date, l AS lam, round({_EDGED}, 6) AS clipped, round(ln(pow({_EDGED} * l + 1, 1 / l)), 6) AS log_restored FROM (SELECT family, date, l, (sales - 60) / 20 AS y FROM fs, (VALUES (-0.5::DOUBLE), (0.5::DOUBLE)) t(l))", "fs"))
+def boxcox_inverse(spark, d):
+    """Inverse Box-Cox of values that partly lie outside its range, and their nearest value inside."""
+    y, lam = (F.col("sales") - 60) / 20, F.col("lam")
+    s = _family_sales(spark, d).withColumn("lam", F.explode(F.array(F.lit(-0.5), F.lit(0.5))))
+    return s.select("family", "date", "lam", F.round(tf.clip_to_domain(y, lam), 6).alias("clipped"), F.round(F.log(tf.inverse_boxcox(y, lam)), 6).alias("log_restored"))
+
+
+@query(_with("SELECT DISTINCT store_nbr || ' | ' || family AS label FROM train", "train"))
+def series_labels(spark, d):
+    return _tables(spark, d)["train"].select(diagnostics.series_label(SERIES).alias("label")).distinct()
+
+
+_TRIALS = " UNION ALL ".join(f"SELECT {n}::BIGINT AS trial, round(sum(abs(n.actual - f.forecast)) / sum(abs(n.actual)) * 100, 6) AS objective FROM naive n JOIN (SELECT c.family, c.window_, sum(t.sales) / {n} AS forecast FROM cv c JOIN fs t ON t.family = c.family AND t.date > c.train_end - {n} AND t.date <= c.train_end GROUP BY ALL) f USING (family, window_)" for n in (7, 28, 91))
+
+
+@query(_with(f"SELECT * FROM ({_TRIALS}) ORDER BY objective, trial LIMIT 1", "naive", "cv", "fs"))
+def best_trial(spark, d):
+    """The number of days whose mean forecasts best."""
+    s = _sliced(spark, d)
+    wape = metrics.metric_expressions()["WAPE"]
+    trials = [backtest.flat_forecasts(s, FAMILY, n).agg(F.lit(n).cast("bigint").alias("trial"), F.round(wape, 6).alias("objective")) for n in (7, 28, 91)]
+    return forecast.best_trial(trials[0].unionAll(trials[1]).unionAll(trials[2]))
+
+
+@query(_with("""SELECT 'train' AS name, count(*) AS n_rows, sum(sales)::DOUBLE AS amount FROM train UNION ALL SELECT 'stores', count(*), sum(cluster) FROM stores UNION ALL SELECT 'oil', count(*), round(sum(dcoilwtico), 2) FROM oil
+UNION ALL SELECT 'holidays', count(*), count(*) FILTER (WHERE transferred) FROM holidays UNION ALL SELECT 'transactions', count(*), sum(transactions) FROM transactions""", "train", "stores", "oil", "holidays", "transactions"))
+def loaded_tables(spark, d):
+    """The five tables written as CSV, read with their schemas, kept as Parquet and read from there."""
+    folder = scratch_folder(spark, "tables")
+    t = _tables(spark, d)
+    t["train"] = t["train"].withColumn("id", F.xxhash64("date", *SERIES))
+    write_csv(t, folder)
+    for _ in range(2):
+        got = TableLoader(spark, folder, f"{folder}/cache").load_all()
+    amounts = {"train": F.sum("sales"), "stores": F.sum("cluster"), "oil": F.round(F.sum("dcoilwtico"), 2), "holidays": F.count_if("transferred"), "transactions": F.sum("transactions")}
+    rows = [got[name].agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), a.cast("double").alias("amount")) for name, a in amounts.items()]
+    return reduce(DataFrame.unionAll, rows)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +65,27 @@ class TableLoader:
         return {name: self.load(name) for name in SCHEMAS}
 
 
+def write_csv(tables: dict[str, DataFrame], folder: str) -> None:
+    """Write source tables under the names that ``TableLoader`` reads, with a header."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{FILES[name]}")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under ``spark.checkpoint.dir``, deleted with the session; a temporary one in local mode if that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="seriesmill-")
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def setup_logging(level: str = "INFO", path: str | None = None) -> None:
     """Console log, and a rotating file where ``path`` is given."""
     from logging.handlers import RotatingFileHandler

@@ -8,7 +8,7 @@ from seriesmill.config import BaseConfig, BoostConfig, FeatureConfig, PipelineCo
 from seriesmill.functions import metrics
 from seriesmill.functions import transforms as tf
 from seriesmill.functions.dates import add_calendar
-from seriesmill.operators import backtest, boosting, diagnostics, features, forecast, panel, segments, windows
+from seriesmill.operators import backtest, boosting, diagnostics, features, forecast, panel, report, segments, windows
 from seriesmill.sources.tables import TableLoader, validate_schema
 
 DAY0 = dt.date(2020, 1, 1)
@@ -261,6 +261,89 @@ def test_small_operators(spark):
     assert forecast.best_trial(trials).first().trial == 1
 
 
+def test_panel_windows(spark):
+    s = series(spark, range(20), family="A").where("sales <> 5")
+    got = windows.panel_windows(s, 4, 2, 3).orderBy("window").collect()
+    days = [DAY0 + dt.timedelta(days=i) for i in range(20)]
+    assert [(r.window, r.train_end, r.val_start, r.val_end) for r in got] == [(0, days[12], days[13], days[16]), (1, days[15], days[16], days[19])]
+    for i, few in ((8, True), (9, False)):  # 8 dates remain of the first 9
+        rows = windows.panel_windows(s.where(f"sales < {i}"), 4, 2, 3)
+        if few:
+            with pytest.raises(Exception, match="too few dates"):
+                rows.collect()
+        else:
+            assert rows.count() == 2
+    with pytest.raises(ValueError):
+        windows.panel_windows(s, 0)
+
+
+def test_slices_and_checks(spark):
+    s = series(spark, range(10), family="A")
+    day = lambda i: str(DAY0 + dt.timedelta(days=i))
+    assert windows.time_slice(s, ["family"], day(2), day(4)).count() == 3
+    with pytest.raises(Exception, match="cover"):
+        windows.time_slice(s, ["family"], day(2), day(11)).collect()
+    assert [r.sales for r in panel.holdout(s, 2).orderBy("date").collect()] == [8, 9]
+    twice = windows.unique_dates(s.union(s.limit(1)), ["family"]).first()
+    assert (twice.n_rows, twice.n_dates, twice.is_unique) == (11, 10, False)
+    more = series(spark, range(3), family="B")
+    assert panel.complete(s.unionByName(more), "family", scope="panel").count() == 20
+    catalog = segments.series_catalog([s, more, s], ["family"])
+    assert sorted(r.family for r in catalog.collect()) == ["A", "B"]
+    for parts in ([], [s.limit(0)]):
+        with pytest.raises(ValueError):
+            segments.series_catalog(parts, ["family"])
+    with pytest.raises(ValueError, match="lag_28"):
+        features.drop_warmup(s, ["lag_28"])
+    assert features.numeric(s, ["date"]).columns == ["date", "sales"]
+
+
+def test_reports(spark):
+    from pyspark.sql import functions as F
+
+    s = series(spark, [0, 1, 2, 3, 10], family="A").withColumnRenamed("sales", "residual")
+    h = report.histogram(s.unionByName(s.withColumn("residual", F.lit(None).cast("double"))), ["family"], bins=5).orderBy("bin").collect()
+    assert [r.n for r in h] == [2, 2, 0, 0, 1] and [r.lo for r in h] == [0, 2, 4, 6, 8] and h[-1].hi == 10
+    flat = report.histogram(series(spark, [4, 4], family="A"), ["family"], "sales", 3).collect()
+    assert sorted((r.bin, r.n) for r in flat) == [(0, 2), (1, 0), (2, 0)]
+    f = series(spark, [5, 6], family="A").select("family", "date", F.col("sales").alias("actual"), F.lit(4.0).alias("forecast"))
+    rows = report.forecast_rows(series(spark, [1], family="A"), report.error_band(f, ["family"]), ["family"]).collect()
+    assert sorted(r.kind for r in rows) == ["actual", "actual", "forecast", "forecast", "history"]
+    assert {(round(r.lo, 2), round(r.hi, 2)) for r in rows if r.kind == "forecast"} == {(5.05, 5.95)}
+    weekly = series(spark, [i % 7 + 1 for i in range(80)], store_nbr=1, family="A")
+    got = report.dashboard(weekly, stores=[1], horizon=14).first()
+    assert (got.MAPE, got.RMSE, got.DirectionAccuracy) == (0, 0, 1)
+    assert report.dashboard(weekly, stores=[2]).count() == 0
+    with pytest.raises(ValueError):
+        report.dashboard(weekly, horizon=91)
+
+
+def test_in_sample_residuals_and_trial_log(spark, caplog):
+    y = [20 + 5 * (i % 7 == 3) for i in range(100)]
+    r = forecast.in_sample_residuals(series(spark, y, family="A"), ["family"]).collect()
+    assert len(r) == 100 and max(abs(x.residual) for x in r) < 1.5 and "understate" in caplog.text
+    trials = spark.createDataFrame([(0, 3.0), (1, None), (2, 2.0)], "trial int, objective double")
+    with caplog.at_level("INFO"):
+        backtest.log_trials(trials)
+    assert "best trial {'trial': 2" in caplog.text
+
+
+def test_boxcox_policy_follows_the_fit(spark):
+    cases = {"a": [1, 2, 3], "b": [0, 2, 3], "c": [4, 4], "d": [-0.5, -0.5], "e": [0, 0]}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in cases.items() for v in vs] + [("a", float("nan")), ("a", None)], "k string, sales double")
+    got = {r.k: r for r in tf.boxcox_policy(df, ["k"]).collect()}
+    assert (got["a"].n, got["a"].n_finite) == (4, 3)
+    for k, vs in cases.items():
+        p = tf.fit_values(np.array(vs, float), "box_cox")
+        assert (got[k].method, got[k].shift) == (p["method"], p["shift"])
+
+
+def test_critical_values(spark):
+    rng = np.random.default_rng(0)
+    r = diagnostics.stationarity(series(spark, rng.normal(size=60), family="A"), ["family"]).first()
+    assert r.adf_critical_values["5%"] == -2.86 and r.kpss_critical_values["2.5%"] == 0.574
+
+
 def test_entry_imports():
     import __spark_entry__ as e
 
