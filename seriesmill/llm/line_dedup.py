@@ -75,8 +75,11 @@ def owners(lines: DataFrame, share: float = SHARE) -> DataFrame:
     keys = long.select("h", F.explode(halves).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
     sieved = keys.join(shared, "key").select("h").distinct()
-    words = long.select("h", "g", "line").join(sieved, "h").groupBy("h", "g").agg(F.first("line").alias("line"))
-    near = materialise(words.join(texts, ["h", "g"]).select("h", "g", "first", "line"), "near")
+    # a text is read at its earliest place, so that a line's many copies don't meet in one task
+    firsts = texts.join(sieved, "h").select("h", "g", "first", *[F.col(f"first.{c}").alias(f"f_{c}") for c in ("doc_id", "th", "pos")])
+    at_first = (F.col("th") == F.col("f_th")) & (F.col("pos") == F.col("f_pos")) & F.col("doc_id").eqNullSafe(F.col("f_doc_id"))
+    words = long.select("doc_id", "th", "pos", "line").join(firsts, at_first).groupBy("h", "g").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    near = materialise(words, "near")
     a = near.select("h", "g", F.col("line").alias("a"))
     b = near.select(F.col("h").alias("oh"), F.col("g").alias("og"), F.col("line").alias("b"), F.col("first").alias("seen"))
     # one edit, at the place of the key: all before it and all after it is equal (an edit distance in time of the length)
