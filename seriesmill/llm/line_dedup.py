@@ -25,6 +25,8 @@ from .storage import materialise
 
 SHARE = 0.05
 PARTS = 32
+#: A line that makes up more than one in ``SPLIT`` of all lines meets its owner in several tasks.
+SPLIT = 1000
 BREAK = "\n"
 
 
@@ -65,11 +67,13 @@ def _near_pairs(near: DataFrame, least: int) -> DataFrame:
         stretches = open_.join(near, ["h", "g"]).select("h", "g", "first", "line", "x")
 
 
-def owners(lines: DataFrame, share: float = SHARE) -> DataFrame:
-    """(h, g, owner): for each line text that repeats or has a near twin, the earliest place of a matching line."""
+def owners(lines: DataFrame, texts: DataFrame, share: float = SHARE) -> DataFrame:
+    """(h, g, n, owner): for each line text that repeats or has a near twin, the earliest place of a matching line.
+
+    ``texts`` has each line text once: its hash, its earliest place and its number of copies.
+    """
     least = max(2, math.ceil(round(1 / share, 9)))
     # texts travel only for lines that pass the first level: a hash stands for a line until then
-    texts = materialise(lines.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
     long = lines.where(F.length("line") >= least - 1)
     halves = F.expr(f"flatten(transform({_FRAMES.format(least=least)}, x -> transform({_CUT.format(parts=2)}, x -> {_KEY})))")
     keys = long.select("h", F.explode(halves).alias("key"))
@@ -85,13 +89,20 @@ def owners(lines: DataFrame, share: float = SHARE) -> DataFrame:
     # one edit, at the place of the key: all before it and all after it is equal (an edit distance in time of the length)
     one_edit = "left(a, s) = left(b, s) and right(a, greatest(length(a), length(b)) - s - 1) = right(b, greatest(length(a), length(b)) - s - 1) and abs(length(a) - length(b)) <= 1"
     checked = _near_pairs(near, least).join(a, ["h", "g"]).join(b, ["oh", "og"]).where(one_edit).groupBy("h", "g").agg(F.min("seen").alias("seen"))
-    return texts.select("h", "g", "n", "first").join(checked, ["h", "g"], "left").where("n > 1 or seen < first").select("h", "g", F.least("first", F.coalesce("seen", "first")).alias("owner"))
+    return texts.select("h", "g", "n", "first").join(checked, ["h", "g"], "left").where("n > 1 or seen < first").select("h", "g", "n", F.least("first", F.coalesce("seen", "first")).alias("owner"))
 
 
 def dropped_lines(keyed: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, th, drop): the numbers of the lines to drop in each document that loses any; ``keyed`` from ``_keyed``."""
     lines = _lines(keyed)
-    found = lines.select("h", "g", _place().alias("at")).join(owners(lines, share), ["h", "g"]).where("owner < at")
+    texts = materialise(lines.groupBy("h", "g").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "lines")
+    total = texts.agg(F.sum("n")).first()[0] or 1
+    parts = F.ceil(F.col("n") * SPLIT / F.lit(total)).cast("int")
+    # fewer than SPLIT texts have more than one part, and all parts of theirs are fewer than 2 * SPLIT
+    hot = F.broadcast(texts.select("h", "g", parts.alias("parts")).where("parts > 1"))
+    dealt = lines.select("h", "g", _place().alias("at")).join(hot, ["h", "g"], "left").withColumn("part", F.expr("cast(pmod(xxhash64(at), coalesce(parts, 1)) as int)"))
+    owned = owners(lines, texts, share).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    found = dealt.join(owned, ["h", "g", "part"]).where("owner < at")
     return found.groupBy("at.doc_id", "at.th").agg(F.collect_set("at.pos").alias("drop"))
 
 
