@@ -214,9 +214,12 @@ def static_filled(spark, d):
     return panel.complete(panel.enrich(t), stores=t["stores"]).select("date", *SERIES, "sales", "city", "state", "type", "cluster", "is_localized_holiday")
 
 
-@query(_with("""SELECT date, isodow(date) - 1 AS day_of_week, month(date) AS month, quarter(date) AS quarter, day(date) AS day_of_month, week(date) AS week_of_year, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(day(date) = 1 AS INTEGER) AS is_month_start, CAST(date = last_day(date) AS INTEGER) AS is_month_end, CAST(day(date) = 15 OR date = last_day(date) AS INTEGER) AS is_payday,
+_CALENDAR = """isodow(date) - 1 AS day_of_week, month(date) AS month, quarter(date) AS quarter, day(date) AS day_of_month, week(date) AS week_of_year, CAST(isodow(date) >= 6 AS INTEGER) AS is_weekend, CAST(day(date) = 1 AS INTEGER) AS is_month_start, CAST(date = last_day(date) AS INTEGER) AS is_month_end, CAST(day(date) = 15 OR date = last_day(date) AS INTEGER) AS is_payday,
 CASE WHEN day(date) <= 15 THEN 15 - day(date) ELSE date_diff('day', date, last_day(date)) END AS days_until_next_payday,
-CASE WHEN date = last_day(date) THEN 0 WHEN day(date) >= 15 THEN day(date) - 15 ELSE day(date) END AS days_since_last_payday FROM (SELECT DISTINCT date FROM train)""", "train"))
+CASE WHEN date = last_day(date) THEN 0 WHEN day(date) >= 15 THEN day(date) - 15 ELSE day(date) END AS days_since_last_payday"""
+
+
+@query(_with(f"SELECT date, {_CALENDAR} FROM (SELECT DISTINCT date FROM train)", "train"))
 def calendar_features(spark, d):
     return add_calendar(_tables(spark, d)["train"].select("date").distinct())
 
@@ -292,6 +295,30 @@ def feature_matrix(spark, d):
     return full.groupBy("family").agg(F.count("*").alias("n_rows"), whole.alias("n_kept"))
 
 
+def _matrix_sql() -> str:
+    c = FeatureConfig()
+    cols = ["date", "family", "sales", "onpromotion", "transactions", "dcoilwtico", _CALENDAR, _EMA_SQL, *[f"{v} AS {k}" for k, v in _PROMO.items()]]
+    cols += [f"lag(dcoilwtico, {n}) OVER w AS oil_lag_{n}" for n in c.oil_lags] + ["lag(transactions, 28) OVER w AS transactions_lag_28"]
+    cols += [f"lag(sales, {n}) OVER w AS lag_{n}" for n in c.lags]
+    for fn, form in {"mean": "avg({base}) {over}", "std": "round(stddev_samp({base}) {over}, 6)", "max": "max({base}) {over}"}.items():
+        for n in c.rolling_base_lags:
+            for size in c.rolling_windows:
+                over = f"OVER (w ROWS BETWEEN {size - 1} PRECEDING AND CURRENT ROW)"
+                cols.append(f"{form.format(base=f'b{n}', over=over)} AS rolling_{fn}_lag{n}_w{size}")
+    cols += [f"{_EXPANDING.format('avg(b)')} AS expanding_mean", f"round({_EXPANDING.format('stddev_samp(b)')}, 5) AS expanding_std"]
+    made = ", ".join(["lag(sales, 28) OVER v AS b"] + [f"lag(sales, {n}) OVER v AS b{n}" for n in c.rolling_base_lags] + [f"list(onpromotion) OVER (v ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS l{s}" for s, n in _EMA.items()])
+    return _with(f"SELECT {', '.join(cols)} FROM (SELECT *, {made} FROM fp WINDOW v AS (PARTITION BY family ORDER BY date)) WINDOW w AS (PARTITION BY family ORDER BY date) QUALIFY lag_90 IS NOT NULL", "fp")
+
+
+@query(_matrix_sql())
+def feature_values(spark, d):
+    """Every column of the full feature matrix, for the rows past the warm-up of the shifted covariates."""
+    full = features.build(_family_panel(spark, d), FAMILY, H)
+    out = features.drop_warmup(full, features.covariates(full, "shifted"))
+    digits = {c: 5 if c == "expanding_std" else 6 for c in out.columns if "_std" in c or "_ema_" in c}
+    return out.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in out.columns])
+
+
 @query(_with("SELECT family, count(*) FILTER (WHERE i > 55) AS n, 1 AS matches_shifted, 0 AS matches_raw FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY date) AS i FROM fs) GROUP BY family HAVING count(*) > 55", "fs"))
 def leak_check(spark, d):
     s = _family_sales(spark, d)
