@@ -1,12 +1,12 @@
 """N-gram language model held in a log-frequency Bloom filter.
 
-Training counts of words, word pairs and word triples meet in hash ranges (packed blobs). A count gets a level: itself up
-to 8, then steps of a quarter of a power of two. Its n-gram goes into a Bloom filter once for each level up to its own, so
-a count is read back by probing level after level until one is missing; a level stands for the counts from ``low`` to
-``high``. Each hash range builds one segment of the filter; the segments go to the workers in blocks of at most
-``max_block_bytes``. Where the filter is one block, a text is scored in the pass that reads it; beyond that, each block
-has a pass of its own, which sends the levels it knows to the text's group, so the memory of a worker doesn't grow with
-the corpus.
+Words, word pairs and word triples of every text, with their training counts, go to hash ranges (packed blobs, one of each
+run of texts for each range), once. A count gets a level: itself up to 8, then steps of a quarter of a power of two. Its
+n-gram goes into a Bloom filter once for each level up to its own, so a count is read back by probing level after level
+until one is missing; a level stands for the counts from ``low`` to ``high``. A range builds its part of the filter in
+segments that fit a processor's cache, probes each for the n-grams that were asked for there, and sends the levels back to
+the runs, which meet their texts again and are scored. No filter leaves its task and no text is read once more for a larger
+one: a task's memory stays bounded, and work and exchange follow the corpus.
 
 Smoothing (Dirichlet priors, after MacKay and Peto 1995): P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), where the half more is
 for all unseen words; P(w | u) = (c(u w) + K P(w)) / (c(u) + K), and so again for triples over pairs. A word is followed by
@@ -16,7 +16,7 @@ quantised counts too a sum is never over 1, and exactly 1 while counts are at mo
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,16 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import U, chunks, mix, words
-from .storage import materialise, ranges_for, release
+from .storage import materialise, release
 
 #: Weight of the lower order after one word and after two.
 PRIORS = (8.0, 2.0)
 BITS_PER_KEY, PROBES = 10, 4
-FLUSH_TOKENS, FLUSH_TEXTS = 1_000_000, 65_000
+#: Bytes and texts of a run; bytes of text for each hash range, and how many ranges there are at least; levels in a segment of the filter.
+FLUSH_BYTES, FLUSH_TEXTS = 6 << 20, 65_000
+RANGE_BYTES, LEAST_RANGES, SEGMENT_LEVELS = 8 << 20, 256, 1 << 18
 END = int(mix(np.array([12345], U))[0])
-T48 = U((1 << 48) - 1)
-#: What tells words, pairs and triples apart in the filter.
-KINDS = {1: U(0), 2: U(1 << 50), 3: U(1 << 51)}
 
 
 def _edges() -> np.ndarray:
@@ -62,7 +61,7 @@ def high(level: np.ndarray) -> np.ndarray:
 
 
 def _tokens(data, off):
-    """(48-bit token, text) with an end token after each text, and the pair and triple ending at each token (0 for none)."""
+    """(token, text) with an end token after each text, and the pair and triple ending at each token (0 for none)."""
     h, text = words(data, off)
     n = len(off) - 1
     after = np.searchsorted(text, np.arange(n), "right")
@@ -72,21 +71,7 @@ def _tokens(data, off):
     pair[inner] = mix(h[inner - 1] * U(0x9E3779B97F4A7C15) + h[inner])
     deep = np.flatnonzero(text[2:] == text[:-2]) + 2
     triple[deep] = mix(pair[deep - 1] * U(0xD6E8FEB86659FD93) + h[deep]) >> U(16)
-    return h >> U(16), text, pair >> U(16), triple
-
-
-def _pack(h, starts):
-    """Cut sorted 48-bit hashes at range starts: (range, first, wide, steps) of each range that has some, with its slice."""
-    cut = np.searchsorted(h, starts[1:])
-    for r, (lo, hi) in enumerate(zip([0, *cut], [*cut, len(h)], strict=True)):
-        if lo < hi:
-            step = np.diff(h[lo:hi])
-            wide = bool(len(step)) and int(step.max()) >= 1 << 32
-            yield r, lo, hi, int(h[lo]), wide, step.astype(np.uint64 if wide else np.uint32).tobytes()
-
-
-def _unpack(first, wide, steps):
-    return np.concatenate([[U(first)], np.frombuffer(steps, np.uint64 if wide else np.uint32).astype(U)]).cumsum(dtype=U)
+    return h, text, pair >> U(16), triple
 
 
 def _starts(ranges: int) -> np.ndarray:
@@ -97,125 +82,177 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-_COUNTS = pa.schema([("rng", pa.int32()), ("kind", pa.int32()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("times", pa.binary())])
+def _flushes(batches):
+    """Runs of whole texts of bounded size, the same in every pass over the same table: (key, [(ids, learn, texts, bytes, offsets)]).
 
+    The key holds the run's place and a checksum of its bytes, so runs of passes that differ don't meet.
+    """
+    part, no = TaskContext.get().partitionId() << 32, 0
+    held, size, n_text, crc = [], 0, 0, 0
 
-def _count_blobs(ranges: int):
-    """Words, pairs and triples (kinds 1 to 3) of training texts with their counts, packed by hash range."""
-    starts = _starts(ranges)
+    def key():
+        return int(mix(np.array([part + no], U) ^ mix(np.array([(crc << 32) + n_text], U))).view(np.int64)[0])
 
-    def flush(parts):
-        rows = []
-        for kind, got in parts.items():
-            h, times = np.unique(np.concatenate(got), return_counts=True)
-            for r, lo, hi, first, wide, steps in _pack(h, starts):
-                rows.append((r, kind, first, wide, steps, times[lo:hi].astype(np.uint32).tobytes()))
-        return _batch(rows, _COUNTS)
+    for b in batches:
+        known = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for lo, hi, data, off in chunks(b.column(2)):
+            if held and (n_text + hi - lo > FLUSH_TEXTS or size + len(data) > FLUSH_BYTES):
+                yield key(), held
+                no += 1
+                held, size, n_text, crc = [], 0, 0, 0
+            held.append((b.column(0).slice(lo, hi - lo), known[lo:hi], b.column(2).slice(lo, hi - lo), data, off))
+            size, n_text, crc = size + len(data), n_text + hi - lo, zlib.crc32(data, crc)
+    if held:
+        yield key(), held
 
-    def run(batches):
-        parts, n = {k: [] for k in KINDS}, 0
-        for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
-                h, _, pair, triple = _tokens(data, off)
-                parts[1].append(h)
-                parts[2].append(pair[pair > 0])
-                parts[3].append(triple[triple > 0])
-                n += len(h)
-                if n > FLUSH_TOKENS:
-                    yield flush({k: v for k, v in parts.items() if any(map(len, v))})
-                    parts, n = {k: [] for k in KINDS}, 0
-        if n:
-            yield flush({k: v for k, v in parts.items() if any(map(len, v))})
 
-    return run
+def _grams(h, pair, triple):
+    """A word's id is its upper 63 bits; pairs and triples share one row of 48-bit ids, told apart by how they are hashed."""
+    return h >> U(1), np.concatenate([pair[pair > 0], triple[triple > 0]])
 
 
-def _bit_places(h: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
-    g = mix(h + level.astype(U) * U(0xD1B54A32D192ED03))
-    a, b = g & U(0xFFFFFFFF), (g >> U(32)) | U(1)
-    return (a[:, None] + b[:, None] * np.arange(PROBES, dtype=U)[None, :]) % U(bits)
+def _counted(packed) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, in order, of (id << 1 | training), and the training rows of each."""
+    packed = np.sort(np.concatenate(packed))
+    own = packed >> U(1)
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.add.reduceat(packed & U(1), first) if len(first) else np.zeros(0, U)
 
 
-def _segment(bits_per_key: int):
-    """One hash range's segment of the filter, and how many words it has, distinct and in all."""
+def _packed_times(times: np.ndarray) -> bytes:
+    return zlib.compress(times.astype(np.min_scalar_type(int(times.max())) if len(times) else np.uint8).tobytes(), 1)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys, level, kinds, total = [], [], 0, 0
-        for kind, tag in KINDS.items():
-            got = [(_unpack(x["first"], x["wide"], x["steps"]), np.frombuffer(x["times"], np.uint32)) for x in rows if x["kind"] == kind]
-            if not got:
-                continue
-            h, t = np.concatenate([x for x, _ in got]), np.concatenate([t for _, t in got])
-            order = np.argsort(h)
-            h, t = h[order], t[order]
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            h, c = h[first], np.add.reduceat(t.astype(np.int64), first)
-            q = level_of(c)
-            if kind == 1:
-                kinds, total = len(h), int(c.sum())
-            keys.append(np.repeat(h ^ tag, q))
-            level.append(np.arange(q.sum()) - np.repeat(np.cumsum(q) - q, q) + 1)
-        keys, level = np.concatenate(keys), np.concatenate(level)
-        bits = max(64, -(-len(keys) * bits_per_key // 64) * 64)
-        flags = np.zeros(bits, bool)
-        step = 1 << 19
-        for lo in range(0, len(keys), step):
-            flags[_bit_places(keys[lo : lo + step], level[lo : lo + step], bits).ravel().astype(np.int64)] = True
-        return pa.table([pa.array([table.column("rng")[0].as_py()], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary()), pa.array([kinds]), pa.array([total])], names=["rng", "bits", "kinds", "total"])
+
+def _unpacked_times(data: bytes, n: int) -> np.ndarray:
+    data = zlib.decompress(data)
+    return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
+_ASKED = pa.schema([("rng", pa.int32()), ("flush", pa.int64()), ("words", pa.binary()), ("word_times", pa.binary()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("times", pa.binary())])
+_ASKED_SQL = "rng int, flush long, words binary, word_times binary, first long, wide boolean, steps binary, times binary"
+
+
+def _ask(ranges: int):
+    """Distinct n-grams of each run by hash range, with training counts; a row for every range, as each tells its totals.
+
+    Sorted 48-bit ids of pairs and triples go as a first one and steps.
+    """
+    starts = _starts(ranges)
+
+    def run(batches):
+        for no, held in _flushes(batches):
+            asked_words, asked = [], []
+            for _, known, _, data, off in held:
+                h, text, pair, triple = _tokens(data, off)
+                learn = known[text].astype(U)
+                w, g = _grams(h, pair, triple)
+                asked_words.append(w << U(1) | learn)
+                asked.append(g << U(1) | np.concatenate([learn[pair > 0], learn[triple > 0]]))
+            (w, w_times), (g, times) = _counted(asked_words), _counted(asked)
+            w_cut = [0, *np.searchsorted(w, starts[1:] << U(15)), len(w)]
+            cut = [0, *np.searchsorted(g, starts[1:]), len(g)]
+            rows = []
+            for r in range(ranges):
+                lo, hi, w_lo, w_hi = cut[r], cut[r + 1], w_cut[r], w_cut[r + 1]
+                step = np.diff(g[lo:hi])
+                wide = bool(len(step)) and int(step.max()) >= 1 << 32
+                rows.append((r, no, w[w_lo:w_hi].tobytes(), _packed_times(w_times[w_lo:w_hi]), int(g[lo]) if lo < hi else None, wide, step.astype(np.uint64 if wide else np.uint32).tobytes(), _packed_times(times[lo:hi])))
+            yield _batch(rows, _ASKED)
 
     return run
 
 
+def _unpack(first, wide, steps):
+    if first is None:
+        return np.zeros(0, U)
+    return np.concatenate([[U(first)], np.frombuffer(steps, np.uint64 if wide else np.uint32).astype(U)]).cumsum(dtype=U)
+
+
 class LevelFilter:
-    """A run of segments; ``levels`` gives the quantised count of each n-gram, 0 where the n-gram's range isn't held."""
-
-    def __init__(self, ranges: int, segments: dict[int, bytes]):
-        self.starts = _starts(ranges)
-        self.size = np.zeros(ranges, np.int64)
-        self.offset = np.zeros(ranges, np.int64)
-        at = 0
-        for r in sorted(segments):
-            self.size[r], self.offset[r] = 8 * len(segments[r]), at
-            at += len(segments[r])
-        self.data = np.frombuffer(b"".join(segments[r] for r in sorted(segments)), np.uint8)
-
-    def levels(self, h: np.ndarray, kind: int) -> np.ndarray:
-        """Each distinct n-gram is probed once."""
-        uniq, back = np.unique(h, return_inverse=True)
-        r = np.searchsorted(self.starts, uniq, "right") - 1
-        out = np.zeros(len(uniq), np.uint8)
-        live = np.flatnonzero(self.size[r] > 0)
-        key = uniq ^ KINDS[kind]
-        for q in range(1, LEVELS + 1):
-            if not len(live):
-                break
-            k, seg = key[live], r[live]
-            g = mix(k + U(q * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
-            a, b, m = g & U(0xFFFFFFFF), (g >> U(32)) | U(1), self.size[seg].astype(U)
+    """One segment of the filter: n-grams ``h`` go in once for each level up to ``q``; ``levels`` reads them back."""
+
+    def __init__(self, h: np.ndarray, q: np.ndarray, bits_per_key: int):
+        n = int(q.sum())
+        self.bits = max(64, -(-n * bits_per_key // 64) * 64)
+        flags = np.zeros(self.bits, bool)
+        live, level = np.flatnonzero(q > 0), 1
+        while len(live):
+            for p in self._places(h[live], level):
+                flags[p] = True
+            live = live[q[live] > level]
+            level += 1
+        self.data = np.packbits(flags, bitorder="little")
+
+    def _places(self, h: np.ndarray, level: int):
+        g = mix(h + U(level * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF))
+        a, b = g & U(0xFFFFFFFF), (g >> U(32)) | U(1)
+        for i in range(PROBES):
+            yield ((((a + b * U(i)) & U(0xFFFFFFFF)) * U(self.bits)) >> U(32)).astype(np.int64)
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), np.uint8)
+        live = np.arange(len(h))
+        for level in range(1, LEVELS + 1):
             ok = np.ones(len(live), bool)
-            for i in range(PROBES):
-                here = np.flatnonzero(ok)
-                if not len(here):
-                    break
-                p = ((a[here] + b[here] * U(i)) % m[here]).astype(np.int64)
-                ok[here] = (self.data[self.offset[seg[here]] + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1 > 0
+            for p in self._places(h[live], level):
+                ok &= (self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
             live = live[ok]
-            out[live] = q
-        return out[back]
+            if not len(live):
+                break
+            out[live] = level
+        return out
 
 
-def _position_levels(f: LevelFilter, h, pair, triple) -> list[np.ndarray]:
-    """Levels of the word, pair and triple that end at each token."""
-    out = [f.levels(h, 1)]
-    for kind, gram in ((2, pair), (3, triple)):
-        level = np.zeros(len(h), np.uint8)
-        has = np.flatnonzero(gram)
-        level[has] = f.levels(gram[has], kind)
-        out.append(level)
+def filtered_levels(h: np.ndarray, c: np.ndarray, bits_per_key: int) -> np.ndarray:
+    """Levels that the filter of distinct n-grams ``h`` (in order) with training counts ``c`` gives them, segment by segment."""
+    out = np.zeros(len(h), np.uint8)
+    q = level_of(c)
+    before = np.cumsum(q) - q
+    cut = np.searchsorted(before, np.arange(0, int(q.sum()) + 1, SEGMENT_LEVELS))
+    for lo, hi in zip(cut, [*cut[1:], len(h)], strict=True):
+        if lo < hi:
+            out[lo:hi] = LevelFilter(h[lo:hi], q[lo:hi], bits_per_key).levels(h[lo:hi])
     return out
 
 
+_TOLD_SQL = "flush long, rng int, word_levels binary, counts binary, levels binary, kinds long, total long"
+
+
+def _tell(bits_per_key: int):
+    """Of a hash range: for each run the levels of what it asked for, words' counts too, and the training words of the range, distinct and in all."""
+
+    def told(asked, times):
+        """Counts of the distinct n-grams, each asked one's level, and the order and the runs that give each its count."""
+        h = np.concatenate(asked)
+        order = np.argsort(h)
+        h, times = h[order], np.concatenate(times)[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        c = np.add.reduceat(times, first, dtype=np.int64) if len(h) else first
+        same = np.diff(np.append(first, len(h)))
+        each = np.empty(len(h), np.uint8)
+        each[order] = np.repeat(filtered_levels(h[first], c, bits_per_key), same)
+        return c, each, order, same
+
+    def parts(values, asked):
+        ends = np.cumsum([len(x) for x in asked])
+        return [zlib.compress(values[end - len(x) : end].tobytes(), 1) for x, end in zip(asked, ends, strict=True)]
+
+    def run(table: pa.Table) -> pa.Table:
+        n = table.num_rows
+        col = {name: table.column(name).to_pylist() for name in table.column_names if name not in ("rng", "flush")}
+        asked = [np.frombuffer(x, U) for x in col["words"]]
+        c, level, order, same = told(asked, [_unpacked_times(x, len(w)) for x, w in zip(col["word_times"], asked, strict=True)])
+        each = np.empty(len(order), np.int64)
+        each[order] = np.repeat(c, same)
+        word_levels, counts = parts(level, asked), parts(each, asked)
+        kinds, total = int((c > 0).sum()), int(c.sum())
+        asked = [_unpack(*x) for x in zip(col["first"], col["wide"], col["steps"], strict=True)]
+        _, level, *_ = told(asked, [_unpacked_times(x, len(g)) for x, g in zip(col["times"], asked, strict=True)])
+        return pa.table([table.column("flush"), table.column("rng"), pa.array(word_levels, pa.binary()), pa.array(counts, pa.binary()), pa.array(parts(level, asked), pa.binary()), pa.array([kinds] * n, pa.int64()), pa.array([total] * n, pa.int64())], names=["flush", "rng", "word_levels", "counts", "levels", "kinds", "total"])
+
+    return run
+
+
 def probabilities(levels, text, total, kinds) -> np.ndarray:
     """P of each token after the tokens before it in its text, from the levels of n-grams."""
     word, *longer = levels
@@ -235,181 +272,48 @@ def _log_probability(levels, text, n_texts, total, kinds) -> np.ndarray:
     return np.bincount(text, np.log10(probabilities(levels, text, total, kinds)), minlength=n_texts)
 
 
-class NgramModel:
-    """A fitted model: blocks of the filter (broadcast), and the number of training tokens and of distinct ones."""
-
-    def __init__(self, blocks: list, total: int, kinds: int):
-        self.blocks, self.total, self.kinds = blocks, total, kinds
-
-
-_EXCHANGE = pa.schema([("rng", pa.int32()), ("flush", pa.int64()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("at", pa.binary()), ("times", pa.binary()), ("learn", pa.binary()), ("head", pa.binary())])
-_EXCHANGE_SQL = "rng int, flush long, first long, wide boolean, steps binary, at binary, times binary, learn binary, head binary"
-
-
-def _head(ids, learn, sizes, scores) -> bytes:
-    out = pa.BufferOutputStream()
-    t = pa.table([ids, pa.array(learn), pa.array(sizes), pa.array(scores)], names=["doc_id", "learn", "n_tokens", "score"])
-    with pa.ipc.new_stream(out, t.schema) as w:
-        w.write_table(t)
-    return out.getvalue().to_pybytes()
-
-
-def _flushes(batches):
-    """Runs of whole texts of bounded size, the same in every pass over the same table: (number, [(ids, learn, tokens, texts, pairs, triples)])."""
-    part, no = TaskContext.get().partitionId() << 24, 0
-    held, n_tok, n_text = [], 0, 0
-    for b in batches:
-        known = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for lo, hi, data, off in chunks(b.column(2)):
-            if held and (n_text + hi - lo > FLUSH_TEXTS or n_tok > FLUSH_TOKENS):
-                yield part + no, held
-                no += 1
-                held, n_tok, n_text = [], 0, 0
-            h, text, pair, triple = _tokens(data, off)
-            held.append((b.column(0).slice(lo, hi - lo), known[lo:hi], h, text, pair, triple))
-            n_tok += len(h)
-            n_text += hi - lo
-    if held:
-        yield part + no, held
-
-
-def _exchange(ranges: int, model: NgramModel | None):
-    """Distinct (word, text) of each flush by hash range, with counts; with a model also a head row: ids, sizes, scores."""
-    starts = _starts(ranges)
-
-    shared, rest = (model.blocks[0], (model.total, model.kinds)) if model else (None, ())
-
-    def run(batches):
-        for no, held in _flushes(batches):
-            rows, packed, n_text = [], [], 0
-            learn = np.concatenate([x[1] for x in held])
-            for _, known, h, text, *_ in held:
-                packed.append((h << U(16)) | (text + n_text).astype(U))
-                n_text += len(known)
-            if shared is not None:
-                scores = [_log_probability(_position_levels(shared.value, h, pair, triple), text, len(known), *rest) for _, known, h, text, pair, triple in held]
-                sizes = np.concatenate([np.bincount(text, minlength=len(known)) for _, known, _, text, *_ in held])
-                rows.append((-1 - no % ranges, no, 0, False, b"", b"", b"", b"", _head(pa.concat_arrays([x[0] for x in held]), learn, sizes, np.concatenate(scores))))
-            packed, times = np.unique(np.concatenate(packed), return_counts=True)
-            own = (packed & U(0xFFFF)).astype(np.uint16)
-            for r, lo, hi, first, wide, steps in _pack(packed >> U(16), starts):
-                rows.append((r, no, first, wide, steps, own[lo:hi].tobytes(), times[lo:hi].astype(np.uint32).tobytes(), np.packbits(learn[own[lo:hi]]).tobytes(), None))
-            yield _batch(rows, _EXCHANGE)
-
-    return run
-
-
-_GRAMS = ("word", "pair", "triple")
-_LEVELS_SQL = "flush long, word binary, pair binary, triple binary, head binary"
-
-
-def _levels(shared, first: bool):
-    """What one block of the filter knows of each flush; the first block's pass also sends the flush's texts."""
-
-    def run(batches):
-        for no, held in _flushes(batches):
-            got = [_position_levels(shared.value, h, pair, triple) for _, _, h, _, pair, triple in held]
-            head = None
-            if first:
-                sizes = np.concatenate([np.bincount(text, minlength=len(known)) for _, known, _, text, *_ in held])
-                head = _head(pa.concat_arrays([x[0] for x in held]), np.concatenate([x[1] for x in held]), sizes, np.zeros(len(sizes)))
-            yield pa.RecordBatch.from_arrays([pa.array([no]), *(pa.array([np.concatenate([g[i] for g in got]).tobytes()], pa.binary()) for i in range(3)), pa.array([head], pa.binary())], ["flush", *_GRAMS, "head"])
-
-    return run
-
-
-def _most(table: pa.Table) -> pa.Table:
-    """A flush's levels over all blocks."""
-    levels = [np.max([np.frombuffer(x, np.uint8) for x in table.column(c).to_pylist()], axis=0) for c in _GRAMS]
-    head = next(x for x in table.column("head").to_pylist() if x is not None)
-    return pa.table([table.column("flush").slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in levels), pa.array([head], pa.binary())], names=["flush", *_GRAMS, "head"])
-
-
-def _heads_of_levels(total, kinds):
-    def run(batches):
-        for b in batches:
-            for no, *levels, head in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                t = pa.ipc.open_stream(head).read_all()
-                sizes = t.column("n_tokens").to_numpy()
-                score = _log_probability([np.frombuffer(x, np.uint8) for x in levels], np.repeat(np.arange(len(sizes)), sizes), t.num_rows, total, kinds)
-                scored = _head(t.column("doc_id").combine_chunks(), t.column("learn").to_numpy(zero_copy_only=False).astype(bool), sizes, score)
-                yield pa.RecordBatch.from_arrays([pa.array([no]), *(pa.array([None], pa.binary()) for _ in range(3)), pa.array([scored], pa.binary()), pa.array([0]), pa.array([0])], ["flush", "at", "logs", "known", "head", "kinds", "total"])
-
-    return run
-
-
-_REPLY = "flush long, at binary, logs binary, known binary, head binary, kinds long, total long"
-
-
-def _replies(table: pa.Table) -> pa.Table:
-    """Of a hash range: for each flush, each text's sum of log10(c + 0.5) over its words there, and how many are known."""
-    rows = table.to_pylist()
-    names = ["flush", "at", "logs", "known", "head", "kinds", "total"]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
-    if rows[0]["head"] is not None:
-        out = [(x["flush"], None, None, None, x["head"], 0, 0) for x in rows]
-        return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-    h = np.concatenate([_unpack(x["first"], x["wide"], x["steps"]) for x in rows])
-    size = [len(x["at"]) // 2 for x in rows]
-    times = np.concatenate([np.frombuffer(x["times"], np.uint32) for x in rows]).astype(np.int64)
-    learn = np.concatenate([np.unpackbits(np.frombuffer(x["learn"], np.uint8), count=n) for x, n in zip(rows, size, strict=True)])
-    uniq, back = np.unique(h, return_inverse=True)
-    c = np.bincount(back, times * learn, minlength=len(uniq))
-    logs = np.log10(c + 0.5)
-    kinds, total = int((c > 0).sum()), int(c.sum())
-    out, end = [], 0
-    for i, (x, n) in enumerate(zip(rows, size, strict=True)):
-        lo, end = end, end + n
-        at = np.frombuffer(x["at"], np.uint16)
-        own, inv = np.unique(at, return_inverse=True)
-        s = np.bincount(inv, times[lo:end] * logs[back[lo:end]])
-        k = np.bincount(inv, times[lo:end] * (c[back[lo:end]] > 0)).astype(np.uint32)
-        out.append((x["flush"], own.tobytes(), s.tobytes(), k.tobytes(), None, kinds if i == 0 else 0, total if i == 0 else 0))
-    return pa.table([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-
-_TEXTS = "doc_id long, learn boolean, n_tokens long, n_known long, logs double, score double, kinds long, total long"
-
-
-def _texts(table: pa.Table) -> pa.Table:
-    """Of a flush: its texts with their sums, and one row more (null n_tokens) with the ranges' own sums."""
-    heads = [x for x in table.column("head").to_pylist() if x is not None]
-    kinds, total = sum(table.column("kinds").to_pylist()), sum(table.column("total").to_pylist())
-    head = pa.ipc.open_stream(heads[0]).read_all()
-    n = head.num_rows
-    logs, known = np.zeros(n), np.zeros(n, np.int64)
-    for at, s, k in zip(*(table.column(c).to_pylist() for c in ("at", "logs", "known")), strict=True):
-        if at is not None:
-            own = np.frombuffer(at, np.uint16)
-            logs[own] += np.frombuffer(s)
-            known[own] += np.frombuffer(k, np.uint32)
-    none = [None]
-    return pa.table(
-        [pa.array(head.column("doc_id").to_pylist() + none, pa.int64()), pa.array(head.column("learn").to_pylist() + none, pa.bool_()), pa.array(head.column("n_tokens").to_pylist() + none, pa.int64()), pa.array([*known.tolist(), None], pa.int64()), pa.array([*logs.tolist(), None], pa.float64()), pa.array(head.column("score").to_pylist() + none, pa.float64()), pa.array([0] * n + [kinds], pa.int64()), pa.array([0] * n + [total], pa.int64())],
-        names=["doc_id", "learn", "n_tokens", "n_known", "logs", "score", "kinds", "total"],
-    )
-
-
-def fit_filter(texts: DataFrame, max_block_bytes: int = 256 << 20, bits_per_key: int = BITS_PER_KEY) -> NgramModel:
-    """Count the words, pairs and triples of all rows of ``texts`` (one string column) and build the filter.
-
-    The filter grows with the corpus; it leaves the executors in blocks of at most ``max_block_bytes`` (or one segment).
-    """
-    ranges = ranges_for(texts, 64)
-    blobs = texts.mapInArrow(_count_blobs(ranges), "rng int, kind int, first long, wide boolean, steps binary, times binary")
-    segments = materialise(blobs.groupBy("rng").applyInArrow(_segment(bits_per_key), "rng int, bits binary, kinds long, total long"), "segments")
-    kinds, total = segments.agg(F.sum("kinds"), F.sum("total")).first()
-    sc = texts.sparkSession.sparkContext
-    blocks, held, size = [], {}, 0
-    for r, bits in segments.select("rng", "bits").toLocalIterator():
-        if held and size + len(bits) > max_block_bytes:
-            blocks.append(sc.broadcast(LevelFilter(ranges, held)))
-            held, size = {}, 0
-        held[r] = bytes(bits)
-        size += len(bits)
-    blocks.append(sc.broadcast(LevelFilter(ranges, held)))
-    release(segments)
-    return NgramModel(blocks, total or 0, kinds or 0)
+def _held_texts(batches):
+    """The rows of each run, packed."""
+    for no, held in _flushes(batches):
+        out = pa.BufferOutputStream()
+        ids, texts = (pa.concat_arrays([x[i] for x in held]) for i in (0, 2))
+        t = pa.table([ids, pa.array(np.concatenate([x[1] for x in held])), texts], names=["doc_id", "learn", "text"])
+        with pa.ipc.new_stream(out, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t)
+        yield pa.RecordBatch.from_arrays([pa.array([no]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["flush", "texts"])
+
+
+_SCORES_SQL = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(held: pa.Table, told: pa.Table) -> pa.Table:
+    """Of a run: its texts, scored with what the ranges told of its n-grams."""
+    if held.num_rows != 1 or not told.num_rows:
+        raise ValueError("the table gave other rows when it was read again; write it first")
+    told = told.sort_by("rng")
+    kinds, total = (sum(told.column(x).to_pylist()) for x in ("kinds", "total"))
+    word_levels, counts, gram_levels = (np.frombuffer(b"".join(map(zlib.decompress, told.column(x).to_pylist())), kind) for x, kind in (("word_levels", np.uint8), ("counts", np.int64), ("levels", np.uint8)))
+    t = pa.ipc.open_stream(held.column("texts")[0].as_py()).read_all().combine_chunks()
+    n = t.num_rows
+    tokens = [(lo, _tokens(data, off)) for lo, _, data, off in chunks(t.column("text").combine_chunks())]
+    text = np.concatenate([x[1] + lo for lo, x in tokens])
+    h, pair, triple = (np.concatenate([x[i] for _, x in tokens]) for i in (0, 2, 3))
+    w, g = _grams(h, pair, triple)
+    (words_, w_back), (grams, back) = np.unique(w, return_inverse=True), np.unique(g, return_inverse=True)
+    if len(words_) != len(counts) or len(grams) != len(gram_levels):
+        raise ValueError("a run got levels for other n-grams than its own")
+    longer, at = [], 0
+    for gram in (pair, triple):
+        own = np.flatnonzero(gram)
+        level = np.zeros(len(h), np.uint8)
+        level[own] = gram_levels[back[at : at + len(own)]]
+        longer.append(level)
+        at += len(own)
+    sizes = np.bincount(text, minlength=n)
+    known = np.bincount(text, counts[w_back] > 0, minlength=n).astype(np.int64)
+    base = np.bincount(text, np.log10(counts + 0.5)[w_back], minlength=n) - sizes * np.log10(total + 0.5 * (kinds + 1))
+    score = _log_probability([word_levels[w_back], *longer], text, n, total, kinds)
+    return pa.table([t.column("doc_id"), t.column("learn"), pa.array(sizes), pa.array(known), pa.array([total] * n, pa.int64()), pa.array(base), pa.array(score)], names=["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
 def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", max_block_bytes: int = 256 << 20, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
@@ -418,25 +322,18 @@ def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "tex
     Returns for each row doc_id, learn, n_tokens, n_known, train_tokens, base_score and score. Tokens are words (runs of
     non-white-space bytes, A-Z lowered) and one end token. A null text counts as empty, a null ``learn`` as false;
     repeated rows are scored and counted each; other columns are ignored; an empty table gives no rows. With nothing to
-    learn from, every token has probability 1. A very long text is one run of its own.
+    learn from, every token has probability 1. A very long text is one run of its own. A task holds one segment of the
+    filter at a time, whatever ``max_block_bytes`` allows (it stays for callers that give it).
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    model = fit_filter(own.where("learn").select("text"), max_block_bytes, bits_per_key)
-    ranges = ranges_for(own, 64)
-    if len(model.blocks) == 1:
-        replies = own.mapInArrow(_exchange(ranges, model), _EXCHANGE_SQL).groupBy("rng").applyInArrow(_replies, _REPLY)
-    else:
-        # each block is a job of its own: in a union, partition numbers would no longer be those of the table
-        known = []
-        for i, x in enumerate(model.blocks):
-            known.append(materialise(own.mapInArrow(_levels(x, i == 0), _LEVELS_SQL), "levels"))
-            x.unpersist()
-        levels = materialise(reduce(DataFrame.unionAll, known).groupBy("flush").applyInArrow(_most, _LEVELS_SQL), "levels")
-        release(*known)
-        replies = own.mapInArrow(_exchange(ranges, None), _EXCHANGE_SQL).groupBy("rng").applyInArrow(_replies, _REPLY)
-        replies = replies.unionAll(levels.mapInArrow(_heads_of_levels(model.total, model.kinds), _REPLY))
-    found = materialise(replies.groupBy("flush").applyInArrow(_texts, _TEXTS), "scores")
-    kinds, total = found.where("n_tokens is null").agg(F.sum("kinds"), F.sum("total")).first()
-    kinds, total = kinds or 0, total or 0
-    base = F.col("logs") - F.col("n_tokens") * F.lit(float(np.log10(total + 0.5 * (kinds + 1))))
-    return found.where("n_tokens is not null").select("doc_id", "learn", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # runs are formed twice: rows that come out of an exchange may change their order in between
+    written = "Exchange" in own._jdf.queryExecution().executedPlan().toString()
+    if written:
+        own = materialise(own, "texts")
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    told = own.mapInArrow(_ask(max(LEAST_RANGES, -(-size // RANGE_BYTES))), _ASKED_SQL).groupBy("rng").applyInArrow(_tell(bits_per_key), _TOLD_SQL)
+    held = own.mapInArrow(_held_texts, "flush long, texts binary")
+    scores = materialise(held.groupBy("flush").cogroup(told.groupBy("flush")).applyInArrow(_score, _SCORES_SQL), "scores")
+    if written:
+        release(own)
+    return scores

@@ -426,6 +426,45 @@ def test_grams_seen_once_are_scored(spark):
     assert got[2] > got[3] + 0.05
 
 
+def test_language_model_reads_texts_as_often_for_a_large_filter(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(40)), i % 5 != 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+
+    def read(size):
+        seen = spark.sparkContext.accumulator(0)
+
+        def run(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        got = sorted(language_model.score_texts(df.mapInArrow(run, df.schema), F.col("learn"), max_block_bytes=size).collect())
+        return got, seen.value
+
+    (one, once), (many, often) = read(256 << 20), read(200)
+    assert len(one) == 60 and one == many and often == once
+
+
+def test_language_model_of_rows_whose_order_may_change(spark):
+    df = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} c", i % 5 != 1) for i in range(300)], "doc_id long, text string, learn boolean")
+    plain = {r.doc_id: r for r in language_model.score_texts(df, F.col("learn")).collect()}
+    dealt = language_model.score_texts(df.repartition(3), F.col("learn")).collect()
+    assert len(dealt) == 300
+    for r in dealt:
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (plain[r.doc_id].n_tokens, plain[r.doc_id].n_known, plain[r.doc_id].train_tokens)
+        assert r.base_score == pytest.approx(plain[r.doc_id].base_score) and r.score == pytest.approx(plain[r.doc_id].score, abs=1e-6)
+
+
+def test_filter_segments_give_counts_back():
+    rng = np.random.default_rng(5)
+    h = np.unique(rng.integers(0, 1 << 48, 300_000).astype(np.uint64))
+    c = np.where(rng.random(len(h)) < 0.6, rng.integers(1, 40, len(h)), 0)
+    q, got = language_model.level_of(c), language_model.filtered_levels(h, c, 10)
+    assert q.sum() > 3 * language_model.SEGMENT_LEVELS
+    assert (got >= q).all() and (got > q).mean() < 0.03
+    assert (language_model.filtered_levels(h, 0 * c, 10) == 0).all() and len(language_model.filtered_levels(h[:0], c[:0], 10)) == 0
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
