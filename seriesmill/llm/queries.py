@@ -1,11 +1,11 @@
-"""The ten registered queries, and SQL for those that SQL can express."""
+"""The registered queries, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, decontaminate, language_id, language_model, license_scan, line_dedup, ngram_jaccard, packing, quality, toxicity
+from . import collocations, cover_tree, decontaminate, language_id, language_model, license_scan, line_dedup, ngram_jaccard, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +65,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_toxicity, op2_language_id, op3_line_dedup, op4_cover_tree_topk, op5_decontamination, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_lm_scoring, op10_packing)
+    found = (op1_toxicity, op2_language_id, op3_line_dedup, op4_cover_tree_topk, op5_decontamination, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_lm_scoring, op10_packing, op11_phrase_collocations)
     return {f.__name__: f for f in found}
 
 
@@ -130,6 +134,39 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) r USING (doc_id)"""
 
 
+OP11_SQL = r"""
+WITH low AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), piece AS (
+  SELECT lang, unnest(string_split(regexp_replace(text, '[.,;:!?\x0A-\x0D]', chr(10), 'g'), chr(10))) AS piece FROM low
+), w AS (
+  SELECT lang, list_filter(string_split(regexp_replace(piece, '[\x20\x09]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM piece
+), total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+gram AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS p, m
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) AS t(m))
+), f AS (SELECT lang, p, m, count(*) AS f FROM gram GROUP BY lang, p, m HAVING count(*) >= 100),
+cand AS (SELECT lang, p, m, f AS a, string_split(p, ' ') AS w FROM f WHERE m > 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS p, max(a) AS over
+  FROM (SELECT lang, w, m, a, k, unnest(range(1, m - k + 2)) AS i FROM cand, (VALUES (2), (3), (4)) AS t(k) WHERE k < m)
+  GROUP BY 1, 2
+), kept AS (
+  SELECT cand.* FROM cand LEFT JOIN inner_ USING (lang, p) WHERE over IS NULL OR 100 * over < 100 * a
+), cut AS (
+  SELECT kept.lang, kept.p, kept.w, kept.a, unnest(range(1, m)) AS k FROM kept
+), scored AS (
+  SELECT cut.lang, cut.p, cut.a, cut.k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cut JOIN total ON total.lang = cut.lang
+  JOIN f x ON x.lang = cut.lang AND x.p = array_to_string(cut.w[1:k], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.p = array_to_string(cut.w[k + 1:], ' ')
+), low_cut AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, n, score
+FROM low_cut QUALIFY rank <= 2000"""
+
+
 def _op8_sql() -> str:
     gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -166,4 +203,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_cover_tree_topk": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_license_scan": _op8_sql()}
+    return {"op3_line_dedup": OP3_SQL, "op4_cover_tree_topk": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_license_scan": _op8_sql(), "op11_phrase_collocations": OP11_SQL}
