@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, cover_tree, decontaminate, language_id, language_model, license_scan, line_dedup, ngram_jaccard, packing, quality, toxicity
+from . import collocations, cover_tree, decontaminate, language_id, language_model, license_scan, line_dedup, ngram_jaccard, packing, prefix_trie, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +69,12 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    found = (op1_toxicity, op2_language_id, op3_line_dedup, op4_cover_tree_topk, op5_decontamination, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_lm_scoring, op10_packing, op11_phrase_collocations)
+    found = (op1_toxicity, op2_language_id, op3_line_dedup, op4_cover_tree_topk, op5_decontamination, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_lm_scoring, op10_packing, op11_phrase_collocations, op12_prefix_trie)
     return {f.__name__: f for f in found}
 
 
@@ -167,6 +171,42 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM low_cut QUALIFY rank <= 2000"""
 
 
+OP12_SQL = """
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), bytes_ AS (
+  SELECT c, list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)) AS b, n FROM (SELECT c, count(*) AS n FROM own GROUP BY c)
+), conv AS (
+  SELECT c, n, c - c % 5 AS base, xor(list_reduce(b, lambda s, x: list_reduce([xor(s, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)), 4294967295) % 9 AS h
+  FROM bytes_
+), sized AS (SELECT conv.*, least(conv.h, coalesce(b.n, 0)) AS taken FROM conv LEFT JOIN conv b ON b.c = conv.base),
+turns AS (
+  SELECT s.c, own.i AS d, role, text FROM sized s JOIN own ON own.c = s.base AND own.i <= s.h
+  UNION ALL
+  SELECT s.c, own.i - s.h + s.taken, role, text FROM sized s JOIN own ON own.c = s.c AND own.i > s.h
+), prefix AS (
+  SELECT c, d, strlen(text) AS bytes, list(md5(role) || md5(text)) OVER (PARTITION BY c ORDER BY d) AS k FROM turns
+  UNION ALL
+  SELECT c, 0, 0, [] FROM conv
+), last_ AS (SELECT c, max(d) AS d FROM prefix GROUP BY c),
+node AS (
+  SELECT md5(array_to_string(k, '')) AS k, md5(array_to_string(k[:prefix.d - 1], '')) AS p, prefix.d, min(prefix.c) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN last_.d = prefix.d THEN prefix.c::VARCHAR END, ',' ORDER BY prefix.c), '')) AS ends_sha256
+  FROM prefix JOIN last_ USING (c) GROUP BY 1, 2, 3
+), child AS (SELECT p, d - 1 AS d, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN child ON child.p = node.k AND child.d = node.d),
+below AS (
+  SELECT p.c, p.d, md5(array_to_string(p.k, '')) AS k,
+    sum(CASE WHEN w.conv_id = p.c AND n_children = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY p.c ORDER BY p.d DESC) AS leaves,
+    sum(CASE WHEN w.conv_id = p.c THEN (n_convs - 1) * w.bytes ELSE 0 END) OVER (PARTITION BY p.c ORDER BY p.d DESC) AS saved
+  FROM prefix p JOIN whole w ON w.d = p.d AND w.k = md5(array_to_string(p.k, ''))
+), total AS (SELECT k, d, sum(leaves)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY k, d)
+SELECT w.conv_id, w.d::BIGINT AS depth, up.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, saved_tokens, w.ends_sha256
+FROM whole w JOIN total ON total.k = w.k AND total.d = w.d LEFT JOIN whole up ON w.d > 0 AND up.k = w.p AND up.d = w.d - 1"""
+
+
 def _op8_sql() -> str:
     gap = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -203,4 +243,4 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_cover_tree_topk": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_license_scan": _op8_sql(), "op11_phrase_collocations": OP11_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_cover_tree_topk": OP4_SQL, "op6_ngram_jaccard": OP6_SQL, "op8_license_scan": _op8_sql(), "op11_phrase_collocations": OP11_SQL, "op12_prefix_trie": OP12_SQL}
