@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, cover_tree, decontaminate, language_id, language_model, license_scan, line_dedup, ngram_jaccard, packing, prefix_trie, quality, toxicity
+from . import collocations, cover_tree, decontaminate, language_id, language_model, license_scan, line_dedup, ngram_jaccard, packing, phrase_fingerprint, prefix_trie, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +73,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_phrase_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_toxicity, op2_language_id, op3_line_dedup, op4_cover_tree_topk, op5_decontamination, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_lm_scoring, op10_packing, op11_phrase_collocations, op12_prefix_trie)
+    found = (op1_toxicity, op2_language_id, op3_line_dedup, op4_cover_tree_topk, op5_decontamination, op6_ngram_jaccard, op7_quality, op8_license_scan, op9_lm_scoring, op10_packing, op11_phrase_collocations, op12_prefix_trie, op13_phrase_fingerprint)
     return {f.__name__: f for f in found}
 
 
