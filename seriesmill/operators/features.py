@@ -73,13 +73,22 @@ def add_expanding(df: DataFrame, keys: list[str], functions: list[str], min_peri
     return out.select("*", *[_tag(F.when(F.count(base).over(frame) >= min_periods, _stat(f, base, frame)), f"expanding_{f}", "shifted", lag) for f in functions]).drop("_base")
 
 
-def ema(c: str, span: int, keys: list[str]) -> Column:
-    """Exponential mean with weights (1 - a)^i, a = 2 / (span + 1), over as many rows as matter (weight 1e-12)."""
-    a = 2.0 / (span + 1)
-    rows = next(k for k in range(1, 10_000) if (1 - a) ** k < 1e-12)
-    seen = F.collect_list(c).over(_order(keys).rowsBetween(1 - rows, 0))
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    return F.aggregate(seen, start, lambda s, x: F.struct((s["num"] * (1 - a) + x).alias("num"), (s["den"] * (1 - a) + 1).alias("den")), lambda s: s["num"] / s["den"])
+def add_emas(df: DataFrame, c: str, spans: list[int], keys: list[str], name) -> DataFrame:
+    """Exponential means of ``c`` as columns ``name(span)``: weights (1 - a)^i, a = 2 / (span + 1), down to under 1e-12.
+
+    A scan by doubling: after k steps a row holds the weighted sum of its last 2^k rows, and takes in that of the row 2^k
+    back. All spans share the steps, one sort serves them, and the weights' sum has a closed form. ``c`` holds no nulls.
+    """
+    w = _order(keys)
+    decay = {n: 1 - 2.0 / (n + 1) for n in spans}
+    out = df.withColumns({f"_ema_{n}": F.col(c).cast("double") for n in spans} | {"_row": F.row_number().over(w)})
+    reach = 1
+    while any(d**reach >= 1e-12 for d in decay.values()):
+        more = {n: d for n, d in decay.items() if d**reach >= 1e-12}
+        out = out.withColumns({f"_ema_{n}": F.col(f"_ema_{n}") + d**reach * F.coalesce(F.lag(f"_ema_{n}", reach).over(w), F.lit(0.0)) for n, d in more.items()})
+        reach *= 2
+    means = [_tag(F.col(f"_ema_{n}") * (1 - d) / (1 - F.pow(F.lit(d), "_row")), name(n), "planned", None) for n, d in decay.items()]
+    return out.select("*", *means).drop("_row", *[f"_ema_{n}" for n in spans])
 
 
 def add_external(df: DataFrame, keys: list[str], oil_lags: list[int], horizon: int, promotion: bool = True, transactions: bool = True) -> DataFrame:
@@ -94,7 +103,7 @@ def add_external(df: DataFrame, keys: list[str], oil_lags: list[int], horizon: i
         cols.append(_tag(F.sum("onpromotion").over(w.rowsBetween(-6, 0)), "onpromotion_roll_sum_7", "planned", None))
         for n in (3, 7, 14):
             cols.append(_tag(F.max("onpromotion").over(w.rowsBetween(1 - n, 0)), f"onpromotion_roll_max_{n}", "planned", None))
-            cols.append(_tag(ema("onpromotion", n, keys), f"onpromotion_ema_{n}", "planned", None))
+        df = add_emas(df, "onpromotion", [3, 7, 14], keys, "onpromotion_ema_{}".format)
     if transactions and "transactions" in df.columns:
         cols.append(_tag(F.lag("transactions", horizon).over(w), f"transactions_lag_{horizon}", "shifted", horizon))
     return df.select("*", *cols)

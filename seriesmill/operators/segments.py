@@ -9,17 +9,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def abc_classes(df: DataFrame, keys: list[str], target: str = "sales", by: list[str] | None = None) -> DataFrame:
-    """(by, keys, total, cum_perc, abc_class): A up to 80 % of cumulative share, B up to 95 %, else C.
+#: Rows of the sample that ranges of totals are cut by, and rows of it in each range.
+SAMPLE, APART = 4096, 16
+
+
+def running_totals(totals: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """``totals`` (by, keys, total) with ``running``, the sum from the largest total down to the row's, and ``whole``; ties by key.
 
-    The window runs over one row a series (within ``by``), after aggregation; ties go by key.
+    A prefix sum in two levels, so no task sorts all series: ranges of the order are cut at a sample (the rows of least hash),
+    each range is summed within its own task, and one sum a range is carried to the next ones.
     """
+    place = F.struct(F.col("total").isNull().alias("n"), (-F.col("total")).alias("t"), *keys)
+    sample = totals.select(place.alias("place")).orderBy(F.xxhash64("place"), "place").limit(SAMPLE)
+    cuts = sample.agg(F.filter(F.sort_array(F.collect_list("place")), lambda _, i: i % APART == 0))
+    ranged = totals.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < place))).drop("_cuts")
+    sums = ranged.groupBy(*by, "_range").agg(F.sum("total").alias("_sum"))
+    # a few hundred ranges in each of ``by``
+    before = F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    carried = sums.select(*by, "_range", before.alias("_before"), F.sum("_sum").over(W.partitionBy(*by)).alias("whole"))
+    within = F.sum("total").over(W.partitionBy(*by, "_range").orderBy(F.desc("total"), *keys).rowsBetween(W.unboundedPreceding, 0))
+    out = ranged.withColumn("_own", within).join(carried, [*by, "_range"])
+    return out.withColumn("running", F.col("_before") + F.coalesce("_own", F.lit(0.0))).drop("_range", "_own", "_before")
+
+
+def abc_classes(df: DataFrame, keys: list[str], target: str = "sales", by: list[str] | None = None) -> DataFrame:
+    """(by, keys, total, cum_perc, abc_class): A up to 80 % of cumulative share, B up to 95 %, else C; ties go by key."""
     by = by or []
     totals = df.groupBy(*by, *keys).agg(F.sum(target).alias("total"))
-    w = W.partitionBy(*by).orderBy(F.desc("total"), *keys)
-    share = F.try_divide(F.sum("total").over(w.rowsBetween(W.unboundedPreceding, 0)), F.sum("total").over(W.partitionBy(*by)))
-    out = totals.withColumn("cum_perc", share)
-    return out.withColumn("abc_class", F.when(F.col("cum_perc") <= 0.80, "A").when(F.col("cum_perc") <= 0.95, "B").otherwise("C"))
+    out = running_totals(totals, keys, by).withColumn("cum_perc", F.try_divide("running", "whole")).drop("running", "whole")
+    return out.select(*by, *keys, "total", "cum_perc", F.when(F.col("cum_perc") <= 0.80, "A").when(F.col("cum_perc") <= 0.95, "B").otherwise("C").alias("abc_class"))
 
 
 def series_catalog(parts: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..config import FeatureConfig
 from ..functions import metrics
@@ -440,9 +439,25 @@ def training_history(spark, d):
 # --- fitted models: rows only ---------------------------------------------------------------------------------------
 
 
-@query()
+def _boxcox_sql() -> str:
+    """The passes of the search over lambda as SQL: the best of a grid, thrice finer round it, then the parabola's top."""
+    parts = [
+        "src AS (SELECT family, count(*) AS n, min(sales) AS lo, max(sales) AS hi, min_by(sales, date) AS first_value, max_by(sales, date) AS last_value FROM fs GROUP BY family)",
+        "x AS (SELECT family, ln(sales + CASE WHEN lo <= 0 THEN 1 ELSE 0 END) AS lx FROM fs JOIN src USING (family))",
+        "c0 AS (SELECT family, 0.0::DOUBLE AS lam FROM src)",
+    ]
+    for i, step in enumerate(tf.STEPS):
+        parts += [
+            f"t{i} AS (SELECT x.family, k, lam, (lam + k * {step!r}::DOUBLE - 1) * sum(lx) - count(*) / 2.0 * ln(var_pop(CASE WHEN abs(lam + k * {step!r}::DOUBLE) < 1e-12 THEN lx ELSE (exp((lam + k * {step!r}::DOUBLE) * lx) - 1) / (lam + k * {step!r}::DOUBLE) END)) AS f FROM x JOIN c{i} USING (family), (SELECT unnest(range(-{tf.GRID}, {tf.GRID + 1})) AS k) GROUP BY x.family, k, lam)",
+            f"b{i} AS (SELECT family, k, lam, f, lag(f) OVER w AS a, lead(f) OVER w AS c FROM t{i} WINDOW w AS (PARTITION BY family ORDER BY k) QUALIFY row_number() OVER (PARTITION BY family ORDER BY f DESC, k) = 1)",
+            f"c{i + 1} AS (SELECT family, greatest(least(lam + (k + {'coalesce((a - c) / nullif(2 * (a - 2 * f + c), 0), 0)' if step == tf.STEPS[-1] else '0'}) * {step!r}::DOUBLE, 2), -2) AS lam FROM b{i})",
+        ]
+    return _with(", " + ", ".join(parts) + f" SELECT family, 'box_cox' AS method, round(lam, 5) AS lam, CASE WHEN lo <= 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS shift, first_value, last_value, n AS fit_size FROM src JOIN c{len(tf.STEPS)} USING (family)", "fs")
+
+
+@query(_boxcox_sql())
 def boxcox_mle(spark, d):
-    return tf.fit(_family_sales(spark, d), FAMILY, "box_cox")
+    return tf.fit(_family_sales(spark, d), FAMILY, "box_cox").withColumn("lam", F.round("lam", 5))
 
 
 @query()
@@ -450,8 +465,30 @@ def transform_round_trip(spark, d):
     return tf.round_trip_error(_family_sales(spark, d), FAMILY, "box_cox")
 
 
-@query()
+_WEIGHTS = (0.2, 0.02, 0.2)
+_SMOOTHED = """, hw_at AS (SELECT c.family, c.window_, row_number() OVER (PARTITION BY c.family, c.window_ ORDER BY date) - 1 AS i, sales AS v FROM cv c JOIN fs ON fs.family = c.family AND date <= train_end),
+hw_size AS (SELECT family, window_, count(*) AS n, list(v ORDER BY i) AS y FROM hw_at GROUP BY 1, 2),
+hw AS (
+  SELECT family, window_, n, y, 0 AS i, list_sum(y[1:7]) / 7 AS level, (list_sum(y[8:14]) / 7 - list_sum(y[1:7]) / 7) / 7 AS trend, list_transform(y[1:7], lambda v: v - list_sum(y[1:7]) / 7) AS season FROM hw_size
+  UNION ALL
+  SELECT family, window_, n, y, i + 1, l, {b} * (l - level) + (1 - {b}) * trend, list_append(season[2:], {g} * (v - l) + (1 - {g}) * s)
+  FROM (SELECT *, y[i + 1] AS v, season[1] AS s, {a} * (y[i + 1] - season[1]) + (1 - {a}) * (level + trend) AS l FROM hw WHERE i < n)
+), smoothed AS (
+  SELECT hw.family, hw.window_, f.date, f.sales AS actual, level + h * trend + season[(h - 1) % 7 + 1] AS forecast
+  FROM hw JOIN cv USING (family, window_) JOIN fs f ON f.family = hw.family AND f.date BETWEEN val_start AND val_end, (SELECT unnest(range(1, 29)) AS h)
+  WHERE i = n AND f.date = val_start + CAST(h - 1 AS INTEGER)
+)""".format(a=_WEIGHTS[0], b=_WEIGHTS[1], g=_WEIGHTS[2])
+
+
+@query(_with(_SMOOTHED + ' SELECT family, window_ AS "window", date, actual, round(forecast, 6) AS forecast FROM smoothed', "cv", "fs").replace("WITH ", "WITH RECURSIVE ", 1))
 def holt_winters(spark, d):
+    """Exponential smoothing at given weights, as a recursion follows it; ``backtest_scores`` fits them."""
+    out = forecast.exponential_smoothing(_sliced(spark, d), FAMILY, weights=_WEIGHTS)
+    return out.withColumns({"window": F.col("window").cast("bigint"), "forecast": F.round("forecast", 6)})
+
+
+@query()
+def holt_winters_fitted(spark, d):
     return forecast.exponential_smoothing(_sliced(spark, d), FAMILY)
 
 
@@ -478,6 +515,30 @@ def oos_residuals(spark, d):
     return forecast.rolling_origin_residuals(s, FAMILY, H, 365, regressors=cols)
 
 
+_ORIGINS = """, placed AS (SELECT family, date, sales, row_number() OVER (PARTITION BY family ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY family) AS n FROM fs),
+o AS (SELECT family, unnest(generate_series(n - 28, 365, -28)) AS origin FROM (SELECT DISTINCT family, n FROM placed) WHERE n - 28 >= 365),
+p AS (SELECT o.family, origin, avg(sales) AS forecast, max(date) AS origin_end FROM o JOIN placed ON placed.family = o.family AND i >= origin - 28 AND i < origin GROUP BY 1, 2),
+r AS (SELECT p.family, date, origin, origin_end, sales - forecast AS residual FROM p JOIN placed ON placed.family = p.family AND i >= origin AND i < origin + 28)"""
+
+
+@query(_with(_ORIGINS + " SELECT family, date, origin, origin_end, round(residual, 6) AS residual FROM r", "fs"))
+def oos_residuals_flat(spark, d):
+    """Out-of-sample residuals of a forecaster that SQL can follow."""
+    out = forecast.rolling_origin_residuals(_family_sales(spark, d), FAMILY, H, 365, forecaster=forecast.flat_forecaster())
+    return out.withColumn("residual", F.round("residual", 6))
+
+
+_OWN_LAGS = (28, 35, 42, 56)
+
+
+@query(_with(_ORIGINS + " SELECT r.family, r.date, r.origin, round(r.residual, 6) AS residual, " + ", ".join(f"round(l{n}.residual, 6) AS own_lag_{n}" for n in _OWN_LAGS) + " FROM r " + " ".join(f"LEFT JOIN r l{n} ON l{n}.family = r.family AND l{n}.date = r.date - {n} AND l{n}.date <= r.origin_end" for n in _OWN_LAGS), "fs"))
+def residual_lags(spark, d):
+    """What the boosted model of residuals is trained on: each residual with those of 28 days back and more, as its origin knew them."""
+    r = forecast.rolling_origin_residuals(_family_sales(spark, d), FAMILY, H, 365, forecaster=forecast.flat_forecaster())
+    out = forecast.lagged_residuals(r, FAMILY, list(_OWN_LAGS))
+    return out.select("family", "date", "origin", *[F.round(c, 6).alias(c) for c in ("residual", *[f"own_lag_{n}" for n in _OWN_LAGS])])
+
+
 def _model_frame(f: DataFrame, keys: list[str], lags: list[int] | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """Feature rows past the warm-up with numeric columns, the columns of the boosted trees, and those of the trend model."""
     cols = [c for c in [*features.covariates(f, "planned"), *features.covariates(f, "shifted")] if lags is None or not c.startswith("lag_") or int(c[4:]) in lags]
@@ -507,9 +568,12 @@ def direct_forecast(spark, d):
 
 @query()
 def tune_trials(spark, d):
-    sliced, cols, known = _family_windows(spark, d, "hybrid")
-    short = [c for c in cols if not c.startswith("lag_") or c == "lag_28"]
-    return backtest.tune(sliced, FAMILY, {"28": short, "all": cols}, known)
+    """The search of the reference: the whole panel is prepared, then one series is taken (its largest here)."""
+    f, cols, known = _model_frame(features.build(_family_panel(spark, d), FAMILY, H), FAMILY)
+    largest = f.groupBy(*FAMILY).agg(F.sum("sales").alias("total")).orderBy(F.desc("total"), *FAMILY).limit(1)
+    own = backtest.filter_series(f, largest, FAMILY)
+    sliced = windows.slice_windows(own, windows.cv_windows(own, FAMILY).where("window = 4"), FAMILY).withColumn("route", F.lit("hybrid"))
+    return backtest.tune(sliced, FAMILY, cols, known, {"two": [-28, -56], "four": [-28, -35, -42, -56]})
 
 
 def _backtested(spark, d) -> DataFrame:
@@ -518,8 +582,7 @@ def _backtested(spark, d) -> DataFrame:
     t = _tables(spark, d)
     daily = panel.aggregate(panel.enrich(t), "store_family")
     span = daily.groupBy(*SERIES).agg(F.sum("sales").alias("total"), F.date_diff(F.max("date"), F.min("date")).alias("days")).where("days >= 730")
-    place = lambda *by: F.row_number().over(W.orderBy(*by))
-    chosen = span.withColumns({"a": place(F.desc("total"), *SERIES), "b": place("total", *SERIES)}).where("a <= 2 or b <= 2")
+    chosen = span.orderBy(F.desc("total"), *SERIES).limit(2).unionByName(span.orderBy("total", *SERIES).limit(2))
     own = panel.complete(backtest.filter_series(daily, chosen, SERIES), stores=t["stores"])
     f, cols, known = _model_frame(features.build(own, SERIES, H), SERIES)
     cv = windows.cv_windows(f, SERIES)
@@ -561,9 +624,11 @@ def series_positions(spark, d):
     return windows.positions(_family_sales(spark, d), FAMILY).select("family", "date", F.col("position").cast("bigint").alias("position"))
 
 
-@query()
+@query((_with(_SMOOTHED + ' SELECT family, window_ AS "window", date, actual, round(forecast, 6) AS forecast, model FROM (SELECT * FROM forecasts WHERE model <> \'blend\' UNION ALL SELECT *, \'exponential_smoothing\' FROM smoothed)', "forecasts", "cv", "fs")))
 def baseline_forecasts(spark, d):
-    return forecast.baseline_forecasts(_sliced(spark, d), FAMILY)
+    """The three baselines, exponential smoothing at given weights."""
+    out = forecast.baseline_forecasts(_sliced(spark, d), FAMILY, weights=_WEIGHTS)
+    return out.select("family", F.col("window").cast("bigint").alias("window"), "date", "actual", F.round("forecast", 6).alias("forecast"), "model")
 
 
 _LAST = ", f AS (SELECT * FROM naive WHERE window_ = 4)"

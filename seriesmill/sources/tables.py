@@ -86,6 +86,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a scratch folder and read back: later plans start there instead of computing it again."""
+    folder = f"{scratch_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def setup_logging(level: str = "INFO", path: str | None = None) -> None:
     """Console log, and a rotating file where ``path`` is given."""
     from logging.handlers import RotatingFileHandler
@@ -109,7 +116,7 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     day = F.to_date("o_orderdate").alias("date")
     oil = t["orders"].where(F.weekday("o_orderdate") < 5).groupBy(day).agg(F.expr("(sum(cast(round(o_totalprice * 100) as bigint)) div count(*)) / 100D").alias("dcoilwtico"))
     place = F.when(F.col("o_orderkey") % 3 == 0, "National").when(F.col("o_orderkey") % 3 == 1, "Regional").otherwise("Local")
-    who = t["customer"].join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
+    who = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     holidays = t["orders"].where("o_orderkey % 97 = 0").join(who, F.col("o_custkey") == F.col("c_custkey")).select(
         day, F.col("o_orderpriority").alias("type"), place.alias("locale"), F.when(place == "Regional", F.col("r_name")).when(place == "Local", F.col("n_name")).otherwise("World").alias("locale_name"),
         F.concat(F.lit("event "), F.col("o_orderkey").cast("string")).alias("description"), (F.col("o_orderstatus") == "P").alias("transferred"),
