@@ -43,6 +43,8 @@ class BoostConfig:
             raise ValueError("depth must lie in 1..16")
         if self.task_type not in ("CPU", "GPU"):
             raise ValueError("task_type is CPU or GPU; either runs on CPU here")
+        if self.loss_function not in ("RMSEWithUncertainty", "RMSE"):
+            raise ValueError("the loss is RMSEWithUncertainty (mean and spread) or RMSE (mean alone)")
 
 
 @dataclass
@@ -83,6 +85,42 @@ class FeatureConfig:
     include_transactions: bool = True
     categorical: list[str] = field(default_factory=lambda: ["store_nbr", "family", "city", "state", "type", "cluster"])
 
+    def __post_init__(self):
+        _positive(expanding_min_periods=self.expanding_min_periods)
+        if any(n <= 0 for n in [*self.lags, *self.rolling_windows, *self.rolling_base_lags, *self.oil_lags]):
+            raise ValueError("lags and windows must be positive")
+
+
+#: Sections of a feature configuration file and the settings of theirs.
+FEATURE_SECTIONS = {
+    "rolling": {"windows": "rolling_windows", "functions": "rolling_functions", "base_lags": "rolling_base_lags"},
+    "expanding": {"functions": "expanding_functions", "min_periods": "expanding_min_periods"},
+    "external": {"oil_lags": "oil_lags", "include_promotion": "include_promotion", "include_transactions": "include_transactions"},
+    "categorical": {"features": "categorical"},
+}
+
+
+def _flat_features(given: dict) -> dict:
+    """A feature file's sections as settings of ``FeatureConfig``; names that are neither stay, to be told as unknown."""
+    out = {}
+    for name, value in given.items():
+        if name == "calendar" and isinstance(value, dict):
+            unknown = set(value) - {"features", "binary"}
+            if unknown:
+                raise ValueError(f"unknown settings: {sorted(unknown)}")
+            usual = FeatureConfig().calendar
+            parts = {"features": [c for c in usual if not c.startswith("is_")], "binary": [c for c in usual if c.startswith("is_")]} | value
+            out["calendar"] = [*parts["features"], *parts["binary"]]
+        elif name in FEATURE_SECTIONS and (isinstance(value, dict) or value is None):
+            known = FEATURE_SECTIONS[name]
+            unknown = set(value or {}) - set(known)
+            if unknown:
+                raise ValueError(f"unknown settings: {sorted(unknown)}")
+            out |= {known[k]: v for k, v in (value or {}).items()}
+        else:
+            out[name] = value
+    return out
+
 
 def from_yaml(kind: type, path: str):
     """An instance of ``kind`` with the values of a YAML file; an empty file gives the defaults."""
@@ -95,6 +133,8 @@ def from_yaml(kind: type, path: str):
 
 
 def _build(kind: type, given: dict):
+    if kind is FeatureConfig:
+        given = _flat_features(given)
     known = {f.metadata.get("section", f.name): f for f in fields(kind)}
     unknown = set(given) - set(known)
     if unknown:

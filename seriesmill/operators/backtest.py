@@ -144,6 +144,35 @@ def scored_forecasts(sliced: DataFrame, learned: DataFrame, keys: list[str], hor
     return forecast.baseline_forecasts(sliced, keys, horizon).select(*cols).unionByName(learned.select(*cols))
 
 
+#: (train rows, val rows without their sales) -> forecasts of the val days, or these and the name of the model that made them.
+ForecastFn = Callable[[pd.DataFrame, pd.DataFrame], np.ndarray | tuple[np.ndarray, str]]
+
+
+def forecasts_of(sliced: DataFrame, keys: list[str], forecast_fn: ForecastFn, covariates: list[str] | None = None, model_name: str = "hybrid") -> DataFrame:
+    """(keys, window, date, actual, forecast, model) of a caller's function, run for each series and window in a task of its own.
+
+    It sees the window's train rows (date, sales, keys, covariates) and the val rows without sales. A forecast of another
+    length than the val days, or val days that don't follow the train rows, are errors.
+    """
+    by, cols = [*keys, "window"], covariates or []
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        train, val = pdf[pdf["split"] == "train"].drop(columns="split"), pdf[pdf["split"] == "val"].drop(columns="split")
+        if not len(val):
+            return val[[*by, "date"]].assign(actual=np.nan, forecast=np.nan, model=model_name)
+        if not len(train) or val["date"].iloc[0] <= train["date"].iloc[-1]:
+            raise ValueError("validation days must follow training days")
+        made = forecast_fn(train, val.drop(columns="sales"))
+        values, name = made if isinstance(made, tuple) else (made, model_name)
+        if len(values) != len(val):
+            raise ValueError(f"forecast_fn gave {len(values)} values for {len(val)} days")
+        return val[[*by, "date"]].assign(actual=val["sales"].astype(float), forecast=np.asarray(values, float), model=str(name))
+
+    need = list(dict.fromkeys([*by, "date", "sales", "split", *cols]))
+    return sliced.select(*need).groupBy(*by).applyInPandas(one, f"{forecast._keys_schema(sliced, by)}, date date, actual double, forecast double, model string")
+
+
 def flat_forecasts(sliced: DataFrame, keys: list[str], days: int = 28) -> DataFrame:
     """The mean of the last ``days`` training days, as a plain stand-in for a learned model."""
     by = [*keys, "window"]
@@ -220,6 +249,17 @@ def search_space(lag_sets: list[str]) -> dict:
     return {"changepoint_prior_scale": ("log", 0.001, 0.5), "learning_rate": ("log", 0.01, 0.3), "depth": ("int", 4, 10), "lags": ("choice", sorted(lag_sets))}
 
 
+def _trial_forecasts(columns: list[str], lags: dict[int, list[str]], settings: dict[int, BaseConfig]):
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        train, val = pdf[pdf["split"] == "train"], pdf[pdf["split"] == "val"]
+        i = int(pdf["trial"].iloc[0])
+        out = boosted(train, val, columns, lags[i], settings[i])
+        return pd.DataFrame({"trial": val["trial"].astype("int32"), "actual": val["sales"].astype(float), "forecast": out["forecast"]})
+
+    return one
+
+
 _TRIAL = "trial int, changepoint_prior_scale double, learning_rate double, depth int, lags string"
 
 
@@ -242,16 +282,9 @@ def tune(sliced: DataFrame, keys: list[str], columns: list[str], known: list[str
         each = sliced.withColumn("trial", F.explode(F.array(*map(F.lit, drawn))))
         frame = own_targets(each, by, longest, known, base, lambda pdf, s=settings: s[int(pdf["trial"].iloc[0])])
 
-        def one(pdf: pd.DataFrame, drawn=drawn, settings=settings) -> pd.DataFrame:
-            pdf = pdf.sort_values("date")
-            train, val = pdf[pdf["split"] == "train"], pdf[pdf["split"] == "val"]
-            i = int(pdf["trial"].iloc[0])
-            lags = [f"own_lag_{abs(n)}" for n in lag_sets[drawn[i]["lags"]]]
-            out = boosted(train, val, columns, lags, settings[i])
-            return pd.DataFrame({"trial": val["trial"].astype("int32"), "actual": val["sales"].astype(float), "forecast": out["forecast"]})
-
         need = list(dict.fromkeys([*by, "date", "sales", "split", "target", "base", "method", "lam", "shift", "last_value", *columns, *own]))
-        out = frame.select(*need).groupBy(*by).applyInPandas(one, "trial int, actual double, forecast double")
+        lags = {i: [f"own_lag_{abs(n)}" for n in lag_sets[v["lags"]]] for i, v in drawn.items()}
+        out = frame.select(*need).groupBy(*by).applyInPandas(_trial_forecasts(columns, lags, settings), "trial int, actual double, forecast double")
         e = F.abs(F.col("actual") - F.col("forecast"))
         s = out.groupBy("trial").agg((F.try_divide(F.sum(e), F.sum(F.abs("actual"))) * 100).alias("wape"), F.coalesce(F.try_divide(F.sum(F.col("actual") - F.col("forecast")), F.avg(e)), F.lit(0.0)).alias("tracking"))
         s = s.withColumn("objective", F.col("wape") + F.when(F.abs("tracking") > 4, 1000.0).otherwise(0.0))

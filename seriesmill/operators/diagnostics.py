@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Asymptotic quantiles of the Dickey-Fuller t with a constant (MacKinnon 2010) and of KPSS level (1992).
-DF_QUANTILES = ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10), (-1.57, 0.50), (-0.44, 0.90), (-0.07, 0.95), (0.60, 0.99))
+#: KPSS level quantiles (1992); response surfaces of the Dickey-Fuller t with a constant, in powers of 1 / n
+#: (MacKinnon 2010); its approximate distribution below and above -1.61, and where it is 0 and 1 (MacKinnon 1994).
 KPSS_QUANTILES = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+DF_SURFACE = {"1%": (-3.43035, -6.5393, -16.786, -79.433), "5%": (-2.86154, -2.8903, -4.234, -40.040), "10%": (-2.56677, -1.5384, -2.809, 0.0)}
+DF_SMALL, DF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+DF_TURN, DF_LEAST, DF_MOST = -1.61, -18.83, 2.74
+
+
+def df_critical_values(n: int) -> dict[str, float]:
+    """Critical values of the Dickey-Fuller t for ``n`` regression rows."""
+    return {level: sum(b / n**i for i, b in enumerate(surface)) for level, surface in DF_SURFACE.items()}
+
+
+def df_p_value(t: float) -> float:
+    if t <= DF_LEAST or t >= DF_MOST:
+        return float(t >= DF_MOST)
+    return NormalDist().cdf(sum(b * t**i for i, b in enumerate(DF_SMALL if t <= DF_TURN else DF_LARGE)))
 
 
 def _ols_t(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -25,28 +40,40 @@ def _ols_t(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(b[0] / math.sqrt(max(cov[0, 0], 1e-300))), n * math.log(max(float(e @ e) / n, 1e-300)) + 2 * k
 
 
-def adf(y: np.ndarray) -> tuple[float, float]:
-    """(statistic, p) of the augmented Dickey-Fuller test with a constant, lags by AIC."""
+def adf(y: np.ndarray) -> tuple[float, float, int]:
+    """(statistic, p, regression rows) of the augmented Dickey-Fuller test with a constant, lags by AIC."""
     if len(y) < 3:
         raise ValueError("fewer than 3 values")
+    if not np.isfinite(y).all():
+        raise ValueError("values that aren't finite")
     if np.ptp(y) == 0:
-        return 0.0, 1.0
+        return 0.0, 1.0, len(y) - 1
     d = np.diff(y)
-    most = max(0, min(int(12 * (len(y) / 100) ** 0.25), len(d) // 2 - 2))
+    most = max(0, min(int(np.ceil(12 * (len(y) / 100) ** 0.25)), len(y) // 2 - 2))
 
     def design(lags, start):
         return np.column_stack([y[start:-1], np.ones(len(d) - start), *[d[start - i : len(d) - i] for i in range(1, lags + 1)]]), d[start:]
 
     lags = min(range(most + 1), key=lambda k: _ols_t(*design(k, most))[1])
     t = _ols_t(*design(lags, lags))[0]
-    return t, float(np.interp(t, [q for q, _ in DF_QUANTILES], [p for _, p in DF_QUANTILES], 0.001, 0.999))
+    return t, df_p_value(t), len(d) - lags
+
+
+def kpss_lags(e: np.ndarray) -> int:
+    """Bandwidth of the Bartlett kernel from the data (Hobijn, Franses and Ooms 1998)."""
+    n = len(e)
+    cov = [float(e[k:] @ e[: n - k]) / n for k in range(int(n ** (2 / 9)) + 1)]
+    s0, s1 = cov[0] + 2 * sum(cov[1:]), 2 * sum(k * c for k, c in enumerate(cov))
+    if s0 == 0:
+        return 0
+    return int(min(np.floor(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1))
 
 
 def kpss(y: np.ndarray) -> tuple[float, float]:
     """(statistic, p) of the KPSS test around a level; p stays within 0.01 to 0.1."""
     n = len(y)
     e = y - y.mean()
-    lags = min(int(np.ceil(12 * (n / 100) ** 0.25)), n - 1)
+    lags = kpss_lags(e)
     s2 = e @ e / n + 2 / n * sum((1 - k / (lags + 1)) * (e[k:] @ e[:-k]) for k in range(1, lags + 1))
     stat = float((np.cumsum(e) ** 2).sum() / n**2 / s2) if s2 > 0 else 0.0
     return stat, float(np.interp(stat, [q for q, _ in KPSS_QUANTILES], [p for _, p in KPSS_QUANTILES]))
@@ -72,23 +99,32 @@ def series_label(keys: list[str]) -> Column:
     return F.concat_ws(" | ", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
 
 
-def _critical(quantiles) -> Column:
-    return F.create_map(*[F.lit(x) for q, p in quantiles if p <= 0.1 for x in (f"{p * 100:g}%", q)])
+_STATIONARITY = "group string, adf_p double, kpss_p double, verdict string, recommended_d long, adf_critical_values map<string,double>, error string"
 
 
 def stationarity(df: DataFrame, keys: list[str], target: str = "sales") -> DataFrame:
-    """(group, adf_p, kpss_p, verdict, recommended_d, and maps of critical values) of each series of 3 values or more."""
+    """(group, adf_p, kpss_p, verdict, recommended_d, maps of critical values, error) of each series of 3 values or more.
+
+    Critical values of the Dickey-Fuller t follow the number of rows. A series that can't be analysed is a row that holds its
+    error and nothing else; it doesn't end the job.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("date")[target].dropna().to_numpy(float)
-        if len(y) < 3:
-            return pd.DataFrame({"group": [], "adf_p": [], "kpss_p": [], "verdict": [], "recommended_d": []})
-        a, k = adf(y)[1], kpss(y)[1]
-        return pd.DataFrame({"group": [pdf["_g"].iloc[0]], "adf_p": [a], "kpss_p": [k], "verdict": [verdict(a, k)], "recommended_d": [differencing_order(y)]})
+        row = {"group": pdf["_g"].iloc[0], "adf_p": None, "kpss_p": None, "verdict": None, "recommended_d": None, "adf_critical_values": None, "error": None}
+        try:
+            y = pdf.sort_values("date")[target].dropna().to_numpy(float)
+            if len(y) < 3:
+                return pd.DataFrame(columns=list(row))
+            (_, a, n), k = adf(y), kpss(y)[1]
+            row |= {"adf_p": a, "kpss_p": k, "verdict": verdict(a, k), "recommended_d": differencing_order(y), "adf_critical_values": df_critical_values(n)}
+        except (ValueError, TypeError, ArithmeticError, np.linalg.LinAlgError) as e:
+            row["error"] = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([row])
 
     named = df.select(series_label(keys).alias("_g"), "date", target)
-    out = named.groupBy("_g").applyInPandas(one, "group string, adf_p double, kpss_p double, verdict string, recommended_d long")
-    return out.withColumns({"adf_critical_values": _critical(DF_QUANTILES), "kpss_critical_values": _critical(KPSS_QUANTILES)})
+    kpss_values = F.create_map(*[F.lit(x) for q, p in KPSS_QUANTILES for x in (f"{p * 100:g}%", q)])
+    out = named.groupBy("_g").applyInPandas(one, _STATIONARITY)
+    return out.withColumn("kpss_critical_values", F.when(F.col("error").isNull(), kpss_values))
 
 
 def ljung_box(df: DataFrame, keys: list[str], target: str = "sales", lags: int = 14) -> DataFrame:

@@ -135,3 +135,9 @@ def holdout(df: DataFrame, horizon: int) -> DataFrame:
 def training_history(df: DataFrame, horizon: int) -> DataFrame:
     last = df.agg(F.date_sub(F.max("date"), horizon)).first()[0]
     return history_until(df, last)
+
+
+def ordered(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows by date, or by ``keys`` (a shop, say) and date; ties by what is left of the series' keys. One range exchange."""
+    rest = [k for k in ("store_nbr", "family") if k in df.columns and k not in (keys or [])]
+    return df.orderBy(*(keys or []), "date", *rest)

@@ -6,19 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..config import PipelineConfig
+
 
 def split(df: DataFrame, horizon: int, validation: int) -> DataFrame:
-    """Add ``split``: test is the last ``horizon`` distinct dates, val the ``validation`` before, train the rest."""
+    """Add ``split``: test is the last ``horizon`` distinct dates, val the ``validation`` before, train the rest; too few dates
+    are an error when the rows are read."""
     if horizon <= 0 or validation <= 0:
         raise ValueError("sizes must be positive")
-    dates = df.select("date").distinct().orderBy(F.desc("date")).limit(horizon + validation + 1).agg(F.sort_array(F.collect_list("date"), False)).first()[0]
-    if len(dates) < horizon + validation + 1:
-        raise ValueError("too few dates")
-    return df.withColumn("split", F.when(F.col("date") > F.lit(dates[horizon]), "test").when(F.col("date") > F.lit(dates[horizon + validation]), "val").otherwise("train"))
+    last = df.select("date").where("date is not null").distinct().orderBy(F.desc("date")).limit(horizon + validation + 1)
+    dates = last.agg(F.sort_array(F.collect_list("date"), False)).scalar()
+    test, val = (F.get(dates, n) for n in (horizon, horizon + validation))
+    enough = F.when(val.isNull(), F.raise_error(F.lit("too few dates")).cast("string"))
+    return df.withColumn("split", enough.when(F.col("date") > test, "test").when(F.col("date") > val, "val").otherwise("train"))
+
+
+def _sizes(horizon: int | None, n_windows: int | None, stride: int | None, config: PipelineConfig | None) -> tuple[int, int, int]:
+    """Sizes as given, the others as configured."""
+    c = config or PipelineConfig()
+    return tuple(b if a is None else a for a, b in ((horizon, c.forecast_horizon), (n_windows, c.cv_windows), (stride, c.cv_stride)))
 
 
-def cv_windows(df: DataFrame, keys: list[str], horizon: int = 28, n_windows: int = 5, stride: int = 14) -> DataFrame:
+def cv_windows(df: DataFrame, keys: list[str], horizon: int | None = None, n_windows: int | None = None, stride: int | None = None, config: PipelineConfig | None = None) -> DataFrame:
     """(keys, window, train_end, val_start, val_end) of each gapless series long enough; the last window ends with it."""
+    horizon, n_windows, stride = _sizes(horizon, n_windows, stride, config)
     if min(horizon, n_windows, stride) <= 0:
         raise ValueError("sizes must be positive")
     need = horizon + (n_windows - 1) * stride
@@ -28,9 +39,10 @@ def cv_windows(df: DataFrame, keys: list[str], horizon: int = 28, n_windows: int
     return back.select(*keys, "window", F.date_sub(end, horizon).alias("train_end"), F.date_sub(end, horizon - 1).alias("val_start"), end.alias("val_end"))
 
 
-def panel_windows(df: DataFrame, horizon: int = 28, n_windows: int = 5, stride: int = 14) -> DataFrame:
+def panel_windows(df: DataFrame, horizon: int | None = None, n_windows: int | None = None, stride: int | None = None, config: PipelineConfig | None = None) -> DataFrame:
     """(window, train_end, val_start, val_end) for all series alike, counted in the panel's distinct dates; the last window
     ends with the panel. Too few dates are an error when the windows are read."""
+    horizon, n_windows, stride = _sizes(horizon, n_windows, stride, config)
     if min(horizon, n_windows, stride) <= 0:
         raise ValueError("sizes must be positive")
     need = horizon + (n_windows - 1) * stride
@@ -57,8 +69,11 @@ def origins(n: int, horizon: int, min_train: int, stride: int) -> list[int]:
     return out
 
 
-def residual_origins(df: DataFrame, keys: list[str], horizon: int = 28, min_train: int = 365, stride: int = 28) -> DataFrame:
-    """(keys, origin): training lengths of each gapless series that has one."""
+def residual_origins(df: DataFrame, keys: list[str], horizon: int | None = None, min_train: int | None = None, stride: int | None = None, config: PipelineConfig | None = None) -> DataFrame:
+    """(keys, origin): training lengths of each gapless series that has one; the stride is the horizon unless given."""
+    c = config or PipelineConfig()
+    horizon, min_train = horizon or c.forecast_horizon, min_train or c.residual_min_train_size
+    stride = stride or horizon
     n = df.groupBy(*keys).agg((F.date_diff(F.max("date"), F.min("date")) + 1).alias("n")).where(F.col("n") - horizon >= min_train)
     return n.select(*keys, F.explode(F.sequence(F.col("n") - horizon, F.lit(min_train), F.lit(-stride))).alias("origin"))
 

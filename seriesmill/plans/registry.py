@@ -603,6 +603,31 @@ def backtest_wins(spark, d):
     return metrics.wins(metrics.metric_table(_backtested(spark, d), [*SERIES, "window", "model"]), SERIES)
 
 
+@query(_with(", past AS (SELECT c.family, c.window_, avg(t.sales) AS mean, max_by(t.sales, t.date) AS last FROM cv c JOIN fs t ON t.family = c.family AND t.date > c.train_end - 28 AND t.date <= c.train_end GROUP BY ALL)" + """ SELECT n.family, n.window_ AS "window", n.date, n.actual, round(CASE WHEN n.window_ % 2 = 0 THEN mean ELSE last END, 6) AS forecast, CASE WHEN n.window_ % 2 = 0 THEN 'mean' ELSE 'last' END AS model FROM naive n JOIN past USING (family, window_)""", "naive", "cv", "fs"))
+def backtest_function(spark, d):
+    """A caller's forecast function whose model changes from window to window."""
+
+    def forecast_fn(train, val):
+        if val["window"].iloc[0] % 2 == 0:
+            return [train["sales"].iloc[-28:].mean()] * len(val), "mean"
+        return [train["sales"].iloc[-1]] * len(val), "last"
+
+    out = backtest.forecasts_of(_sliced(spark, d), FAMILY, forecast_fn)
+    return out.select("family", F.col("window").cast("bigint").alias("window"), "date", "actual", F.round("forecast", 6).alias("forecast"), "model")
+
+
+@query(_with(f"SELECT train_end, store_nbr, family, total, {_ABC} AS abc_class FROM (SELECT *, sum(total) OVER (PARTITION BY train_end ORDER BY total DESC, store_nbr, family ROWS UNBOUNDED PRECEDING) / nullif(sum(total) OVER (PARTITION BY train_end), 0) AS cum_perc FROM (SELECT train_end, store_nbr, t.family, sum(t.sales) AS total FROM train t JOIN (SELECT DISTINCT train_end FROM cv) ON t.date <= train_end GROUP BY ALL))", "train", "cv"))
+def classes_by_end(spark, d):
+    """Classes of the whole catalog at each end of a training window, from running totals."""
+    ends = windows.cv_windows(_family_sales(spark, d), FAMILY)
+    return segments.abc_classes(backtest.prefix_totals(_tables(spark, d)["train"], ends, SERIES), SERIES, "total", by=["train_end"]).drop("cum_perc")
+
+
+@query(_with("SELECT store_nbr, date, family, sales FROM train ORDER BY store_nbr, date, family", "train"))
+def sales_by_store_and_date(spark, d):
+    return panel.ordered(_tables(spark, d)["train"], ["store_nbr"]).select("store_nbr", "date", "family", "sales")
+
+
 _FLAT = ", flat AS (SELECT c.family, c.window_, avg(t.sales) AS forecast FROM cv c JOIN fs t ON t.family = c.family AND t.date > c.train_end - 28 AND t.date <= c.train_end GROUP BY ALL), every AS (SELECT * FROM forecasts WHERE model <> 'blend' UNION ALL SELECT n.family, n.window_, n.date, n.actual, f.forecast, 'flat' FROM naive n JOIN flat f USING (family, window_))"
 
 

@@ -3,12 +3,13 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from seriesmill.config import BaseConfig, BoostConfig, FeatureConfig, PipelineConfig, from_yaml
+from seriesmill.config import BaseConfig, BoostConfig, FeatureConfig, PipelineConfig, TrendConfig, from_yaml
 from seriesmill.functions import metrics
 from seriesmill.functions import transforms as tf
 from seriesmill.functions.dates import add_calendar
-from seriesmill.operators import backtest, boosting, diagnostics, features, forecast, panel, report, segments, windows
+from seriesmill.operators import backtest, boosting, diagnostics, features, forecast, panel, report, segments, trend, windows
 from seriesmill.sources.tables import TableLoader, validate_schema
 
 DAY0 = dt.date(2020, 1, 1)
@@ -77,8 +78,6 @@ def test_holidays_localise(spark):
 
 def test_metrics(spark):
     df = spark.createDataFrame([(DAY0 + dt.timedelta(days=i), a, f) for i, (a, f) in enumerate([(10.0, 11.0), (20.0, 18.0), (100.0, 90.0), (0.0, 5.0)])], "date date, actual double, forecast double")
-    from pyspark.sql import functions as F
-
     r = metrics.metric_table(df.withColumn("k", F.lit(1)), ["k"]).first()
     assert r.MAPE == pytest.approx(10.0) and r.WAPE == pytest.approx(100 * 18 / 130) and r.PeakCapture == 1.0 and r.DirectionAccuracy == pytest.approx(1.0)
     zero = df.withColumns({"actual": F.lit(0.0), "forecast": F.lit(0.0), "k": F.lit(1)})
@@ -135,16 +134,14 @@ def test_residuals_keep_the_shortest_lead():
 
 
 def test_trend_model_knows_holidays():
-    from seriesmill.config import TrendConfig
-
     days = np.arange("2014-01-01", "2017-01-01", dtype="datetime64[D]")
     xmas = np.array([str(x)[5:] == "12-25" for x in days])
     y = np.where(xmas, 40.0, 20.0)
     n = len(y) - 28
-    yhat = forecast.trend_season(y[:n], days[:n], days[n:], TrendConfig())["yhat"][n:]
+    yhat = trend.trend_season(y[:n], days[:n], days[n:], TrendConfig())["yhat"][n:]
     assert yhat[xmas[n:]][0] > 30 and yhat[~xmas[n:]].max() < 25
     with pytest.raises(ValueError):
-        forecast.trend_season(y[:n], days[:n], days[n:], TrendConfig(holidays_country="XX"))
+        trend.trend_season(y[:n], days[:n], days[n:], TrendConfig(holidays_country="XX"))
 
 
 def test_residual_origins_take_regressors(spark):
@@ -231,8 +228,6 @@ def test_backtest_routes_by_window(spark):
 
 @pytest.mark.parametrize("method", ["difference", "box_cox"])
 def test_learned_forecasts(spark, method):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(5)
     promo = rng.integers(0, 2, 200).astype(float)
     y = 30 + 5 * (np.arange(200) % 7 == 3) + 20 * promo
@@ -299,8 +294,6 @@ def test_slices_and_checks(spark):
 
 
 def test_reports(spark):
-    from pyspark.sql import functions as F
-
     s = series(spark, [0, 1, 2, 3, 10], family="A").withColumnRenamed("sales", "residual")
     h = report.histogram(s.unionByName(s.withColumn("residual", F.lit(None).cast("double"))), ["family"], bins=5).orderBy("bin").collect()
     assert [r.n for r in h] == [2, 2, 0, 0, 1] and [r.lo for r in h] == [0, 2, 4, 6, 8] and h[-1].hi == 10
@@ -341,10 +334,332 @@ def test_boxcox_policy_follows_the_fit(spark):
 def test_critical_values(spark):
     rng = np.random.default_rng(0)
     r = diagnostics.stationarity(series(spark, rng.normal(size=60), family="A"), ["family"]).first()
-    assert r.adf_critical_values["5%"] == -2.86 and r.kpss_critical_values["2.5%"] == 0.574
+    assert r.kpss_critical_values["2.5%"] == 0.574 and r.error is None
+    assert -2.95 < r.adf_critical_values["5%"] < -2.90
+
+
+def test_published_critical_values():
+    """Dickey-Fuller with a constant, as MacKinnon (2010) and Fuller (1976) print them."""
+    for n, want in ((25, (-3.72, -2.99, -2.63)), (50, (-3.57, -2.92, -2.60)), (100, (-3.50, -2.89, -2.58)), (10**9, (-3.43, -2.86, -2.57))):
+        assert tuple(round(v, 2) for v in diagnostics.df_critical_values(n).values()) == want
+    for t, p in ((-3.43, 0.01), (-2.86, 0.05), (-2.57, 0.10)):
+        assert diagnostics.df_p_value(t) == pytest.approx(p, abs=0.002)
+    assert (diagnostics.df_p_value(-30.0), diagnostics.df_p_value(3.0)) == (0, 1)
+
+
+def test_bandwidth_follows_the_data():
+    rng = np.random.default_rng(13)
+    noise = rng.normal(size=2000)
+    slow = np.convolve(rng.normal(size=2400), 0.9 ** np.arange(60))[:2000]
+    a, b = (diagnostics.kpss_lags(y - y.mean()) for y in (noise, slow))
+    assert a < 12 < b and diagnostics.kpss_lags(np.zeros(9)) == 0
+
+
+def test_a_bad_series_does_not_end_the_job(spark):
+    good = series(spark, np.random.default_rng(0).normal(size=60), family="A")
+    bad = series(spark, [1, 2, float("inf"), 4], family="B")
+    got = {r.group: r for r in diagnostics.stationarity(good.unionByName(bad).unionByName(series(spark, [1, 2], family="C")), ["family"]).collect()}
+    assert set(got) == {"A", "B"} and got["A"].verdict == "stationary" and got["A"].error is None
+    assert "finite" in got["B"].error and got["B"].verdict is None and got["B"].kpss_critical_values is None
 
 
 def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+# --- models of one series ---------------------------------------------------------------------------------------------
+
+
+def daily(n):
+    return np.arange(np.datetime64("2015-01-01"), np.datetime64("2015-01-01") + n, dtype="datetime64[D]")
+
+
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_origins_equal_refits(mode):
+    rng = np.random.default_rng(4)
+    n = 500
+    x = rng.normal(size=(n, 3)) + 5
+    y = (40 + 0.05 * np.arange(n)) * (1 + 0.2 * np.sin(2 * np.pi * np.arange(n) / 7)) + x[:, 0] + rng.normal(size=n)
+    config = TrendConfig(seasonality_mode=mode)
+    starts = windows.origins(n, 28, 100, 28)
+    made = trend.origin_forecasts(y, daily(n), 28, starts, config, x)
+    assert sorted(made) == starts
+    for o in starts:
+        again = trend.trend_season(y[:o], daily(n)[:o], daily(n)[o : o + 28], config, x[:o], x[o : o + 28])["yhat"][o:]
+        np.testing.assert_allclose(made[o], again, rtol=1e-6, atol=1e-6)
+
+
+@pytest.mark.parametrize("mode", ["additive", "multiplicative"])
+def test_planted_change_points(mode):
+    rng = np.random.default_rng(6)
+    n = 1500
+    knots = trend.change_points(n)
+    assert len(knots) == 25 and knots[-1] == int(0.8 * n) - 1
+    t = np.arange(n)
+    level = 100 + 0.05 * t + 0.3 * np.maximum(t - knots[7], 0) - 0.5 * np.maximum(t - knots[16], 0)
+    y = level + 4 * np.sin(2 * np.pi * t / 7) + rng.normal(size=n)
+    model = trend.TrendSeason(y, daily(n), TrendConfig(seasonality_mode=mode, holidays_country=""))
+    fit = model.fit()
+    slopes = fit.trend[2:]
+    assert slopes[7] > 0 > slopes[16] and (slopes == 0).sum() >= 12
+    assert np.abs(slopes[[7, 16]]).sum() > 0.8 * np.abs(slopes).sum()
+    yhat, found = fit.predict(0, model.columns)
+    assert np.abs(found - level).max() < 4 and 0.8 < fit.sigma < 1.5
+
+
+def test_sparse_solve_against_the_optimality_conditions():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        x = rng.normal(size=(60, 12)).cumsum(axis=0)
+        a, c = x.T @ x / 60, x.T @ rng.normal(size=60) / 6
+        penalty = np.concatenate([[0, 0], rng.uniform(0.1, 3, 10)])
+        b = trend.sparse_solve(a, c, penalty)
+        pull = c - a @ b
+        on = b != 0
+        np.testing.assert_allclose(pull[on], (penalty * np.sign(b))[on], atol=1e-6)
+        assert (np.abs(pull) <= penalty + 1e-6)[~on].all() and on[:2].all()
+
+
+def test_daily_seasonality_is_read():
+    off, on = (trend.season_columns(daily(20), TrendConfig(daily_seasonality=d))[0].shape[1] for d in (False, True))
+    assert on == off + 8
+
+
+def test_short_and_constant_series():
+    for y in (np.ones(5), np.zeros(9), np.arange(3.0), np.array([7.0])):
+        out = trend.trend_season(y, daily(len(y)), daily(len(y) + 4)[-4:], TrendConfig())
+        assert np.isfinite(out["yhat"]).all() and len(out["yhat"]) == len(y) + 4
+
+
+def test_smoothing_weights_beat_the_grid_and_recover():
+    rng = np.random.default_rng(7)
+    n, (a, b, g) = 700, (0.35, 0.05, 0.15)
+    level, slope, season, y = 50.0, 0.0, [5, -3, 0, 2, -4, 1, -1], []
+    for t in range(n):
+        e = rng.normal()
+        v = level + slope + season[t % 7] + e
+        new = level + slope + a * e
+        slope += a * b * e
+        season[t % 7] += g * (1 - a) * e
+        level = new
+        y.append(v)
+    y = np.array(y)
+    w = forecast.fitted_weights(y)
+    grid = np.array([(i, j, k) for i in (0.05, 0.2, 0.5) for j in (0.0, 0.02, 0.1) for k in (0.05, 0.2, 0.5)])
+    best, least = (forecast.smoothing_errors(y, x)[0] for x in (np.array([w]), grid))
+    assert best[0] <= least.min() + 1e-9 and (0 <= w).all() and (w <= 1).all()
+    assert abs(w[0] - a) < 0.12 and abs(w[2] - g) < 0.12
+    assert best[0] <= forecast.smoothing_errors(y, np.array([(a, b, g)]))[0][0] + 1e-9
+    flat = forecast.holt_winters(np.full(30, 4.0), 3)
+    np.testing.assert_allclose(flat, 4)
+
+
+def test_lambda_equals_golden_section(spark):
+    rng = np.random.default_rng(8)
+    cases = {"a": rng.gamma(2, 10, 400), "b": np.exp(rng.normal(size=300)), "c": rng.integers(0, 60, 500).astype(float), "d": 50 + rng.normal(size=200), "e": np.full(9, 3.0)}
+    rows = [(k, DAY0 + dt.timedelta(days=i), float(v)) for k, vs in cases.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame([*rows, ("a", DAY0, None), ("b", DAY0, float("nan"))], "family string, date date, sales double")
+    got = {r.family: r for r in tf.fit(df, ["family"], "box_cox").collect()}
+    for k, vs in cases.items():
+        want = tf.fit_values(vs, "box_cox")
+        assert (got[k].method, got[k].shift, got[k].first_value, got[k].last_value, got[k].fit_size) == tuple(want[f] for f in ("method", "shift", "first_value", "last_value", "fit_size"))
+        assert got[k].lam == pytest.approx(want["lam"], abs=2e-6)
+    for bad, method in ((-1.0, "box_cox"), (-0.1, "log")):
+        with pytest.raises(Exception, match="needs values"):
+            tf.fit(series(spark, [1.0, bad], family="A"), ["family"], method).collect()
+
+
+def test_round_trips_that_fail(spark):
+    s = series(spark, [10, 15, 14], family="A")
+    assert tf.fit_transform(s, ["family"], "log").count() == 3
+    assert tf.round_trip_error(s, ["family"], "box_cox", tolerance=1e-5).first().max_error <= 1e-5
+    with pytest.raises(Exception, match="round-trip"):
+        tf.round_trip_error(s, ["family"], "box_cox", tolerance=-1.0).collect()
+    with pytest.raises(Exception, match="round-trip"):
+        tf.fit_transform(s, ["family"], "box_cox", tolerance=-1.0).collect()
+    with pytest.raises(ValueError, match="last observed"):
+        tf.inverse_values(np.ones(2), tf.fit_values(np.arange(3.0), "difference"))
+    done = tf.transform(s, tf.fit(s, ["family"], "difference"), ["family"]).withColumn("first_value", F.lit(None).cast("double"))
+    with pytest.raises(Exception, match="last observed"):
+        tf.invert(done, ["family"]).collect()
+
+
+def test_no_lag_is_younger_than_its_origin(spark):
+    """Residuals that name the day and the origin they came from: each lag was known at the origin of the row it is in."""
+    s = series(spark, np.arange(120.0) * 1000, family="A")
+    spy = lambda y, dates, horizon: np.full(horizon, -float(len(y)))
+    r = forecast.rolling_origin_residuals(s, ["family"], 14, 40, 7, forecaster=spy)
+    lags = [14, 20, 27]
+    rows = forecast.lagged_residuals(r, ["family"], lags).orderBy("date").collect()
+    first = min(x.origin for x in rows)
+    assert first == 43 and [(x.date - DAY0).days for x in rows] == list(range(first, 120)) and rows[-1].origin == 106
+    known = 0
+    for x in rows:
+        day = (x.date - DAY0).days
+        assert x.origin <= day and (x.origin_end - DAY0).days == x.origin - 1
+        for n in lags:
+            lag = x[f"own_lag_{n}"]
+            assert (lag is None) == (day - n < first)
+            if lag is not None:
+                seen, made = divmod(int(lag), 1000)
+                assert seen == day - n and seen < x.origin and made <= seen
+                known += 1
+    assert known > 100
+    young = forecast.lagged_residuals(r, ["family"], [3]).collect()
+    assert all((x.own_lag_3 is None) == ((x.date - DAY0).days - 3 >= x.origin or (x.date - DAY0).days - 3 < first) for x in young)
+    with pytest.raises(ValueError):
+        forecast.lagged_residuals(r, ["family"], [])
+
+
+def test_origin_blocks_equal_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    s = series(spark, rng.normal(size=200) + 30, family="A").unionByName(series(spark, rng.normal(size=45), family="short"))
+    whole = forecast.residuals_of(np.array([r.sales for r in s.where("family = 'A'").orderBy("date").collect()]), daily(200), 10, 30, 5, forecast.flat_forecaster(7))
+    got = {(r.date - DAY0).days: (r.origin, r.residual) for r in forecast.rolling_origin_residuals(s, ["family"], 10, 30, 5, forecaster=forecast.flat_forecaster(7)).collect() if r.family == "A"}
+    assert len(windows.origins(200, 10, 30, 5)) > forecast.ORIGINS_A_TASK and set(got) == set(whole)
+    assert all(got[i][0] == whole[i][0] and got[i][1] == pytest.approx(whole[i][1]) for i in got)
+
+
+def test_own_lags_carry_a_pattern(spark):
+    """Sales that follow those of 28 days ago and nothing else: the boosted model learns it from its own lag."""
+    rng = np.random.default_rng(10)
+    y = list(rng.choice([10.0, 60.0], 28))
+    while len(y) < 420:
+        y.append(y[-28] if rng.uniform() < 0.97 else float(rng.choice([10.0, 60.0])))
+    df = series(spark, y, family="A").withColumn("none", F.lit(0.0))
+    config = BaseConfig(boost=BoostConfig(iterations=120, depth=3), pipeline=PipelineConfig(target_transform="none", residual_min_train_size=60))
+    sliced = windows.slice_windows(df, windows.cv_windows(df, ["family"], 28, 1, 14), ["family"]).withColumn("route", F.lit("direct"))
+    got = backtest.learned_forecasts(sliced, ["family"], ["none"], [], config).collect()
+    assert np.mean([abs(r.actual - r.forecast) for r in got]) < 8
+    with pytest.raises(ValueError, match="shorter than the horizon"):
+        backtest.learned_forecasts(sliced, ["family"], ["none"], [], config, [-7])
+
+
+def test_loss_without_uncertainty(spark):
+    frame = pd.DataFrame({"x": np.arange(40.0), "own_lag_28": np.arange(40.0), "target": np.arange(40.0), "base": 0.0, "method": "none", "lam": 1.0, "shift": 0.0, "last_value": 0.0})
+    out = backtest.boosted(frame[:30], frame[30:], ["x"], ["own_lag_28"], BaseConfig(boost=BoostConfig(iterations=9, depth=2, loss_function="RMSE")))
+    np.testing.assert_array_equal(out["p05"], out["p95"])
+    with pytest.raises(ValueError, match="loss"):
+        BoostConfig(loss_function="Huber")
+
+
+# --- sums over many series ------------------------------------------------------------------------------------------
+
+
+def test_shares_over_ranges_and_ties(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, w, float(v)) for w in range(3) for i, v in enumerate(rng.integers(0, 9, 3000))] + [(9000, 0, None), (9001, 1, -2.0)]
+    df = spark.createDataFrame(rows, "k long, w int, sales double").repartition(5)
+    got = segments.abc_classes(df, ["k"], by=["w"]).toPandas()
+    plan = segments.abc_classes(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_range" in plan and "rangepartitioning" not in plan
+    for w, own in got.groupby("w"):
+        own = own.sort_values(["total", "k"], ascending=[False, True], na_position="last")
+        want = own["total"].fillna(0).cumsum() / own["total"].sum()
+        np.testing.assert_allclose(own["cum_perc"].astype(float), want)
+        assert (own["abc_class"] == np.where(want <= 0.8, "A", np.where(want <= 0.95, "B", "C"))).all()
+
+
+def test_prefix_totals_by_window_end(spark):
+    days = [DAY0 + dt.timedelta(days=i) for i in range(30)]
+    rows = [(d, s, float(i + s)) for s in (1, 2, 3) for i, d in enumerate(days) if (i * s) % 4 != 1 and i < 25 + s and i >= 10 * (s - 1)]
+    df = spark.createDataFrame(rows, "date date, s int, sales double")
+    ends = spark.createDataFrame([(days[i],) for i in (4, 4, 9, 10, 20, 29)] + [(None,)], "train_end date")
+    got = {(r.train_end, r.s): r.total for r in backtest.prefix_totals(df, ends, ["s"]).collect()}
+    want = {}
+    for i in (4, 9, 10, 20, 29):
+        for s in (1, 2, 3):
+            own = [v for d, k, v in rows if k == s and d <= days[i]]
+            if own:
+                want[days[i], s] = sum(own)
+    assert got == want
+
+
+def test_sampler_beats_random_search():
+    def objective(v):
+        return (np.log(v["scale"] / 0.03)) ** 2 + (v["depth"] - 7) ** 2 / 4 + (0.0 if v["lags"] == "b" else 3.0)
+
+    space = {"scale": ("log", 0.001, 0.5), "depth": ("int", 4, 10), "lags": ("choice", ["a", "b", "c"]), "u": ("real", 0.0, 1.0)}
+    learned, random = [], []
+    for seed in range(12):
+        for startup, out in ((6, learned), (10**6, random)):
+            s = backtest.ParzenSampler(space, seed, startup)
+            for i in range(40):
+                v = s.ask()
+                assert 0.001 <= v["scale"] <= 0.5 and 4 <= v["depth"] <= 10 and v["lags"] in "abc" and 0 <= v["u"] <= 1
+                s.tell(v, None if i == 3 else objective(v))
+            out.append(min(f for _, f in s.seen))
+    assert np.mean(learned) < 0.5 * np.mean(random)
+    twice = [backtest.ParzenSampler(space, 5).ask() for _ in range(2)]
+    assert twice[0] == twice[1]
+
+
+def test_tuning_runs_in_batches(spark):
+    rng = np.random.default_rng(12)
+    df = series(spark, 30 + 5 * (np.arange(200) % 7 == 3) + rng.normal(size=200), family="A").withColumn("none", F.lit(0.0))
+    config = BaseConfig(boost=BoostConfig(iterations=10, depth=2), pipeline=PipelineConfig(target_transform="none", residual_min_train_size=60))
+    sliced = windows.slice_windows(df, windows.cv_windows(df, ["family"], 28, 1, 14), ["family"]).withColumn("route", F.lit("hybrid"))
+    trials = backtest.tune(sliced, ["family"], ["none"], [], {"two": [-28, -56], "one": [-28]}, n_trials=3, batch=2, config=config).orderBy("trial").collect()
+    assert [r.trial for r in trials] == [0, 1, 2] and all(r.objective > 0 and r.lags in ("one", "two") for r in trials)
+
+
+# --- configuration and protocols --------------------------------------------------------------------------------------
+
+
+def test_feature_file_sections(tmp_path):
+    text = """
+lags: [28, 56]
+rolling: {windows: [7], functions: [mean, max], base_lags: [35]}
+expanding: {functions: [std], min_periods: 14}
+calendar: {features: [month], binary: [is_weekend]}
+external: {oil_lags: [30], include_promotion: false}
+categorical: {features: [family]}
+"""
+    (tmp_path / "f.yaml").write_text(text)
+    c = from_yaml(FeatureConfig, str(tmp_path / "f.yaml"))
+    assert (c.lags, c.rolling_windows, c.rolling_functions, c.rolling_base_lags) == ([28, 56], [7], ["mean", "max"], [35])
+    assert (c.expanding_functions, c.expanding_min_periods, c.calendar, c.oil_lags) == (["std"], 14, ["month", "is_weekend"], [30])
+    assert (c.include_promotion, c.include_transactions, c.categorical) == (False, True, ["family"])
+    (tmp_path / "f.yaml").write_text("calendar: {binary: [is_payday]}\nrolling:\n")
+    c = from_yaml(FeatureConfig, str(tmp_path / "f.yaml"))
+    assert c.calendar == ["day_of_week", "month", "quarter", "day_of_month", "week_of_year", "is_payday"] and c.rolling_windows == [7, 14, 28]
+    for bad in ("rolling: {width: 7}", "expanding: {min_periods: 0}", "calendar: {moon: 1}", "seasons: {}", "lags: [0]"):
+        (tmp_path / "f.yaml").write_text(bad)
+        with pytest.raises(ValueError):
+            from_yaml(FeatureConfig, str(tmp_path / "f.yaml"))
+
+
+def test_sizes_come_from_the_configuration(spark):
+    s = series(spark, range(60), family="A")
+    config = PipelineConfig(forecast_horizon=7, cv_windows=3, cv_stride=5, residual_min_train_size=30)
+    assert windows.cv_windows(s, ["family"], config=config).count() == windows.panel_windows(s, config=config).count() == 3
+    ends = sorted((r.val_end - r.train_end).days for r in windows.cv_windows(s, ["family"], n_windows=2, config=config).collect())
+    assert ends == [7, 7]
+    assert sorted(r.origin for r in windows.residual_origins(s, ["family"], config=config).collect()) == [32, 39, 46, 53]
+
+
+def test_split_counts_dates(spark):
+    s = series(spark, range(10), family="A")
+    got = {r.date: r.split for r in windows.split(s, 2, 3).collect()}
+    assert [got[DAY0 + dt.timedelta(days=i)] for i in range(10)] == ["train"] * 5 + ["val"] * 3 + ["test"] * 2
+    with pytest.raises(Exception, match="too few dates"):
+        windows.split(s, 5, 5).collect()
+
+
+def test_forecast_functions(spark):
+    s = series(spark, range(40), family="A").withColumn("promo", F.col("sales") * 2)
+    sliced = windows.slice_windows(s, windows.cv_windows(s, ["family"], 5, 2, 5), ["family"])
+
+    def routed(train, val):
+        assert "sales" not in val and train["date"].max() < val["date"].min()
+        return val["promo"].to_numpy() / 2, "exact" if val["window"].iloc[0] else "early"
+
+    got = backtest.forecasts_of(sliced, ["family"], routed, ["promo"]).collect()
+    assert {(r.window, r.model) for r in got} == {(0, "early"), (1, "exact")} and all(r.actual == r.forecast for r in got) and len(got) == 10
+    assert {r.model for r in backtest.forecasts_of(sliced, ["family"], lambda t, v: np.zeros(len(v)), model_name="zero").collect()} == {"zero"}
+    with pytest.raises(Exception, match="gave 1 values for 5 days"):
+        backtest.forecasts_of(sliced, ["family"], lambda t, v: [1.0]).collect()
+    days = [r.date for r in panel.ordered(s.withColumn("store_nbr", F.lit(1)), ["store_nbr"]).collect()]
+    assert days == sorted(days)
