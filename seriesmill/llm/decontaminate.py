@@ -197,7 +197,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **names: str) -> DataFr
     return benchmark_overlaps(docs, benchmark, **names).groupBy("doc_id", "item_id").agg(F.count("*").alias("overlaps"), best.alias("best")).select("doc_id", "item_id", "overlaps", F.col("best.length").alias("longest"), F.col("best.equal").alias("equal"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that overlap with a test item; a document with a null id stays as it can't be named."""
-    leaked = contamination(docs, benchmark, doc_id=doc_id).select(F.col("doc_id").alias("_leaked")).where("_leaked is not null").distinct()
-    return docs.join(leaked, docs[doc_id] == leaked["_leaked"], "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text overlaps with a test item.
+
+    Rows are told apart by id and text, so a clean text stays whatever else its id names, and a leaked one goes under a null
+    id too; rows without text stay. All columns come back as they are.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64(doc_id, text).alias("key"), F.col(text).alias("own_text"))
+    leaked = benchmark_overlaps(rows, benchmark, doc_id="key", text="own_text").select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(leaked, "key", "left_anti").select("row.*")

@@ -1,12 +1,15 @@
 """N-gram language model held in a log-frequency Bloom filter.
 
-Words, word pairs and word triples of every text, with their training counts, go to hash ranges (packed blobs, one of each
-run of texts for each range), once. A count gets a level: itself up to 8, then steps of a quarter of a power of two. Its
-n-gram goes into a Bloom filter once for each level up to its own, so a count is read back by probing level after level
-until one is missing; a level stands for the counts from ``low`` to ``high``. A range builds its part of the filter in
-segments that fit a processor's cache, probes each for the n-grams that were asked for there, and sends the levels back to
-the runs, which meet their texts again and are scored. No filter leaves its task and no text is read once more for a larger
-one: a task's memory stays bounded, and work and exchange follow the corpus.
+Fit: words, word pairs and word triples of the training texts, with their counts, go to hash ranges. A count gets a level:
+itself up to 8, then steps of a quarter of a power of two. Its n-gram goes into a Bloom filter once for each level up to its
+own; a level stands for the counts from ``low`` to ``high``. Each range's part of the filter is built in segments that fit a
+processor's cache and is written to the shared folder, a row a range: that table, with the exact counts of words for the base
+score, is the model. It scores any texts, training ones or others.
+
+Score: each run of texts sends its distinct n-grams to the ranges that they hash to; a range's task reads its own segments,
+probes them level after level until one is missing, and sends the levels back to the runs, which meet their texts again. The
+filter grows with the corpus, so it isn't broadcast whole, and texts aren't read once for each part of it either: each segment
+goes to the one task that probes it, and work and exchange follow the corpus.
 
 Smoothing (Dirichlet priors, after MacKay and Peto 1995): P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), where the half more is
 for all unseen words; P(w | u) = (c(u w) + K P(w)) / (c(u) + K), and so again for triples over pairs. A word is followed by
@@ -17,11 +20,13 @@ quantised counts too a sum is never over 1, and exactly 1 while counts are at mo
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import U, chunks, mix, words
@@ -29,7 +34,7 @@ from .storage import materialise, release
 
 #: Weight of the lower order after one word and after two.
 PRIORS = (8.0, 2.0)
-BITS_PER_KEY, PROBES = 10, 4
+BITS_PER_KEY, PROBES = 12, 5
 #: Bytes and texts of a run; bytes of text for each hash range, and how many ranges there are at least; levels in a segment of the filter.
 FLUSH_BYTES, FLUSH_TEXTS = 6 << 20, 65_000
 RANGE_BYTES, LEAST_RANGES, SEGMENT_LEVELS = 8 << 20, 256, 1 << 18
@@ -111,14 +116,6 @@ def _grams(h, pair, triple):
     return h >> U(1), np.concatenate([pair[pair > 0], triple[triple > 0]])
 
 
-def _counted(packed) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, in order, of (id << 1 | training), and the training rows of each."""
-    packed = np.sort(np.concatenate(packed))
-    own = packed >> U(1)
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-    return own[first], np.add.reduceat(packed & U(1), first) if len(first) else np.zeros(0, U)
-
-
 def _packed_times(times: np.ndarray) -> bytes:
     return zlib.compress(times.astype(np.min_scalar_type(int(times.max())) if len(times) else np.uint8).tobytes(), 1)
 
@@ -128,36 +125,61 @@ def _unpacked_times(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
 
 
-_ASKED = pa.schema([("rng", pa.int32()), ("flush", pa.int64()), ("words", pa.binary()), ("word_times", pa.binary()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("times", pa.binary())])
-_ASKED_SQL = "rng int, flush long, words binary, word_times binary, first long, wide boolean, steps binary, times binary"
+_COUNTED = pa.schema([("rng", pa.int32()), ("words", pa.binary()), ("word_times", pa.binary()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary()), ("times", pa.binary())])
+_COUNTED_SQL = "rng int, words binary, word_times binary, first long, wide boolean, steps binary, times binary"
+_ASKED = pa.schema([("rng", pa.int32()), ("flush", pa.int64()), ("words", pa.binary()), ("first", pa.int64()), ("wide", pa.bool_()), ("steps", pa.binary())])
+_ASKED_SQL = "rng int, flush long, words binary, first long, wide boolean, steps binary"
 
 
-def _ask(ranges: int):
-    """Distinct n-grams of each run by hash range, with training counts; a row for every range, as each tells its totals.
-
-    Sorted 48-bit ids of pairs and triples go as a first one and steps.
-    """
+def _slices(batches, ranges: int):
+    """Distinct n-grams of each run by hash range, and how often each occurs: (run, range, words, times, n-grams, times) for the
+    ranges that get any, so there are never more rows than n-grams."""
     starts = _starts(ranges)
+    for no, held in _flushes(batches):
+        words_, grams = [], []
+        for _, _, _, data, off in held:
+            h, _, pair, triple = _tokens(data, off)
+            w, g = _grams(h, pair, triple)
+            words_.append(w)
+            grams.append(g)
+        (w, w_times), (g, times) = (np.unique(np.concatenate(x), return_counts=True) for x in (words_, grams))
+        w_cut = [0, *np.searchsorted(w, starts[1:] << U(15)), len(w)]
+        cut = [0, *np.searchsorted(g, starts[1:]), len(g)]
+        for r in range(ranges):
+            lo, hi, w_lo, w_hi = cut[r], cut[r + 1], w_cut[r], w_cut[r + 1]
+            if lo < hi or w_lo < w_hi:
+                yield no, r, w[w_lo:w_hi], w_times[w_lo:w_hi], g[lo:hi], times[lo:hi]
+
+
+def _stepped(g: np.ndarray) -> tuple:
+    """Sorted 48-bit ids as a first one and steps."""
+    step = np.diff(g)
+    wide = bool(len(step)) and int(step.max()) >= 1 << 32
+    return int(g[0]) if len(g) else None, wide, step.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def _rows_of(made, schema: pa.Schema):
+    held = []
+    for row in made:
+        held.append(row)
+        if len(held) == 256:
+            yield _batch(held, schema)
+            held = []
+    if held:
+        yield _batch(held, schema)
+
+
+def _count(ranges: int):
+    def run(batches):
+        made = ((r, w.tobytes(), _packed_times(w_times), *_stepped(g), _packed_times(times)) for _, r, w, w_times, g, times in _slices(batches, ranges))
+        yield from _rows_of(made, _COUNTED)
 
+    return run
+
+
+def _ask(ranges: int):
     def run(batches):
-        for no, held in _flushes(batches):
-            asked_words, asked = [], []
-            for _, known, _, data, off in held:
-                h, text, pair, triple = _tokens(data, off)
-                learn = known[text].astype(U)
-                w, g = _grams(h, pair, triple)
-                asked_words.append(w << U(1) | learn)
-                asked.append(g << U(1) | np.concatenate([learn[pair > 0], learn[triple > 0]]))
-            (w, w_times), (g, times) = _counted(asked_words), _counted(asked)
-            w_cut = [0, *np.searchsorted(w, starts[1:] << U(15)), len(w)]
-            cut = [0, *np.searchsorted(g, starts[1:]), len(g)]
-            rows = []
-            for r in range(ranges):
-                lo, hi, w_lo, w_hi = cut[r], cut[r + 1], w_cut[r], w_cut[r + 1]
-                step = np.diff(g[lo:hi])
-                wide = bool(len(step)) and int(step.max()) >= 1 << 32
-                rows.append((r, no, w[w_lo:w_hi].tobytes(), _packed_times(w_times[w_lo:w_hi]), int(g[lo]) if lo < hi else None, wide, step.astype(np.uint64 if wide else np.uint32).tobytes(), _packed_times(times[lo:hi])))
-            yield _batch(rows, _ASKED)
+        yield from _rows_of(((r, no, w.tobytes(), *_stepped(g)) for no, r, w, _, g, _ in _slices(batches, ranges)), _ASKED)
 
     return run
 
@@ -203,56 +225,93 @@ class LevelFilter:
         return out
 
 
-def filtered_levels(h: np.ndarray, c: np.ndarray, bits_per_key: int) -> np.ndarray:
-    """Levels that the filter of distinct n-grams ``h`` (in order) with training counts ``c`` gives them, segment by segment."""
-    out = np.zeros(len(h), np.uint8)
-    q = level_of(c)
-    before = np.cumsum(q) - q
-    cut = np.searchsorted(before, np.arange(0, int(q.sum()) + 1, SEGMENT_LEVELS))
-    for lo, hi in zip(cut, [*cut[1:], len(h)], strict=True):
-        if lo < hi:
-            out[lo:hi] = LevelFilter(h[lo:hi], q[lo:hi], bits_per_key).levels(h[lo:hi])
-    return out
+class Segments:
+    """A range's part of the filter: segments of about ``segment_levels`` entries each, every one for a stretch of ids."""
+
+    def __init__(self, firsts: np.ndarray, filters: list[LevelFilter]):
+        self.firsts, self.filters = firsts, filters
+
+    @staticmethod
+    def build(h: np.ndarray, c: np.ndarray, bits_per_key: int, segment_levels: int) -> Segments:
+        """Of distinct n-grams ``h`` (in order) with counts ``c``."""
+        q = level_of(c)
+        before = np.cumsum(q) - q
+        cut = np.unique(np.searchsorted(before, np.arange(0, int(q.sum()) + 1, segment_levels)))
+        parts = [(lo, hi) for lo, hi in zip(cut, [*cut, len(h)][1:], strict=True) if lo < hi]
+        return Segments(h[[lo for lo, _ in parts]] if parts else np.zeros(0, U), [LevelFilter(h[lo:hi], q[lo:hi], bits_per_key) for lo, hi in parts])
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """Levels of ``h`` (in order)."""
+        out = np.zeros(len(h), np.uint8)
+        cut = np.searchsorted(h, self.firsts)
+        for lo, hi, part in zip(cut, [*cut, len(h)][1:], self.filters, strict=True):
+            out[lo:hi] = part.levels(h[lo:hi])
+        return out
+
+    def packed(self) -> tuple[bytes, bytes, list[bytes]]:
+        return self.firsts.tobytes(), np.array([f.bits for f in self.filters], np.int64).tobytes(), [f.data.tobytes() for f in self.filters]
 
+    @staticmethod
+    def unpacked(firsts: bytes, bits: bytes, data: list[bytes]) -> Segments:
+        filters = []
+        for n, d in zip(np.frombuffer(bits, np.int64), data, strict=True):
+            own = LevelFilter.__new__(LevelFilter)
+            own.bits, own.data = int(n), np.frombuffer(d, np.uint8)
+            filters.append(own)
+        return Segments(np.frombuffer(firsts, U), filters)
 
-_TOLD_SQL = "flush long, rng int, word_levels binary, counts binary, levels binary, kinds long, total long"
 
+_MODEL_SQL = "rng int, words binary, word_counts binary, word_firsts binary, word_bits binary, word_filters array<binary>, firsts binary, bits binary, filters array<binary>, kinds long, total long"
+_MODEL = pa.schema([("rng", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("word_firsts", pa.binary()), ("word_bits", pa.binary()), ("word_filters", pa.list_(pa.binary())), ("firsts", pa.binary()), ("bits", pa.binary()), ("filters", pa.list_(pa.binary())), ("kinds", pa.int64()), ("total", pa.int64())])
 
-def _tell(bits_per_key: int):
-    """Of a hash range: for each run the levels of what it asked for, words' counts too, and the training words of the range, distinct and in all."""
 
-    def told(asked, times):
-        """Counts of the distinct n-grams, each asked one's level, and the order and the runs that give each its count."""
-        h = np.concatenate(asked)
+def _build(bits_per_key: int, segment_levels: int):
+    """A hash range's row of the model, from the training runs' counts."""
+
+    def summed(ids, times):
+        """Distinct ids, in order, and their counts."""
+        h = np.concatenate(ids)
         order = np.argsort(h)
         h, times = h[order], np.concatenate(times)[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        c = np.add.reduceat(times, first, dtype=np.int64) if len(h) else first
-        same = np.diff(np.append(first, len(h)))
-        each = np.empty(len(h), np.uint8)
-        each[order] = np.repeat(filtered_levels(h[first], c, bits_per_key), same)
-        return c, each, order, same
-
-    def parts(values, asked):
-        ends = np.cumsum([len(x) for x in asked])
-        return [zlib.compress(values[end - len(x) : end].tobytes(), 1) for x, end in zip(asked, ends, strict=True)]
+        return h[first], np.add.reduceat(times, first, dtype=np.int64) if len(h) else np.zeros(0, np.int64)
 
     def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        col = {name: table.column(name).to_pylist() for name in table.column_names if name not in ("rng", "flush")}
-        asked = [np.frombuffer(x, U) for x in col["words"]]
-        c, level, order, same = told(asked, [_unpacked_times(x, len(w)) for x, w in zip(col["word_times"], asked, strict=True)])
-        each = np.empty(len(order), np.int64)
-        each[order] = np.repeat(c, same)
-        word_levels, counts = parts(level, asked), parts(each, asked)
-        kinds, total = int((c > 0).sum()), int(c.sum())
-        asked = [_unpack(*x) for x in zip(col["first"], col["wide"], col["steps"], strict=True)]
-        _, level, *_ = told(asked, [_unpacked_times(x, len(g)) for x, g in zip(col["times"], asked, strict=True)])
-        return pa.table([table.column("flush"), table.column("rng"), pa.array(word_levels, pa.binary()), pa.array(counts, pa.binary()), pa.array(parts(level, asked), pa.binary()), pa.array([kinds] * n, pa.int64()), pa.array([total] * n, pa.int64())], names=["flush", "rng", "word_levels", "counts", "levels", "kinds", "total"])
+        col = {name: table.column(name).to_pylist() for name in table.column_names}
+        ids = [np.frombuffer(x, U) for x in col["words"]]
+        w, c = summed(ids, [_unpacked_times(x, len(i)) for x, i in zip(col["word_times"], ids, strict=True)])
+        row = [col["rng"][0], w.tobytes(), _packed_times(c), *Segments.build(w, c, bits_per_key, segment_levels).packed()]
+        kinds, total = len(w), int(c.sum())
+        ids = [_unpack(*x) for x in zip(col["first"], col["wide"], col["steps"], strict=True)]
+        row += Segments.build(*summed(ids, [_unpacked_times(x, len(i)) for x, i in zip(col["times"], ids, strict=True)]), bits_per_key, segment_levels).packed()
+        return pa.Table.from_batches([_batch([(*row, kinds, total)], _MODEL)])
 
     return run
 
 
+_TOLD = pa.schema([("flush", pa.int64()), ("rng", pa.int32()), ("word_levels", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
+_TOLD_SQL = "flush long, rng int, word_levels binary, counts binary, levels binary"
+
+
+def _tell(asked: pa.Table, model: pa.Table) -> pa.Table:
+    """Of a hash range: levels that its segments give what each run asked for, and words' exact counts."""
+    own = model.to_pylist()[0] if model.num_rows else None
+    words_ = np.frombuffer(own["words"], U) if own else np.zeros(0, U)
+    known = _unpacked_times(own["word_counts"], len(words_)).astype(np.int64) if own else np.zeros(0, np.int64)
+    none = Segments(np.zeros(0, U), [])
+    word_filter = Segments.unpacked(own["word_firsts"], own["word_bits"], own["word_filters"]) if own else none
+    gram_filter = Segments.unpacked(own["firsts"], own["bits"], own["filters"]) if own else none
+    rows = []
+    for row in asked.to_pylist():
+        w, g = np.frombuffer(row["words"], U), _unpack(row["first"], row["wide"], row["steps"])
+        counts = np.zeros(len(w), np.int64)
+        if len(words_):
+            at = np.minimum(np.searchsorted(words_, w), len(words_) - 1)
+            counts = np.where(words_[at] == w, known[at], 0)
+        rows.append((row["flush"], row["rng"], *(zlib.compress(x.tobytes(), 1) for x in (word_filter.levels(w), counts, gram_filter.levels(g)))))
+    return pa.Table.from_batches([_batch(rows, _TOLD)] if rows else [], schema=_TOLD)
+
+
 def probabilities(levels, text, total, kinds) -> np.ndarray:
     """P of each token after the tokens before it in its text, from the levels of n-grams."""
     word, *longer = levels
@@ -286,12 +345,11 @@ def _held_texts(batches):
 _SCORES_SQL = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(held: pa.Table, told: pa.Table) -> pa.Table:
+def _score(held: pa.Table, told: pa.Table, kinds: int, total: int) -> pa.Table:
     """Of a run: its texts, scored with what the ranges told of its n-grams."""
     if held.num_rows != 1 or not told.num_rows:
         raise ValueError("the table gave other rows when it was read again; write it first")
     told = told.sort_by("rng")
-    kinds, total = (sum(told.column(x).to_pylist()) for x in ("kinds", "total"))
     word_levels, counts, gram_levels = (np.frombuffer(b"".join(map(zlib.decompress, told.column(x).to_pylist())), kind) for x, kind in (("word_levels", np.uint8), ("counts", np.int64), ("levels", np.uint8)))
     t = pa.ipc.open_stream(held.column("texts")[0].as_py()).read_all().combine_chunks()
     n = t.num_rows
@@ -316,24 +374,80 @@ def _score(held: pa.Table, told: pa.Table) -> pa.Table:
     return pa.table([t.column("doc_id"), t.column("learn"), pa.array(sizes), pa.array(known), pa.array([total] * n, pa.int64()), pa.array(base), pa.array(score)], names=["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", max_block_bytes: int = 256 << 20, bits_per_key: int = BITS_PER_KEY) -> DataFrame:
-    """Score every text with a model of the rows where ``learn`` (a boolean Column) holds.
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession):
+    """Within it, a query's shuffle files go when the query ends instead of when its plan is collected as garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+@dataclass
+class LanguageModel:
+    """A fitted model: its table (a row a hash range), the number of ranges, distinct and all training tokens."""
+
+    table: DataFrame
+    ranges: int
+    kinds: int
+    total: int
+
+    def release(self) -> None:
+        release(self.table)
+
 
-    Returns for each row doc_id, learn, n_tokens, n_known, train_tokens, base_score and score. Tokens are words (runs of
-    non-white-space bytes, A-Z lowered) and one end token. A null text counts as empty, a null ``learn`` as false;
-    repeated rows are scored and counted each; other columns are ignored; an empty table gives no rows. With nothing to
-    learn from, every token has probability 1. A very long text is one run of its own. A task holds one segment of the
-    filter at a time, whatever ``max_block_bytes`` allows (it stays for callers that give it).
+def fit(docs: DataFrame, text: str = "text", bits_per_key: int = BITS_PER_KEY, ranges: int | None = None, segment_levels: int = SEGMENT_LEVELS) -> LanguageModel:
+    """The model of all texts of ``docs``; its table lies in the shared folder until ``release``.
+
+    A null text counts as empty, which is one end token; repeated rows count each; an empty table gives a model under which
+    every token has probability 1. ``ranges`` follows the bytes of text unless given.
+    """
+    own = docs.select(F.lit(0).cast("long").alias("doc_id"), F.lit(True).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    if ranges is None:
+        ranges = ranges_of(own)
+    with _short_lived_shuffles(docs.sparkSession):
+        table = materialise(own.mapInArrow(_count(ranges), _COUNTED_SQL).groupBy("rng").applyInArrow(_build(bits_per_key, segment_levels), _MODEL_SQL), "model")
+    kinds, total = table.agg(F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    return LanguageModel(table, ranges, kinds, total)
+
+
+def ranges_of(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(LEAST_RANGES, -(-size // RANGE_BYTES))
+
+
+def score_with(model: LanguageModel, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", learn=None) -> DataFrame:
+    """Score every text of ``docs``, whether or not the model was fitted to it.
+
+    Returns for each row doc_id, learn (as given, else false), n_tokens, n_known, train_tokens, base_score and score. Tokens
+    are words (runs of non-white-space bytes, A-Z lowered) and one end token. A null text counts as empty, a null ``learn``
+    as false; repeated rows are scored each; other columns are ignored; an empty table gives no rows. A very long text is one
+    run of its own.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    # runs are formed twice: rows that come out of an exchange may change their order in between
-    written = "Exchange" in own._jdf.queryExecution().executedPlan().toString()
+    flag = F.lit(False) if learn is None else F.coalesce(learn, F.lit(False))
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), flag.alias("learn"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # runs are formed twice: rows that come out of an exchange, or of expressions drawn anew, may differ in between
+    plan = own._jdf.queryExecution()
+    written = "Exchange" in plan.executedPlan().toString() or not plan.analyzed().deterministic()
     if written:
         own = materialise(own, "texts")
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    told = own.mapInArrow(_ask(max(LEAST_RANGES, -(-size // RANGE_BYTES))), _ASKED_SQL).groupBy("rng").applyInArrow(_tell(bits_per_key), _TOLD_SQL)
+    kinds, total = model.kinds, model.total
+    asked = own.mapInArrow(_ask(model.ranges), _ASKED_SQL)
+    told = asked.groupBy("rng").cogroup(model.table.groupBy("rng")).applyInArrow(_tell, _TOLD_SQL)
     held = own.mapInArrow(_held_texts, "flush long, texts binary")
-    scores = materialise(held.groupBy("flush").cogroup(told.groupBy("flush")).applyInArrow(_score, _SCORES_SQL), "scores")
+    scores = materialise(held.groupBy("flush").cogroup(told.groupBy("flush")).applyInArrow(lambda a, b: _score(a, b, kinds, total), _SCORES_SQL), "scores")
     if written:
         release(own)
     return scores
+
+
+def score_texts(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text", bits_per_key: int = BITS_PER_KEY, segment_levels: int = SEGMENT_LEVELS) -> DataFrame:
+    """Score every text with a model of the rows where ``learn`` (a boolean Column) holds; see ``fit`` and ``score_with``."""
+    texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    model = fit(docs.where(F.coalesce(learn, F.lit(False))), text, bits_per_key, ranges_of(texts), segment_levels)
+    scores = score_with(model, docs, doc_id, text, learn)
+    model.release()
+    return scores

@@ -246,7 +246,7 @@ def test_decontamination_against_brute_force(spark):
                 want.add((d, i))
     assert got == want
     left = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want if d is not None}
+    assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want if d is not None} - {None}
 
 
 def test_masks_cover_every_choice_of_differing_words():
@@ -257,6 +257,34 @@ def test_masks_cover_every_choice_of_differing_words():
         assert all(any(not set(m) & set(d) for m in decontaminate.masks_of(n)) for d in combinations(range(n), spare))
 
 
+def test_leaked_rows_are_told_apart_by_id_and_text(spark):
+    """A clean text under a leaked id stays; a leaked text under a null id goes; equal leaked rows all go."""
+    import corpus_pipeline as p
+
+    item = " ".join(f"t{i}" for i in range(20))
+    rows = [(7, "x " + item, 1), (7, "a clean text under the same id", 2), (None, item + " y", 3), (None, "clean and nameless", 4), (8, None, 5), (9, "", 6), (10, item, 7), (10, item, 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n, "k", "r") for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, key string, row string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, items)
+    assert left.columns == docs.columns and sorted(r.n_chars for r in left.collect()) == [2, 4, 5, 6]
+    assert decontaminate.decontaminate(docs.limit(0), items).count() == 0 and decontaminate.decontaminate(docs, items.limit(0)).count() == 8
+    assert p.STAGES[3][1] is p.by_benchmark
+
+
+def test_stages_take_a_map_column(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = " ".join(f"t{i}" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    text = "the quick words of a plain document that is long enough"
+    rows = [(1, text, "en", {"b": 1}), (1, text, "en", {"a": 2}), (2, text + " one", "en", None), (3, item, "en", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, more map<string,int>")
+    for _, stage in p.STAGES[:1] + p.STAGES[2:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "more"]
+    assert [(r.doc_id, r.more) for r in docs.collect() if r.doc_id == 1] == [(1, {"a": 2})]
+
+
 def test_overlap_figures_and_odd_rows(spark):
     item = " ".join(f"t{i}" for i in range(20))
     w = item.split()
@@ -371,8 +399,9 @@ def test_language_model(spark, docs):
     one = language_model.score_texts(docs, F.col("doc_id") % 5 != 1).collect()
     assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in one) == want
     assert all(r.score <= 0 for r in one)
-    many = language_model.score_texts(docs, F.col("doc_id") % 5 != 1, max_block_bytes=100).collect()
-    assert Counter((r.doc_id, round(r.score, 6)) for r in many) == Counter((r.doc_id, round(r.score, 6)) for r in one)
+    many = language_model.score_texts(docs, F.col("doc_id") % 5 != 1, segment_levels=50, bits_per_key=256).collect()
+    exact = language_model.score_texts(docs, F.col("doc_id") % 5 != 1, bits_per_key=256).collect()
+    assert Counter((r.doc_id, round(r.score, 6)) for r in many) == Counter((r.doc_id, round(r.score, 6)) for r in exact)
     assert language_model.score_texts(empty(spark), F.col("doc_id") % 5 != 1).count() == 0
 
 
@@ -404,8 +433,8 @@ def test_language_model_score_against_brute_force(spark):
         w = (*t.split(), "END")
         want[i] = sum(np.log10(prob(w[j], w[:j])) for j in range(len(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
-    for size in (256 << 20, 100):
-        got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("learn"), max_block_bytes=size, bits_per_key=256).collect()}
+    for size in (1 << 18, 20):
+        got = {r.doc_id: r.score for r in language_model.score_texts(df, F.col("learn"), segment_levels=size, bits_per_key=256).collect()}
         assert got == pytest.approx(want, abs=1e-6)
     # every conditional distribution sums to at most 1 over the words and one unseen word, and nearly to 1
     for before in {(), *(g for g in grams if "END" not in g and len(g) < 3)}:
@@ -438,10 +467,10 @@ def test_language_model_reads_texts_as_often_for_a_large_filter(spark):
                 seen.add(b.num_rows)
                 yield b
 
-        got = sorted(language_model.score_texts(df.mapInArrow(run, df.schema), F.col("learn"), max_block_bytes=size).collect())
+        got = sorted(language_model.score_texts(df.mapInArrow(run, df.schema), F.col("learn"), segment_levels=size, bits_per_key=256).collect())
         return got, seen.value
 
-    (one, once), (many, often) = read(256 << 20), read(200)
+    (one, once), (many, often) = read(1 << 18), read(40)
     assert len(one) == 60 and one == many and often == once
 
 
@@ -458,11 +487,73 @@ def test_language_model_of_rows_whose_order_may_change(spark):
 def test_filter_segments_give_counts_back():
     rng = np.random.default_rng(5)
     h = np.unique(rng.integers(0, 1 << 48, 300_000).astype(np.uint64))
-    c = np.where(rng.random(len(h)) < 0.6, rng.integers(1, 40, len(h)), 0)
-    q, got = language_model.level_of(c), language_model.filtered_levels(h, c, 10)
-    assert q.sum() > 3 * language_model.SEGMENT_LEVELS
+    known = rng.random(len(h)) < 0.6
+    c = rng.integers(1, 40, known.sum())
+    built = language_model.Segments.build(h[known], c, 10, 1 << 16)
+    q = np.zeros(len(h), int)
+    q[known] = language_model.level_of(c)
+    got = language_model.Segments.unpacked(*built.packed()).levels(h)
+    assert len(built.filters) > 10 and (got == built.levels(h)).all()
     assert (got >= q).all() and (got > q).mean() < 0.03
-    assert (language_model.filtered_levels(h, 0 * c, 10) == 0).all() and len(language_model.filtered_levels(h[:0], c[:0], 10)) == 0
+    nothing = language_model.Segments.build(h[:0], c[:0], 10, 1 << 16)
+    assert (nothing.levels(h) == 0).all() and len(built.levels(h[:0])) == 0
+
+
+def _spoken(n, seed):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 60) % 500)) for i in range(n)]
+
+
+def test_a_model_scores_texts_it_was_not_fitted_to(spark):
+    schema = "doc_id long, text string"
+    model = language_model.fit(spark.createDataFrame(_spoken(200, 1), schema))
+    assert model.total == 200 * 61
+    new = spark.createDataFrame([*_spoken(30, 2), (99, "never heard of"), (100, None)], schema)
+    got = {r.doc_id: r for r in language_model.score_with(model, new).collect()}
+    assert len(got) == 32 and all(r.score < 0 and r.train_tokens == model.total for r in got.values())
+    assert got[99].n_known == 1 and got[99].score / 4 < min(r.score / r.n_tokens for i, r in got.items() if i < 30)
+    # the same texts among the training ones: scored alike by score_texts
+    both = spark.createDataFrame([*_spoken(200, 1), *((i + 1000, t) for i, t in _spoken(30, 2))], schema)
+    again = {r.doc_id: r.score for r in language_model.score_texts(both, F.col("doc_id") < 1000).where("doc_id >= 1000").collect()}
+    assert again == pytest.approx({i + 1000: r.score for i, r in got.items() if i < 30}, abs=1e-3)
+    model.release()
+
+
+def test_scores_follow_the_filter(spark):
+    """Bits planted in the filter alone change the score, and nothing else: the score comes from it."""
+    schema = "doc_id long, text string"
+    model = language_model.fit(spark.createDataFrame(_spoken(100, 3), schema))
+    new = spark.createDataFrame(_spoken(20, 4), schema)
+    plain = {r.doc_id: r for r in language_model.score_with(model, new).collect()}
+    full = F.transform("filters", lambda f: F.unhex(F.repeat(F.lit("FF"), F.octet_length(f))))
+    model.table = model.table.withColumn("filters", full)
+    planted = {r.doc_id: r for r in language_model.score_with(model, new).collect()}
+    for i, r in plain.items():
+        assert (r.base_score, r.n_known, r.n_tokens) == (planted[i].base_score, planted[i].n_known, planted[i].n_tokens)
+        assert abs(planted[i].score - r.score) > 1
+
+
+def test_error_at_the_usual_bits_a_key(spark):
+    """False positives move a token's log10 probability by a hundredth or so on average."""
+    schema = "doc_id long, text string"
+    docs, new = spark.createDataFrame(_spoken(300, 5), schema), spark.createDataFrame(_spoken(60, 6), schema)
+    scores = {}
+    for bits in (language_model.BITS_PER_KEY, 256):
+        model = language_model.fit(docs, bits_per_key=bits)
+        scores[bits] = {r.doc_id: r.score / r.n_tokens for r in language_model.score_with(model, new).collect()}
+    off = [abs(scores[language_model.BITS_PER_KEY][i] - scores[256][i]) for i in scores[256]]
+    assert max(off) < 0.12 and np.mean(off) < 0.02
+
+
+def test_rows_sent_follow_the_texts(spark):
+    """A run sends a row to the ranges that it has n-grams for, however many ranges there are."""
+    def sent(n, ranges):
+        docs = spark.createDataFrame([(i, True, f"a{i} b{i} c{i}") for i in range(n)], "doc_id long, learn boolean, text string").coalesce(1)
+        rows = docs.mapInArrow(language_model._ask(ranges), language_model._ASKED_SQL)
+        return rows.count()
+
+    few, many = sent(50, 1 << 14), sent(100, 1 << 15)
+    assert few <= 50 * 8 + 1 and many <= 100 * 8 + 1 and 1.8 < many / few < 2.2
 
 
 def test_packing_round_trip(spark, docs):
