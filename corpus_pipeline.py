@@ -51,19 +51,21 @@ def by_ngrams(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the smallest doc_id (null last), among equal ones the smallest hash.
 
     Rows are told apart by doc_id and text, so other texts under a doc_id are documents of their own; of rows that agree in
-    both, the smallest by its other columns stays. Texts without words are linked with nothing and stay.
+    both, one stays, the first by its other columns as JSON. Texts without words are linked with nothing and stay.
     """
     own = docs.select(F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"), "text")
     classes = ngram_jaccard.near_duplicate_classes(own, doc_id="key").select(F.col("doc_id").alias("key"), "component_id").distinct()
     first = F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first")
     kept = own.select("key", "id").distinct().join(classes, "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key"))
     rows = _rows(docs).join(kept, "key", "left_semi")
-    return _columns(rows.groupBy("key").agg(F.min("row").alias("row")), docs)
+    others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    return _columns(rows.groupBy("key").agg(F.min_by("row", order).alias("row")), docs)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no part of a test item; those without text or doc_id stay."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that hold no part of a test item, told apart by doc_id and text; those without text stay."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
