@@ -43,38 +43,47 @@ def moving_average(sliced: DataFrame, keys: list[str], n: int = 14, horizon: int
 
 
 def smoothing_errors(y: np.ndarray, weights: np.ndarray, period: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sum of squared one-step errors, level, trend, seasons) of additive smoothing for rows of weights (level, trend, season)."""
+    """(sum of squared one-step errors, level, trend, seasons) of additive smoothing for rows of weights (level, trend, season).
+
+    Error-correction form: each day's error moves the level by a, the trend by a b and the season by g (1 - a) of itself.
+    """
     a, b, g = np.asarray(weights, float).T
+    up, slope, turn = a.copy(), a * b, g * (1 - a)
     level0 = y[:period].mean()
-    trend0 = (y[period : 2 * period].mean() - level0) / period
-    level, trend, season = np.full(len(a), level0), np.full(len(a), trend0), np.tile(y[:period] - level0, (len(a), 1))
-    sse = np.zeros(len(a))
-    for t, v in enumerate(y):
-        s = season[:, t % period]
-        e = v - (level + trend + s)
-        sse += e * e
-        old = level
-        level = a * (v - s) + (1 - a) * (level + trend)
-        trend = b * (level - old) + (1 - b) * trend
-        season[:, t % period] = g * (v - level) + (1 - g) * s
-    return sse, level, trend, season
-
-
-def fitted_weights(y: np.ndarray, period: int = 7, rounds: int = 60) -> np.ndarray:
+    level, trend = np.full(len(a), level0), np.full(len(a), (y[period : 2 * period].mean() - level0) / period)
+    season = np.repeat((y[:period] - level0)[:, None], len(a), axis=1)
+    sse, e, part = np.zeros(len(a)), np.empty(len(a)), np.empty(len(a))
+    for t, v in enumerate(y.tolist()):
+        s = season[t % period]
+        level += trend
+        np.subtract(v, level, out=e)
+        e -= s
+        np.multiply(e, e, out=part)
+        sse += part
+        np.multiply(up, e, out=part)
+        level += part
+        np.multiply(slope, e, out=part)
+        trend += part
+        np.multiply(turn, e, out=part)
+        s += part
+    return sse, level, trend, season.T
+
+
+def fitted_weights(y: np.ndarray, period: int = 7, rounds: int = 40) -> np.ndarray:
     """Smoothing weights in [0, 1] of least squared error: Nelder-Mead from many starts at once, kept inside by clipping.
 
     Every simplex moves in the same pass over the series, its candidates (reflected, expanded, contracted) being rows of it.
     """
     grid = np.array([(a, b, g) for a in (0.05, 0.2, 0.5) for b in (0.0, 0.02, 0.1) for g in (0.05, 0.2, 0.5)])
     error = lambda w: smoothing_errors(y, w.reshape(-1, 3), period)[0].reshape(w.shape[:-1])
-    start = grid[np.argsort(error(grid))[:6]]
+    start = grid[np.argsort(error(grid))[:4]]
     # simplex, corner, weight
     points = np.clip(start[:, None] + np.concatenate([np.zeros((1, 3)), 0.1 * np.eye(3)]), 0, 1)
     values = error(points)
     for _ in range(rounds):
         order = np.argsort(values, axis=1)
         points, values = np.take_along_axis(points, order[..., None], 1), np.take_along_axis(values, order, 1)
-        if (values[:, -1] - values[:, 0] <= 1e-10 * (np.abs(values[:, 0]) + 1e-12)).all():
+        if (values[:, -1] - values[:, 0] <= 1e-7 * (np.abs(values[:, 0]) + 1e-12)).all():
             break
         centre = points[:, :-1].mean(axis=1)
         away = centre - points[:, -1]
