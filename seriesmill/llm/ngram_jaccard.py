@@ -10,7 +10,9 @@ Sets of word shingles link when their Jaccard similarity reaches a bound. The jo
    partner. Frequent tokens fall into classes by hash, and each class in a prefix lengthens it by k - 1 = 1 token; two
    linked sets then share a rare token or two frequent tokens of one class, so rare tokens are indexed alone and
    frequent ones as pairs within a class. That needs more overlap than classes: sets under ``WIDE / t`` tokens have one
-   class, sets of ``WIDE`` and more 16, and those between are indexed both ways, so any two that may link meet.
+   class; larger ones half the overlap that their size band (a power of two) needs at least, and a set whose larger partner
+   may lie in the next band is indexed there, too, so any two that may link meet. Entries grow with a set's size, not with
+   its square.
 4. *Verify.* Entries held by the same sets count as one. Within each entry the most central set is compared first with
    all others (linear in the entry's size). What those links leave in different classes within an entry is compared in
    blocks, by one sparse product per pair of blocks: entry by entry, or all entries of sets that hang together by open
@@ -30,7 +32,8 @@ from .kernel import U, chunks, mix, shingle_sets
 from .storage import materialise, ranges_for, release
 
 FLUSH_TOKENS, FLUSH_TEXTS = 4_000_000, 65_000
-CLASSES, WIDE = 16, 64
+#: Tokens from which a set is indexed by more classes than one.
+WIDE = 64
 #: Log-frequency (in quarters of a power of two) from which a token counts as frequent: 16 sets.
 FREQUENT = 16
 BLOCK = 256
@@ -157,27 +160,43 @@ def _survivors(percent: int):
     return run
 
 
+def _class_counts(n: int, percent: int) -> list[int]:
+    """Numbers of classes that a set of n tokens is indexed by: one while it is small, else half the overlap that the smallest
+    set of its size band needs, for its own band (powers of two) and for each that a larger partner may lie in."""
+    out = [1] if n < WIDE * 100 // percent + 1 else []
+    band = n.bit_length() - 1
+    while n >= WIDE and (band == n.bit_length() - 1 or percent << band <= 100 * n):
+        out.append(max(1, (percent << band) // 200))
+        band += 1
+    return out
+
+
 def signatures(n: int, token: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of a set of n tokens, ``token`` those it shares with others, in order (log-frequency << 48 | hash)."""
     plain = n - int(_reach(n, percent)) + 1 - (n - len(token))
-    frequent = (token >> U(48)) >= U(FREQUENT)
+    frequent = np.flatnonzero((token >> U(48)) >= U(FREQUENT))
+    rare = np.ones(len(token), bool)
+    rare[frequent] = False
     # where an overlap of one is enough there may be no pair, so tokens are indexed alone
-    found = [mix(token[:plain] & T48)] if _reach(n, percent) < 2 else []
-    for classes, use in ((1, n < WIDE * 100 // percent + 1), (CLASSES, n >= WIDE)):
-        if not use:
-            continue
+    found = [mix(token[: max(plain, 0)] & T48)] if _reach(n, percent) < 2 else []
+    for classes in _class_counts(n, percent):
         kind = mix(token & T48) % U(classes)
-        seen: set[int] = set()
-        i = 0
-        while i < min(plain + len(seen), len(token)):
-            if frequent[i]:
-                seen.add(int(kind[i]))
-            i += 1
-        found.append(mix(token[:i][~frequent[:i]] & T48))
-        for c in seen:
-            own = token[:i][frequent[:i] & (kind[:i] == U(c))] & T48
-            a, b = np.triu_indices(len(own), 1)
-            found.append(mix(np.minimum(own[a], own[b]) + mix(np.maximum(own[a], own[b]))))
+        # the prefix: as many tokens as the plain one and the classes of frequent tokens in it
+        fresh = np.zeros(len(token) + 1, np.int64)
+        fresh[frequent[np.unique(kind[frequent], return_index=True)[1]] + 1] = 1
+        end = min(int(np.searchsorted(np.arange(len(token) + 1) - fresh.cumsum(), plain)), len(token))
+        found.append(mix(token[:end][rare[:end]] & T48))
+        own = frequent[frequent < end]
+        own = own[np.lexsort((own, kind[own]))]
+        t, k = token[own] & T48, kind[own]
+        apart = 1
+        while apart < len(own):
+            pair = np.flatnonzero(k[apart:] == k[:-apart])
+            if not len(pair):
+                break
+            a, b = t[pair], t[pair + apart]
+            found.append(mix(np.minimum(a, b) + mix(np.maximum(a, b))))
+            apart += 1
     return np.unique(np.concatenate(found))
 
 

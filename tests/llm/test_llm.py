@@ -249,6 +249,24 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in rows} - {d for d, _ in want if d is not None} - {None}
 
 
+def test_entries_grow_with_a_set_and_not_its_square():
+    rng = np.random.default_rng(14)
+    for n, most in ((500, 1000), (5_000, 5_000), (60_000, 60_000), (200_000, 200_000)):
+        token = np.sort((np.uint64(40) << np.uint64(48)) | rng.choice(1 << 40, n, replace=False).astype(np.uint64) if n < 6_000 else (np.uint64(40) << np.uint64(48)) | np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)))
+        assert len(ngram_jaccard.signatures(len(token), token, 75)) < most
+
+
+def test_near_copies_of_200_000_words(spark):
+    rng = np.random.default_rng(15)
+    w = np.array([f"w{i}" for i in range(3000)])[rng.integers(0, 3000, 200_000)]
+    near, far = w.copy(), w.copy()
+    near[rng.choice(len(w), 4_000, replace=False)] = "changed"
+    far[rng.choice(len(w), 20_000, replace=False)] = "changed"
+    rows = [(i, " ".join(x)) for i, x in enumerate((w, near, far))] + [(3 + i, " ".join(np.roll(w, 1000 * i)[:150_000])) for i in range(17)]
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[1] == got[0] != got[2]
+
+
 def test_masks_cover_every_choice_of_differing_words():
     from itertools import combinations
 
