@@ -133,8 +133,9 @@ def holdout(df: DataFrame, horizon: int) -> DataFrame:
 
 
 def training_history(df: DataFrame, horizon: int) -> DataFrame:
-    last = df.agg(F.date_sub(F.max("date"), horizon)).first()[0]
-    return history_until(df, last)
+    """Rows before the panel's last ``horizon`` days; a panel without any is an error when the rows are read."""
+    last, first = df.agg(F.date_sub(F.max("date"), horizon)).scalar(), df.agg(F.min("date")).scalar()
+    return df.where(F.when(first <= last, F.col("date") <= last).otherwise(F.raise_error(F.lit(f"no rows before the last {horizon} days")).cast("boolean")))
 
 
 def ordered(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -41,13 +41,13 @@ def abc_classes(df: DataFrame, keys: list[str], target: str = "sales", by: list[
 
 
 def series_catalog(parts: list[DataFrame], keys: list[str]) -> DataFrame:
-    """The series of several catalogs, each once; an error if there is none."""
+    """The series of several catalogs, each once; an error if there is none (one row is looked for)."""
     if not parts:
         raise ValueError("no catalog")
-    out = reduce(DataFrame.unionByName, [p.select(*keys) for p in parts]).distinct()
+    out = reduce(DataFrame.unionByName, [p.select(*keys) for p in parts])
     if out.isEmpty():
         raise ValueError("no series in the catalog")
-    return out
+    return out.distinct()
 
 
 def class_counts(classes: DataFrame) -> DataFrame:

@@ -54,11 +54,11 @@ def _planned_sales(spark, d) -> tuple[DataFrame, list[str]]:
 def _scores(spark, d) -> DataFrame:
     """Scores by family, window and model; the mean of two baselines (blend) stands for a learned model, as SQL can follow it."""
     s = _sliced(spark, d)
-    naive = forecast.seasonal_naive(s, FAMILY).withColumn("model", F.lit("seasonal_naive"))
-    average = forecast.moving_average(s, FAMILY).select(*naive.columns[:-1]).withColumn("model", F.lit("moving_average"))
-    blend = naive.drop("model").join(average.select(*FAMILY, "window", "date", F.col("forecast").alias("f2")), [*FAMILY, "window", "date"])
-    blend = blend.withColumn("forecast", (F.col("forecast") + F.col("f2")) / 2).drop("f2").withColumn("model", F.lit("blend"))
-    return metrics.metric_table(naive.unionByName(average).unionByName(blend), [*FAMILY, "window", "model"])
+    by = [*FAMILY, "window", "date", "actual"]
+    both = forecast.seasonal_naive(s, FAMILY).join(forecast.moving_average(s, FAMILY).withColumnRenamed("forecast", "average"), by)
+    models = {"seasonal_naive": F.col("forecast"), "moving_average": F.col("average"), "blend": (F.col("forecast") + F.col("average")) / 2}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), c.alias("forecast")) for name, c in models.items()]))
+    return metrics.metric_table(both.select(*by, each.alias("m")).select(*by, "m.model", "m.forecast"), [*FAMILY, "window", "model"])
 
 
 # --- queries --------------------------------------------------------------------------------------------------------
@@ -81,7 +81,7 @@ CTE = {
     "train": "SELECT CAST(l_shipdate AS DATE) AS date, s_nationkey AS store_nbr, p_type AS family, sum(l_quantity) AS sales, CAST(count(*) FILTER (WHERE l_discount >= 0.08) AS DOUBLE) AS onpromotion FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
     "stores": "SELECT n_nationkey AS store_nbr, n_name AS city, r_name AS state, chr(CAST(65 + n_nationkey % 5 AS INTEGER)) AS type, n_regionkey AS cluster FROM nation JOIN region ON n_regionkey = r_regionkey",
     "oil": "SELECT CAST(o_orderdate AS DATE) AS date, (sum(CAST(round(o_totalprice * 100) AS BIGINT)) // count(*)) / 100.0::DOUBLE AS dcoilwtico FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1",
-    "holidays": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS type, CASE o_orderkey % 3 WHEN 0 THEN 'National' WHEN 1 THEN 'Regional' ELSE 'Local' END AS locale, CASE o_orderkey % 3 WHEN 0 THEN 'World' WHEN 1 THEN r_name ELSE n_name END AS locale_name, 'event ' || o_orderkey AS description, o_orderstatus = 'P' AS transferred FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 97 = 0",
+    "holidays": "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS type, CASE o_orderkey % 3 WHEN 0 THEN 'National' WHEN 1 THEN 'Regional' ELSE 'Local' END AS locale, CASE o_orderkey % 3 WHEN 0 THEN 'World' WHEN 1 THEN r_name ELSE n_name END AS locale_name, 'event ' || o_orderkey AS description, o_orderstatus = 'P' AS transferred FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice >= 495000",
     "transactions": "SELECT CAST(l_shipdate AS DATE) AS date, s_nationkey AS store_nbr, count(DISTINCT l_orderkey) AS transactions FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2",
     "active": "SELECT h.date, s.store_nbr, h.type AS holiday_type, locale, locale_name, description, transferred FROM holidays h JOIN stores s ON (locale = 'National' OR (locale = 'Regional' AND locale_name = state) OR (locale = 'Local' AND locale_name = city)) WHERE transferred IS DISTINCT FROM true AND h.type IS NOT NULL QUALIFY row_number() OVER (PARTITION BY h.date, s.store_nbr ORDER BY CASE locale WHEN 'National' THEN 0 WHEN 'Regional' THEN 1 ELSE 2 END, h.type, description) = 1",
     "enriched": "SELECT t.date, t.store_nbr, t.family, CASE WHEN t.sales < 0 THEN 0 ELSE t.sales END AS sales, t.onpromotion, s.city, s.state, s.type, s.cluster, o.dcoilwtico, a.holiday_type, a.locale, a.locale_name, a.description, a.transferred, CAST(a.holiday_type IS NOT NULL AS INTEGER) AS is_localized_holiday, x.transactions FROM train t LEFT JOIN stores s USING (store_nbr) LEFT JOIN oil o USING (date) LEFT JOIN active a ON a.date = t.date AND a.store_nbr = t.store_nbr LEFT JOIN transactions x ON x.date = t.date AND x.store_nbr = t.store_nbr",
