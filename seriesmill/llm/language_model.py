@@ -301,15 +301,25 @@ def _tell(asked: pa.Table, model: pa.Table) -> pa.Table:
     none = Segments(np.zeros(0, U), [])
     word_filter = Segments.unpacked(own["word_firsts"], own["word_bits"], own["word_filters"]) if own else none
     gram_filter = Segments.unpacked(own["firsts"], own["bits"], own["filters"]) if own else none
-    rows = []
-    for row in asked.to_pylist():
-        w, g = np.frombuffer(row["words"], U), _unpack(row["first"], row["wide"], row["steps"])
-        counts = np.zeros(len(w), np.int64)
-        if len(words_):
-            at = np.minimum(np.searchsorted(words_, w), len(words_) - 1)
-            counts = np.where(words_[at] == w, known[at], 0)
-        rows.append((row["flush"], row["rng"], *(zlib.compress(x.tobytes(), 1) for x in (word_filter.levels(w), counts, gram_filter.levels(g)))))
-    return pa.Table.from_batches([_batch(rows, _TOLD)] if rows else [], schema=_TOLD)
+    rows = asked.to_pylist()
+    if not rows:
+        return pa.Table.from_batches([], schema=_TOLD)
+
+    def answers(parts, answer):
+        """``answer`` of all runs' ids together, each id once, as a compressed part a run."""
+        ids, back = np.unique(np.concatenate(parts), return_inverse=True)
+        each = answer(ids)[back]
+        ends = np.cumsum([len(x) for x in parts])
+        return [zlib.compress(each[end - len(x) : end].tobytes(), 1) for x, end in zip(parts, ends, strict=True)]
+
+    def exact(ids):
+        at = np.minimum(np.searchsorted(words_, ids), max(len(words_) - 1, 0))
+        return np.where(words_[at] == ids, known[at], 0) if len(words_) else np.zeros(len(ids), np.int64)
+
+    words_asked = [np.frombuffer(x["words"], U) for x in rows]
+    grams = [_unpack(x["first"], x["wide"], x["steps"]) for x in rows]
+    told = [answers(words_asked, word_filter.levels), answers(words_asked, exact), answers(grams, gram_filter.levels)]
+    return pa.Table.from_batches([_batch([(x["flush"], x["rng"], *t) for x, *t in zip(rows, *told, strict=True)], _TOLD)])
 
 
 def probabilities(levels, text, total, kinds) -> np.ndarray:
@@ -436,11 +446,11 @@ def score_with(model: LanguageModel, docs: DataFrame, doc_id: str = "doc_id", te
         own = materialise(own, "texts")
     kinds, total = model.kinds, model.total
     asked = own.mapInArrow(_ask(model.ranges), _ASKED_SQL)
-    told = asked.groupBy("rng").cogroup(model.table.groupBy("rng")).applyInArrow(_tell, _TOLD_SQL)
+    with _short_lived_shuffles(docs.sparkSession):
+        told = materialise(asked.groupBy("rng").cogroup(model.table.groupBy("rng")).applyInArrow(_tell, _TOLD_SQL), "told")
     held = own.mapInArrow(_held_texts, "flush long, texts binary")
     scores = materialise(held.groupBy("flush").cogroup(told.groupBy("flush")).applyInArrow(lambda a, b: _score(a, b, kinds, total), _SCORES_SQL), "scores")
-    if written:
-        release(own)
+    release(told, *([own] if written else []))
     return scores
 
 
