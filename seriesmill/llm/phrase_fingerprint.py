@@ -28,54 +28,57 @@ _LOOK = np.argsort(mix(np.arange(SLOTS * SLOTS, dtype=U) + U(77)).reshape(SLOTS,
 
 
 class Parse:
-    """LZ78 parse of a text that can go on with another ending."""
+    """LZ78 parse of a text that can go on with another ending.
 
-    def __init__(self, known: set | None = None, start: int = 0, ends: list | None = None):
-        self.known, self.start, self.ends = known if known is not None else set(), start, ends if ends is not None else []
+    The dictionary is a trie: a phrase's number (in steps of 256) and the next byte lead to the longer phrase's number, so a
+    byte is looked up once and no piece of the text is cut out.
+    """
+
+    def __init__(self, known: dict | None = None, start: int = 0, ends: list | None = None):
+        self.known, self.start, self.ends = known if known is not None else {}, start, ends if ends is not None else []
 
     def read(self, data: bytes, until: int) -> None:
-        """Read on to byte ``until``: a phrase that isn't complete there stays open from ``start``.
-
-        The dictionary holds every beginning of its phrases, so a phrase's end may be looked for from a guess.
-        """
-        known, start, add, guess = self.known, self.start, self.ends.append, 4
-        while True:
-            end = start + guess
-            if end < until and data[start:end] in known:
-                end += 1
-                while end <= until and data[start:end] in known:
-                    end += 1
-            else:
-                end = min(end, until)
-                while end > start + 1 and data[start : end - 1] not in known:
-                    end -= 1
-                if end >= until and (end <= start or data[start:end] in known):
-                    break
-            if end > until:
-                break
-            if len(known) >= MOST_PHRASES:
-                known.clear()
-                end = start + 1
-            known.add(data[start:end])
-            add(end)
-            guess, start = end - start, end
+        """Read on to byte ``until``: a phrase that isn't complete there stays open from ``start``."""
+        known, start, add = self.known, self.start, self.ends.append
+        find, node, new, most = known.get, 0, (len(known) + 1) << 8, MOST_PHRASES << 8
+        full = True
+        while full:
+            full = False
+            for end, byte in enumerate(data[start:until], start + 1):
+                at = node | byte
+                node = find(at)
+                if node is None:
+                    node = 0
+                    if new > most:
+                        # the phrase is looked up anew
+                        known.clear()
+                        new, full = 256, True
+                        break
+                    known[at] = new
+                    new += 256
+                    add(end)
+                    start = end
         self.start = start
 
     def fork(self) -> Parse:
-        return Parse(set(self.known), self.start, list(self.ends))
+        return Parse(dict(self.known), self.start, list(self.ends))
 
 
-def signature(data: bytes, ends: list[int]) -> bytes:
-    """Minimum-hash signature of the phrases that end at ``ends``: 2 bytes a slot; of no phrase, no bytes."""
-    if not ends:
-        return b""
-    stop = np.array(ends, np.int64)
+def _lowest(data: bytes, stop: np.ndarray, parts: np.ndarray, n_parts: int) -> np.ndarray:
+    """Least hashes by part and slot of the phrases that end at ``stop``, one behind the other."""
     start = np.concatenate([[0], stop[:-1]])
     h = mix(raw_hashes(np.frombuffer(data, np.uint8), start, stop) + (stop - start).astype(U))
-    low = np.full(SLOTS, np.iinfo(U).max, U)
-    np.minimum.at(low, (h >> U(64 - BITS)).astype(np.int64), h & U((1 << (64 - BITS)) - 1))
+    low = np.full(n_parts * SLOTS, np.iinfo(U).max, U)
+    np.minimum.at(low, parts * SLOTS + (h >> U(64 - BITS)).astype(np.int64), h & U((1 << (64 - BITS)) - 1))
+    return low.reshape(n_parts, SLOTS)
+
+
+def _signed(low: np.ndarray) -> bytes:
+    """Signature of the least hashes of one text's slots."""
     full = low != np.iinfo(U).max
     bare = np.flatnonzero(~full)
+    if len(bare) == SLOTS:
+        return b""
     if len(bare):
         look = _LOOK[bare]
         lend = look[np.arange(len(bare)), full[look].argmax(axis=1)]
@@ -83,6 +86,25 @@ def signature(data: bytes, ends: list[int]) -> bytes:
     return (mix(low) >> U(48)).astype(">u2").tobytes()
 
 
+def signature(data: bytes, ends: list[int]) -> bytes:
+    """Minimum-hash signature of the phrases that end at ``ends``: 2 bytes a slot; of no phrase, no bytes."""
+    stop = np.array(ends, np.int64)
+    return _signed(_lowest(data, stop, np.zeros(len(stop), np.int64), 1)[0]) if ends else b""
+
+
+def signatures(data: bytes, ends: list[int], other: bytes, other_ends: list[int], shared: int) -> tuple[bytes, bytes]:
+    """Signatures of two texts whose first ``shared`` phrases are the same ones; these are hashed once."""
+    at = ends[shared - 1] if shared else 0
+    last = ends[-1] if ends else 0
+    stop = np.concatenate([np.array(ends, np.int64), np.array(other_ends[shared:], np.int64) + (last - at)])
+    if not len(stop):
+        return b"", b""
+    parts = np.zeros(len(stop), np.int64)
+    parts[shared : len(ends)], parts[len(ends) :] = 1, 2
+    both, own, changed = _lowest(data[:last] + other[at:], stop, parts, 3)
+    return _signed(np.minimum(both, own)), _signed(np.minimum(both, changed))
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """Share of equal slots; 1 for two texts without phrases, 0 if one only has none."""
     if not a or not b:
@@ -116,10 +138,10 @@ def with_edit(text: bytes, other: bytes) -> tuple[int, bytes, bytes, bytes]:
     edited = text[:cut] + head
     parse = Parse()
     parse.read(text, cut)
-    changed = parse.fork()
+    changed, shared = parse.fork(), len(parse.ends)
     changed.read(edited, len(edited))
     parse.read(text, len(text))
-    return n, hashlib.sha256(edited).digest(), signature(text, parse.ends), signature(edited, changed.ends)
+    return n, hashlib.sha256(edited).digest(), *signatures(text, parse.ends, edited, changed.ends, shared)
 
 
 _PLACED = "block int, follows boolean, k long, h long, doc_id long, text binary"

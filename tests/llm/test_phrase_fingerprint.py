@@ -106,3 +106,21 @@ def test_a_hot_id(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lz.fingerprints(df).columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"] and lz.fingerprints(df).count() == 0
+
+
+def test_shared_phrases_are_hashed_once(monkeypatch):
+    """What a text and its edited text have in common is parsed and hashed one time; the signatures are those of whole parses."""
+    hashed = []
+    raw = lz.raw_hashes
+    monkeypatch.setattr(lz, "raw_hashes", lambda values, starts, ends: (hashed.append(len(starts)), raw(values, starts, ends))[1])
+    rng = np.random.default_rng(4)
+    for a, b in [(prose(rng, 500), prose(rng, 300)), ("a", "b"), ("", "b"), ("abc", ""), ("abab", "cd"), ("x " * 5000, "y" * 9)]:
+        k = len(a) // 3
+        edited = a[: len(a) - k] + b[:k]
+        hashed.clear()
+        n, _, own, changed = lz.with_edit(a.encode(), b.encode())
+        done = sum(hashed)
+        assert (n, own, changed) == (len(a), lz.fingerprint(a.encode()), lz.fingerprint(edited.encode()))
+        both = [x == y for x, y in zip(phrases(a.encode()), phrases(edited.encode()))]
+        same = both.index(False) if False in both else len(both)
+        assert done <= len(phrases(a.encode())) + len(phrases(edited.encode())) - same + 1
